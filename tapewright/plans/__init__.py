@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("bars",)
+AREAS = ("features",)
 
 
 def load() -> None:
