@@ -123,12 +123,11 @@ def _selected(bars: DataFrame, v: LabelVariant) -> DataFrame:
 def turning_points(bars: DataFrame, variant: LabelVariant) -> DataFrame:
     """One row per selected peak or trough: bar number (from 0), time, prominence and width."""
     days = _selected(bars, variant)
-    tagged = F.concat(
-        *[
-            F.transform(name, lambda p, k=kind: F.struct(F.lit(k).alias("kind"), p.alias("p")))
-            for name, kind in (("peaks", PEAK), ("troughs", TROUGH))
-        ]
-    )
+
+    def tag(name: str, kind: int) -> Column:
+        return F.transform(name, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p")))
+
+    tagged = F.concat(tag("peaks", PEAK), tag("troughs", TROUGH))
     return days.select("symbol", "date", "bars", F.explode(tagged).alias("t")).select(
         "symbol",
         "date",

@@ -133,13 +133,13 @@ def quoted_days(
     keys = ["symbol", "date", "ts"]
     bars = scored.select(*keys, m.alias("m"), F.col("close"), pp.alias("pp"), tp.alias("tp"))
     picks, wanted = bars, None
+
+    def may_enter(own: Sequence[str]) -> Callable[[Column], Column]:
+        return lambda c: F.coalesce(_wants(c, F.col("pp"), F.col("tp"), own), F.lit(False)) & _open(c, F.col("m"), session_minutes)
+
     for cp in sides:
         mine = [n for n in names if STRATEGIES[n].cp == cp]
-        could = F.exists(
-            array,
-            lambda c, ns=tuple(mine): F.coalesce(_wants(c, F.col("pp"), F.col("tp"), ns), F.lit(False))
-            & _open(c, F.col("m"), session_minutes),
-        )
+        could = F.exists(array, may_enter(mine))
         atm = at_the_money(bars.filter(could), contracts, cp).filter(F.col("contract").isNotNull())
         atm = atm.select(*keys, F.struct("contract", "strike", "expiry").alias(f"atm_{cp}"))
         picks = picks.join(atm, keys, "left")

@@ -94,7 +94,7 @@ def option_ticks(spark: SparkSession, folder: str) -> DataFrame:
         "contract",
         "symbol",
         "ts",
-        F.round(F.col("price") / 10 + 0.5, 2).alias("price"),
+        (F.col("price") / 10 + 0.5).alias("price"),
         (F.col("event_id") % 4).alias("volume"),
         "event_id",
     )
@@ -161,7 +161,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "option_ticks": (
         ("ticks", "active"),
-        """SELECT s.contract, t.symbol, t.ts, round(t.price / 10 + 0.5, 2) AS price, t.event_id % 4 AS volume, t.event_id
+        """SELECT s.contract, t.symbol, t.ts, t.price / 10 + 0.5 AS price, t.event_id % 4 AS volume, t.event_id
           FROM (SELECT underlying, date, contract, row_number() OVER (PARTITION BY underlying, date ORDER BY contract) - 1 AS slot,
                   count(*) OVER (PARTITION BY underlying, date) AS n FROM active) s
           JOIN ticks t ON t.symbol = s.underlying AND CAST(t.ts AS DATE) = s.date AND (t.event_id * 7 + t.user_id) % s.n = s.slot""",
