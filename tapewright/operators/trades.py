@@ -148,13 +148,17 @@ def quoted_days(
     paths = quotes_at(bars.select(*keys).join(wanted, ["symbol", "date"]), option_bars)
     quote = F.struct(F.col("q_close").alias("close"), F.col("q_high").alias("high"), F.col("q_low").alias("low"), F.col("q_volume").alias("volume"))
     per_bar = paths.filter(F.col("q_ts").isNotNull()).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("contract"), quote.alias("q")))).alias("quotes")
+        F.collect_list(F.struct(F.col("contract"), quote.alias("q"))).alias("quotes")
     )
     bar = F.struct("ts", "m", "close", "pp", "tp", *[f"atm_{cp}" for cp in sides], "quotes")
-    return (
-        picks.join(per_bar, keys, "left").groupBy("symbol", "date").agg(F.array_sort(F.collect_list(F.struct("ts", bar.alias("b")))).alias("_b"))
-        .select("symbol", "date", F.transform("_b", lambda x: x["b"]).alias("bars"))
-    )
+    fields = ("ts", "m", "close", "pp", "tp", *[f"atm_{cp}" for cp in sides])
+
+    def with_map(b: Column) -> Column:
+        # Maps have no order, so they are built after sorting.
+        return F.struct(*[b[c].alias(c) for c in fields], F.map_from_entries(b["quotes"]).alias("quotes"))
+
+    days = picks.join(per_bar, keys, "left").groupBy("symbol", "date").agg(F.array_sort(F.collect_list(bar)).alias("_b"))
+    return days.select("symbol", "date", F.transform("_b", with_map).alias("bars"))
 
 
 _HELD = (

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("labels","options","metrics")
+AREAS = ("trades",)
 
 
 def load() -> None:
