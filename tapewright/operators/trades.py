@@ -381,6 +381,6 @@ def with_drawdown(curve: DataFrame, by: Sequence[str], bin_col: str) -> DataFram
     )
 
 
-def cash_shortfalls(curve: DataFrame) -> DataFrame:
-    """Times at which a config's purchases would have gone beyond its cash."""
-    return curve.filter(F.col("cash") < 0).select("config_id", "ts", "cash")
+def cash_shortfalls(curve: DataFrame, reserve: float = 0.0) -> DataFrame:
+    """Times at which a config's purchases leave less cash than ``reserve``."""
+    return curve.filter(F.col("cash") < reserve).select("config_id", "ts", "cash")

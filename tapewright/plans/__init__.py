@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("trades",)
+AREAS = ("tables",)
 
 
 def load() -> None:

@@ -73,10 +73,10 @@ def contracts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def option_ticks(spark: SparkSession, folder: str) -> DataFrame:
+def option_ticks(spark: SparkSession, folder: str, listed: DataFrame | None = None) -> DataFrame:
     """Events traded as one of the contracts of their symbol that are active on the day."""
     per_day = Window.partitionBy("underlying", "date")
-    active = by_day(contracts(spark, folder)).select(
+    active = by_day(contracts(spark, folder) if listed is None else listed).select(
         F.col("underlying").alias("symbol"),
         "date",
         "contract",
@@ -100,8 +100,8 @@ def option_ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def option_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return bars_from_ticks(option_ticks(spark, folder), keys=("contract", "symbol"), order=("ts", "event_id"))
+def option_bars(spark: SparkSession, folder: str, listed: DataFrame | None = None) -> DataFrame:
+    return bars_from_ticks(option_ticks(spark, folder, listed), keys=("contract", "symbol"), order=("ts", "event_id"))
 
 
 # --- the same tables for the SQL twins ---------------------------------------------------------
