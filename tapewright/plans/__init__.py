@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("tables",)
+AREAS = ("models",)
 
 
 def load() -> None:

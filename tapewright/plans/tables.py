@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import splits as S
 from tapewright.operators import summaries as M
+from tapewright.operators.bars import merge_loads
 from tapewright.operators.features import build_features
 from tapewright.operators.labels import label_bars
 from tapewright.params import label_variant
@@ -162,10 +163,9 @@ def contract_cache(spark, folder):
         F.min("stock_close").alias("stock_close"), F.collect_list("contract").alias("filtered_symbols")
     )
     docs.withColumn("period_end", F.date_add("period_start", 7)).write.json(path)
-    # One document per line here, one per file at the vendor; the reader takes both.
-    docs = spark.read.schema(ST.CACHE_SCHEMA).json(path)
-    exploded = docs.select("symbol", "period_start", "period_end", F.round("stock_close", 8).alias("stock_close"), F.explode("filtered_symbols").alias("contract"))
-    return exploded.withColumn("contract", F.trim("contract"))
+    # One document per line here, one per file at the vendor.
+    out = ST.read_contract_cache(spark, path, multi_line=False)
+    return out.withColumn("stock_close", F.round("stock_close", 8))
 
 
 LEDGER = """led AS (SELECT c_name AS symbol, 'EX' || c_nationkey AS exchange, c_mktsegment AS source, CASE WHEN c_custkey % 2 = 0 THEN 'us' ELSE 'kr' END AS market,
@@ -226,8 +226,6 @@ def ledger_entries_removed(spark, folder):
     """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' ELSE s_name END AS name, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
 )
 def instrument_info(spark, folder):
-    from tapewright.operators.bars import merge_loads
-
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"))
     info = table(spark, folder, "supplier").join(nation, "s_nationkey").select("s_suppkey", F.col("s_name").alias("name"), "country")
     changed = info.filter(F.col("s_suppkey") % 3 == 0).withColumn("name", F.concat("name", F.lit("!")))
@@ -260,7 +258,7 @@ def json_properties(spark, folder):
     return table(spark, folder, "events").select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("doc"))
 
 
-@query("W-21 P-05 S-13", name="labels_of_variants")
+@query("W-21 P-05 S-13")
 def labels_of_variants(spark, folder):
     """All three labelling variants of the session bars in one table, told apart by a column."""
     bars = I.session(spark, folder)

@@ -154,9 +154,9 @@ def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").schema(SYMBOL_LIST_SCHEMA).csv(path)
 
 
-def read_contract_cache(spark: SparkSession, path: str) -> DataFrame:
+def read_contract_cache(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Weekly JSON documents with contract arrays, one row per contract."""
-    docs = spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").schema(CACHE_SCHEMA).json(path)
+    docs = spark.read.option("multiLine", str(multi_line).lower()).option("mode", "DROPMALFORMED").schema(CACHE_SCHEMA).json(path)
     return docs.select("symbol", "period_start", "period_end", "stock_close", F.explode("filtered_symbols").alias("_s")).select(
         "symbol", "period_start", "period_end", "stock_close", F.trim("_s").alias("contract")
     )
