@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("models",)
+AREAS = ("bars", "features", "labels", "options", "metrics", "trades", "tables", "models", "streams")
 
 
 def load() -> None:
