@@ -40,10 +40,12 @@ def put_value(
     """European put value; intrinsic once expired, never below 0."""
     years = F.greatest(days, F.lit(1e-9)) / 365.0
     root = F.sqrt(years)
-    d1 = (F.ln(spot / strike) + (rate + 0.5 * vol * vol) * years) / (vol * root)
+    d1 = (F.ln(F.when(spot > 0, spot / strike)) + (rate + 0.5 * vol * vol) * years) / (vol * root)
     d2 = d1 - vol * root
-    alive = strike * F.exp(-rate * years) * normal_cdf(-d2) - spot * normal_cdf(-d1)
-    return F.greatest(F.when(days <= 0, strike - spot).otherwise(alive), F.lit(0.0))
+    paid = strike * F.exp(-rate * years)
+    alive = paid * normal_cdf(-d2) - spot * normal_cdf(-d1)
+    # A worthless underlying leaves the discounted strike.
+    return F.greatest(F.when(days <= 0, strike - spot).when(spot <= 0, paid).otherwise(alive), F.lit(0.0))
 
 
 def model_quote(mid: Column) -> Column:

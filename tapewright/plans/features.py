@@ -216,7 +216,7 @@ CLEAN = ", ".join(
     "P-14 P-11",
     with_tables(
         f"""SELECT symbol, ts, {CLEAN} FROM (SELECT symbol, date, ts,
-            {", ".join(f"CASE WHEN volume % 5 > 0 THEN CAST({PRICE[c]} AS DOUBLE) END AS {c}" for c in LAGGED)} FROM p3 {WINDOWS}) {WINDOWS}""",
+            {", ".join(f"CASE WHEN volume % 5 > 0 AND isfinite(CAST({PRICE[c]} AS DOUBLE)) THEN CAST({PRICE[c]} AS DOUBLE) END AS {c}" for c in LAGGED)} FROM p3 {WINDOWS}) {WINDOWS}""",
         "sess",
         extra=PRICE_SRC,
     ),
@@ -289,7 +289,7 @@ SUMMED = ("pf_open_return", "pf_range_position", "pf_return_1m")
         " UNION ALL ".join(
             f"""SELECT '{c}' AS feature, count({c}) AS count, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 8) AS std, round(min({c}), 8) AS min,
               round(max({c}), 8) AS max, count(*) - count({c}) AS null_count, round((count(*) - count({c})) / count(*), 8) AS null_pct,
-              CAST(0 AS BIGINT) AS inf_count, round(quantile_cont({c}, 0.25), 8) AS p25, round(quantile_cont({c}, 0.5), 8) AS p50,
+              count(*) FILTER (isinf({c})) AS inf_count, round(quantile_cont({c}, 0.25), 8) AS p25, round(quantile_cont({c}, 0.5), 8) AS p50,
               round(quantile_cont({c}, 0.75), 8) AS p75 FROM f"""
             for c in SUMMED
         ),

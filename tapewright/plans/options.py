@@ -320,11 +320,11 @@ def put_values(spark, folder):
 @query(
     "F-16",
     with_tables(
-        "SELECT contract, round(sum((close + greatest((high - low) / 2, 0.01)) * 1.005 * volume) / sum(volume), 10) AS avg_entry FROM option_bars WHERE volume > 0 GROUP BY 1",
+        "SELECT contract, round(sum((close + greatest((high - low) / 2, 0.01)) * 1.005 * volume) / sum(volume), 11) AS avg_entry FROM option_bars WHERE volume > 0 GROUP BY 1",
         "option_bars",
     ),
 )
 def average_entries(spark, folder):
     b = I.option_bars(spark, folder).filter(F.col("volume") > 0)
     fill = P.buy_fill(F.col("close"), F.col("high"), F.col("low"))
-    return rounded(b.groupBy("contract").agg(P.average_entry(fill, F.col("volume")).alias("avg_entry")), ["avg_entry"], 10)
+    return rounded(b.groupBy("contract").agg(P.average_entry(fill, F.col("volume")).alias("avg_entry")), ["avg_entry"], 11)

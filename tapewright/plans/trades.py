@@ -172,11 +172,11 @@ CURVE_COLS = ["cash", "equity", "position_value", "equity_peak"]
 @query(
     "B-08 W-26 A-23",
     _sql(
-        f"SELECT config_id, ts, {', '.join(f'round({c}, 4) AS {c}' for c in CURVE_COLS)}, round(drawdown_pct, 8) AS drawdown_pct FROM curve", CONFIGS, CURVE
+        f"SELECT config_id, ts, {', '.join(f'round({c}, 6) AS {c}' for c in CURVE_COLS)}, round(drawdown_pct, 8) AS drawdown_pct FROM curve", CONFIGS, CURVE
     ),
 )
 def equity_curves(spark, folder):
-    return rounded(rounded(_curve(*_logs(spark, folder, CONFIGS))[0], CURVE_COLS, 4), ["drawdown_pct"])
+    return rounded(rounded(_curve(*_logs(spark, folder, CONFIGS))[0], CURVE_COLS, 6), ["drawdown_pct"])
 
 
 def _curve(logs, options):
@@ -184,10 +184,10 @@ def _curve(logs, options):
     return T.equity_curve(T.bar_log(logs), night), T.closed_in_day(logs).unionByName(night)
 
 
-@query("B-08", _sql("SELECT config_id, ts, round(cash, 4) AS cash FROM curve WHERE cash < 9999000", CONFIGS, CURVE))
+@query("B-08", _sql("SELECT config_id, ts, round(cash, 6) AS cash FROM curve WHERE cash < 9999000", CONFIGS, CURVE))
 def cash_below(spark, folder):
     # A reserve that the test data's purchases reach.
-    return rounded(T.cash_shortfalls(_curve(*_logs(spark, folder, CONFIGS))[0], 9_999_000), ["cash"], 4)
+    return rounded(T.cash_shortfalls(_curve(*_logs(spark, folder, CONFIGS))[0], 9_999_000), ["cash"], 6)
 
 
 TMC = ["win_rate", "avg_win_pct", "avg_loss_pct", "profit_factor", "avg_holding_minutes", "total_pnl"]
