@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -63,81 +64,141 @@ def _prepared(bars: DataFrame) -> DataFrame:
     return bars
 
 
-def _finish(df: DataFrame, keep: Sequence[str], named: dict[str, Column]) -> DataFrame:
-    return df.select(*keep, *[c.alias(n) for n, c in named.items()])
+@dataclass
+class Family:
+    """What a group of features needs: window values in two passes, smoothed series, then plain columns.
 
+    Families computed together share each pass, so their windows meet in the same operators.
+    """
 
-def price_features(bars: DataFrame) -> DataFrame:
-    bars = _prepared(bars)
+    first: dict[str, Column]
+    second: dict[str, Column]
+    smooth: dict[str, tuple[Column, int, int]]
+    then: dict[str, tuple[Column, int, int]]
+    out: dict[str, Column]
+
+
+def _common() -> dict[str, Column]:
+    return {"_open": F.first("open").over(_so_far()), "_rn": F.row_number().over(_series())}
+
+
+def _price() -> Family:
     close, opened, high, low = (F.col(c) for c in ("close", "open", "high", "low"))
     direction = F.signum(close - opened)
-    lags = sorted({*RETURN_WINDOWS, 2})
-    work = bars.select(
-        "*",
-        F.first("open").over(_so_far()).alias("_open"),
-        F.max("high").over(_so_far()).alias("_high"),
-        F.min("low").over(_so_far()).alias("_low"),
-        F.row_number().over(_series()).alias("_rn"),
-        F.lag(direction).over(_series()).alias("_before"),
-        *[F.lag("close", k).over(_series()).alias(f"_c{k}") for k in lags],
-        *[F.avg("close").over(_last(k)).alias(f"_m{k}") for k in MOMENTUM_WINDOWS],
-    )
+    first = {
+        "_high": F.max("high").over(_so_far()),
+        "_low": F.min("low").over(_so_far()),
+        "_before": F.lag(direction).over(_series()),
+        **{f"_c{k}": F.lag("close", k).over(_series()) for k in sorted({*RETURN_WINDOWS, 2})},
+        **{f"_m{k}": F.avg("close").over(_last(k)) for k in MOMENTUM_WINDOWS},
+    }
     changed = F.when(F.col("_before").isNull() | (F.col("_before") != direction), F.col("_rn"))
-    work = work.withColumn("_run", F.max(changed).over(_series().rowsBetween(Window.unboundedPreceding, 0)))
+    second = {"_run": F.max(changed).over(_series().rowsBetween(Window.unboundedPreceding, 0))}
     o, rng = F.col("_open"), high - low
     out = {"pf_open_return": ratio(close - o, o)}
     for k in RETURN_WINDOWS:
         out[f"pf_return_{k}m"] = ratio(close, F.col(f"_c{k}")) - 1
-    out["pf_range_position"] = share(close - F.col("_low"), F.col("_high") - F.col("_low"), 0.5)
-    out["pf_cum_range"] = ratio(F.col("_high") - F.col("_low"), o)
-    out["pf_bar_range"] = ratio(rng, o)
-    out["pf_body_ratio"] = share(F.abs(close - opened), rng, 0.0)
-    out["pf_upper_shadow"] = share(high - F.greatest(opened, close), rng, 0.0)
-    out["pf_lower_shadow"] = share(F.least(opened, close) - low, rng, 0.0)
-    out["pf_bar_direction"] = direction
-    out["pf_consec_direction"] = (F.col("_rn") - F.col("_run") + 1) * direction
+    out |= {
+        "pf_range_position": share(close - F.col("_low"), F.col("_high") - F.col("_low"), 0.5),
+        "pf_cum_range": ratio(F.col("_high") - F.col("_low"), o),
+        "pf_bar_range": ratio(rng, o),
+        "pf_body_ratio": share(F.abs(close - opened), rng, 0.0),
+        "pf_upper_shadow": share(high - F.greatest(opened, close), rng, 0.0),
+        "pf_lower_shadow": share(F.least(opened, close) - low, rng, 0.0),
+        "pf_bar_direction": direction,
+        "pf_consec_direction": (F.col("_rn") - F.col("_run") + 1) * direction,
+    }
     for k in MOMENTUM_WINDOWS:
         out[f"pf_momentum_{k}"] = F.when(F.col("_rn") >= k, ratio(close, F.col(f"_m{k}")) - 1)
     out["pf_acceleration"] = (ratio(close, F.col("_c1")) - 1) - (ratio(F.col("_c1"), F.col("_c2")) - 1)
-    return _finish(work, bars.columns, out)
+    return Family(first, second, {}, {}, out)
 
 
-def volume_features(bars: DataFrame, causal: bool = False) -> DataFrame:
-    """Volume features. ``causal`` replaces the whole day's volume by the volume so far."""
-    bars = _prepared(bars)
+def _volume(causal: bool = False) -> Family:
     volume, close = F.col("volume").cast("double"), F.col("close")
-    day_volume = F.sum("volume").over(_so_far() if causal else _whole_day())
-    work = bars.select(
-        "*",
-        F.first("open").over(_so_far()).alias("_open"),
-        F.sum("volume").over(_so_far()).alias("_vol"),
-        F.sum(close * volume).over(_so_far()).alias("_pv"),
-        day_volume.alias("_day"),
-        F.lag(volume).over(_series()).alias("_v1"),
-        F.coalesce(F.signum(close - F.lag("close").over(_series())), F.lit(0.0)).alias("_dir"),
-        *[F.avg(volume).over(_last(k)).alias(f"_m{k}") for k in MA_PERIODS],
-    )
-    work = work.withColumn("_obv", F.sum(volume * F.col("_dir")).over(_so_far()))
-    out = {f"vf_vol_ma{k}_ratio": share(volume, F.col(f"_m{k}"), 1.0) for k in MA_PERIODS}
-    out["vf_cum_vol_share"] = share(F.col("_vol"), F.col("_day"), 0.0)
+    first = {
+        "_vol": F.sum("volume").over(_so_far()),
+        "_pv": F.sum(close * volume).over(_so_far()),
+        "_day": F.sum("volume").over(_so_far() if causal else _whole_day()),
+        "_v1": F.lag(volume).over(_series()),
+        "_dir": F.coalesce(F.signum(close - F.lag("close").over(_series())), F.lit(0.0)),
+        **{f"_vm{k}": F.avg(volume).over(_last(k)) for k in MA_PERIODS},
+    }
+    second = {"_obv": F.sum(volume * F.col("_dir")).over(_so_far())}
+    out = {f"vf_vol_ma{k}_ratio": share(volume, F.col(f"_vm{k}"), 1.0) for k in MA_PERIODS}
     change = F.when(F.col("_v1") == 0, F.when(volume > 0, F.lit(10.0)).otherwise(F.lit(0.0))).otherwise(
         volume / F.when(F.col("_v1") != 0, F.col("_v1")) - 1
     )
-    out["vf_vol_change"] = clip(F.coalesce(change, F.lit(0.0)), -10, 10)
-    out["vf_vol_spike"] = share(volume, F.col(f"_m{MA_PERIODS[-1]}"), 1.0)
-    out["vf_obv"] = F.col("_obv")
-    out["vf_obv_norm"] = share(F.col("_obv"), F.col("_day"), 0.0)
     vwap = F.when(F.col("_vol") > 0, F.col("_pv") / F.when(F.col("_vol") > 0, F.col("_vol"))).otherwise(close)
-    out["vf_vwap_dev"] = ratio(close - vwap, F.col("_open"))
-    return _finish(work, bars.columns, out)
+    out |= {
+        "vf_cum_vol_share": share(F.col("_vol"), F.col("_day"), 0.0),
+        "vf_vol_change": clip(F.coalesce(change, F.lit(0.0)), -10, 10),
+        "vf_vol_spike": share(volume, F.col(f"_vm{MA_PERIODS[-1]}"), 1.0),
+        "vf_obv": F.col("_obv"),
+        "vf_obv_norm": share(F.col("_obv"), F.col("_day"), 0.0),
+        "vf_vwap_dev": ratio(close - vwap, F.col("_open")),
+    }
+    return Family(first, second, {}, {}, out)
 
 
-def with_blocks(df: DataFrame) -> DataFrame:
-    """Row number within the series, its block and the position inside the block."""
-    rn = F.row_number().over(_series())
-    return df.withColumn("_rn", rn).withColumns(
-        {"_block": F.floor((F.col("_rn") - 1) / BLOCK), "_j": (F.col("_rn") - 1) % BLOCK}
-    )
+def _technical() -> Family:
+    close, delta = F.col("close"), F.col("_delta")
+    first = {
+        "_delta": close - F.lag("close").over(_series()),
+        **{f"_m{k}": F.avg("close").over(_last(k)) for k in MA_PERIODS},
+        "_std": F.coalesce(F.stddev_samp("close").over(_last(BAND_PERIOD)), F.lit(0.0)),
+        "_top": F.max("high").over(_last(STOCH_PERIOD)),
+        "_bottom": F.min("low").over(_last(STOCH_PERIOD)),
+    }
+    gain = F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0)))
+    loss = F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0)))
+    smooth = {"_fast": (close, MACD_FAST, 1), "_slow": (close, MACD_SLOW, 1)}
+    for k in RSI_PERIODS:
+        smooth |= {f"_gain{k}": (gain, k, 2), f"_loss{k}": (loss, k, 2)}
+    macd, signal = F.col("_fast") - F.col("_slow"), F.col("_signal")
+    o = F.col("_open")
+    out = {f"tf_ma{k}_ratio": ratio(close, F.col(f"_m{k}")) - 1 for k in MA_PERIODS}
+    short, mid, long = (F.col(f"_m{k}") for k in MA_PERIODS)
+    out |= {"tf_ma5_10_cross": ratio(short - mid, o), "tf_ma5_20_cross": ratio(short - long, o)}
+    out |= {f"tf_rsi{k}": strength_index(F.col(f"_gain{k}"), F.col(f"_loss{k}")) for k in RSI_PERIODS}
+    band = 2 * BAND_WIDTH * F.col("_std")
+    out |= {
+        "tf_macd": ratio(macd, o),
+        "tf_macd_signal": ratio(signal, o),
+        "tf_macd_hist": ratio(macd - signal, o),
+        "tf_bb_position": share(close - (F.col(f"_m{BAND_PERIOD}") - BAND_WIDTH * F.col("_std")), band, 0.5),
+        "tf_bb_width": ratio(band, o),
+        "tf_stoch": share(close - F.col("_bottom"), F.col("_top") - F.col("_bottom"), 0.5),
+    }
+    return Family(first, {}, smooth, {"_signal": (macd, MACD_SIGNAL, 1)}, out)
+
+
+def _computed(bars: DataFrame, families: Sequence[Family]) -> DataFrame:
+    bars = _prepared(bars)
+    merged = Family(_common(), {}, {}, {}, {})
+    for f in families:
+        for part in ("first", "second", "smooth", "then", "out"):
+            getattr(merged, part).update(getattr(f, part))
+    work = bars.select("*", *[c.alias(n) for n, c in merged.first.items()])
+    if merged.second:
+        work = work.select("*", *[c.alias(n) for n, c in merged.second.items()])
+    for series in (merged.smooth, merged.then):
+        if series:
+            work = smoothed(work, series)
+    return work.select(*bars.columns, *[c.alias(n) for n, c in merged.out.items()])
+
+
+def price_features(bars: DataFrame) -> DataFrame:
+    return _computed(bars, [_price()])
+
+
+def volume_features(bars: DataFrame, causal: bool = False) -> DataFrame:
+    """Volume features. ``causal`` replaces the whole day's volume by the volume so far."""
+    return _computed(bars, [_volume(causal)])
+
+
+def technical_features(bars: DataFrame) -> DataFrame:
+    return _computed(bars, [_technical()])
 
 
 def _blocks():
@@ -150,30 +211,27 @@ def _in_block():
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def smoothed(df: DataFrame, series: dict[str, tuple[Column, int]]) -> DataFrame:
+def smoothed(df: DataFrame, series: dict[str, tuple[Column, int, int]]) -> DataFrame:
     """Exponentially weighted means (weight 2/(span+1), started at the first value).
 
-    ``series`` maps an output name to (input, span); ``df`` comes from :func:`with_blocks`.
-    Within a block the mean is a running sum of inputs scaled by the decay, which restarts at each
-    block so that the scale stays in range; the previous block's mean is then carried in.
-    Inputs may be null before the first value only.
+    ``series`` maps an output name to (input, span, number of its first row); ``df`` has the row
+    number of the series as ``_rn``. Within a block the mean is a running sum of inputs scaled by
+    the decay, which restarts at each block so that the scale stays in range; the previous block's
+    mean is then carried in. Inputs may be null before their first row only.
     """
-    terms, local, full = {}, {}, {}
-    for name, (x, span) in series.items():
+    if "_block" not in df.columns:
+        df = df.select("*", F.floor((F.col("_rn") - 1) / BLOCK).alias("_block"), ((F.col("_rn") - 1) % BLOCK).alias("_j"))
+    kept, terms, local, full = df.columns, [], [], []
+    for name, (x, span, start) in series.items():
         alpha = 2.0 / (span + 1)
-        first = x.isNotNull() & ((F.col("_rn") == 1) | ((F.col("_rn") == 2) & F.lag(x).over(_blocks()).isNull()))
-        terms[f"_x_{name}"] = F.when(first, x).otherwise(x * alpha) * F.pow(F.lit(1 - alpha), -F.col("_j").cast("double"))
-    df = df.withColumns(terms)
-    for name, (_, span) in series.items():
-        decay = F.lit(1 - 2.0 / (span + 1))
-        local[f"_l_{name}"] = F.sum(f"_x_{name}").over(_in_block()) * F.pow(decay, F.col("_j").cast("double"))
-    df = df.withColumns(local)
-    for name, (_, span) in series.items():
-        decay = F.lit(1 - 2.0 / (span + 1))
+        decay = F.lit(1 - alpha)
+        own = F.when(F.col("_rn") == start, x).otherwise(x * alpha)
+        terms.append((own * F.pow(decay, -F.col("_j").cast("double"))).alias(f"_x_{name}"))
+        local.append((F.sum(f"_x_{name}").over(_in_block()) * F.pow(decay, F.col("_j").cast("double"))).alias(f"_l_{name}"))
         at_end = F.when(F.col("_j") == BLOCK - 1, F.col(f"_l_{name}"))
         carried = F.last(at_end, ignorenulls=True).over(_blocks().rowsBetween(Window.unboundedPreceding, -1))
-        full[name] = F.col(f"_l_{name}") + F.coalesce(carried, F.lit(0.0)) * F.pow(decay, F.col("_j") + 1.0)
-    return df.withColumns(full).drop(*terms, *local)
+        full.append((F.col(f"_l_{name}") + F.coalesce(carried, F.lit(0.0)) * F.pow(decay, F.col("_j") + 1.0)).alias(name))
+    return df.select("*", *terms).select(*kept, *local).select(*kept, *full)
 
 
 def strength_index(gain: Column, loss: Column) -> Column:
@@ -182,44 +240,6 @@ def strength_index(gain: Column, loss: Column) -> Column:
     return 1 - 1 / (1 + rs)
 
 
-def technical_features(bars: DataFrame) -> DataFrame:
-    bars = _prepared(bars)
-    close = F.col("close")
-    work = bars.select(
-        "*",
-        F.first("open").over(_so_far()).alias("_open"),
-        (close - F.lag("close").over(_series())).alias("_delta"),
-        *[F.avg("close").over(_last(k)).alias(f"_m{k}") for k in MA_PERIODS],
-        F.coalesce(F.stddev_samp("close").over(_last(BAND_PERIOD)), F.lit(0.0)).alias("_std"),
-        F.max("high").over(_last(STOCH_PERIOD)).alias("_high"),
-        F.min("low").over(_last(STOCH_PERIOD)).alias("_low"),
-        F.row_number().over(_series()).alias("_rn"),
-    ).withColumns({"_block": F.floor((F.col("_rn") - 1) / BLOCK), "_j": (F.col("_rn") - 1) % BLOCK})
-    gain, loss = F.greatest(F.col("_delta"), F.lit(0.0)), F.greatest(-F.col("_delta"), F.lit(0.0))
-    gain, loss = F.when(F.col("_delta").isNotNull(), gain), F.when(F.col("_delta").isNotNull(), loss)
-    means = {"_fast": (close, MACD_FAST), "_slow": (close, MACD_SLOW)}
-    for k in RSI_PERIODS:
-        means[f"_gain{k}"] = (gain, k)
-        means[f"_loss{k}"] = (loss, k)
-    work = smoothed(work, means).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    work = smoothed(work, {"_signal": (F.col("_macd"), MACD_SIGNAL)})
-    o = F.col("_open")
-    out = {f"tf_ma{k}_ratio": ratio(close, F.col(f"_m{k}")) - 1 for k in MA_PERIODS}
-    short, mid, long = (F.col(f"_m{k}") for k in MA_PERIODS)
-    out["tf_ma5_10_cross"] = ratio(short - mid, o)
-    out["tf_ma5_20_cross"] = ratio(short - long, o)
-    for k in RSI_PERIODS:
-        out[f"tf_rsi{k}"] = strength_index(F.col(f"_gain{k}"), F.col(f"_loss{k}"))
-    out["tf_macd"] = ratio(F.col("_macd"), o)
-    out["tf_macd_signal"] = ratio(F.col("_signal"), o)
-    out["tf_macd_hist"] = ratio(F.col("_macd") - F.col("_signal"), o)
-    band = 2 * BAND_WIDTH * F.col("_std")
-    out["tf_bb_position"] = share(close - (F.col(f"_m{BAND_PERIOD}") - BAND_WIDTH * F.col("_std")), band, 0.5)
-    out["tf_bb_width"] = ratio(band, o)
-    out["tf_stoch"] = share(close - F.col("_low"), F.col("_high") - F.col("_low"), 0.5)
-    return _finish(work, bars.columns, out)
-
-
 def time_features(bars: DataFrame, session_minutes: int = 390) -> DataFrame:
     bars = _prepared(bars)
     known = "minutes_from_open" in bars.columns
@@ -248,7 +268,7 @@ def time_features(bars: DataFrame, session_minutes: int = 390) -> DataFrame:
             "tmf_is_first_hour": (m < 60).cast("int"),
             "tmf_is_last_hour": (m >= session_minutes - 60).cast("int"),
         }
-    return _finish(work, bars.columns, out)
+    return work.select(*bars.columns, *[c.alias(n) for n, c in out.items()])
 
 
 def index_features(index: DataFrame, by: Sequence[str] = ("market",)) -> DataFrame:
@@ -275,8 +295,7 @@ def add_index_features(bars: DataFrame, index: DataFrame, by: Sequence[str] = ("
 
 def build_features(bars: DataFrame, session_minutes: int = 390, index: DataFrame | None = None) -> DataFrame:
     """Price, volume, technical and time features, and index features when an index is given."""
-    out = technical_features(volume_features(price_features(bars)))
-    out = time_features(out, session_minutes)
+    out = time_features(_computed(bars, [_price(), _volume(), _technical()]), session_minutes)
     return out if index is None else add_index_features(out, index)
 
 
@@ -296,29 +315,28 @@ def add_lags(df: DataFrame, lookback: int, fill: str = "0fill") -> DataFrame:
     base = feature_columns(df, lags=False)
     work = df.withColumn("_f", F.struct(*base))
     work = work.select("*", *[F.lag("_f", n).over(_series()).alias(f"_f{n}") for n in range(1, lookback + 1)])
-
-    def lagged(name: str, n: int) -> Column:
-        value = F.col(f"_f{n}.{name}")
-        return F.coalesce(value, F.lit(0).cast(df.schema[name].dataType)) if fill == "0fill" else value
-
     if fill == "drop":
         work = work.filter(F.col(f"_f{lookback}.{base[0]}").isNotNull())
-    return work.select(
-        *df.columns, *[lagged(c, n).alias(f"{c}_lag{n}") for n in range(1, lookback + 1) for c in base]
-    )
+    value = "coalesce(_f{n}.`{c}`, 0)" if fill == "0fill" else "_f{n}.`{c}`"
+    lagged = [f"{value} AS `{{c}}_lag{{n}}`".format(n=n, c=c) for n in range(1, lookback + 1) for c in base]
+    return work.selectExpr(*[f"`{c}`" for c in df.columns], *lagged)
 
 
 def clean_features(df: DataFrame) -> DataFrame:
-    """Infinities become null, gaps take the day's last value, what is left becomes 0."""
+    """Infinities become null, gaps take the day's last value, what is left becomes 0.
+
+    Written as SQL text: with several hundred columns, building them one call at a time is slow.
+    """
     names = set(feature_columns(df))
     work = _prepared(df)
-    filled = work.select(*[finite(F.col(c)).alias(c) if c in names else F.col(c) for c in work.columns]).select(
-        *[
-            F.coalesce(F.last(c, ignorenulls=True).over(_so_far()), F.lit(0.0)).alias(c) if c in names else F.col(c)
-            for c in work.columns
-        ]
-    )
-    return filled
+
+    def each(template: str) -> list[str]:
+        return [(template if c in names else "`{c}`").format(c=c) for c in work.columns]
+
+    finite_only = "CASE WHEN NOT isnan(`{c}`) AND abs(`{c}`) < double('inf') THEN double(`{c}`) END AS `{c}`"
+    so_far = "PARTITION BY symbol, year, date ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    filled = f"coalesce(last_value(`{{c}}`) IGNORE NULLS OVER ({so_far}), 0D) AS `{{c}}`"
+    return work.selectExpr(*each(finite_only)).selectExpr(*each(filled))
 
 
 def sequences(df: DataFrame, lookback: int, fill: str = "drop", columns: Sequence[str] | None = None) -> DataFrame:

@@ -171,18 +171,24 @@ def parameter_grid(
             f"_t{d}", _kept_apart(F.col("troughs"), d)
         )
 
-    def count(c: str, pct: float, w: int) -> Column:
-        least = F.col("first_open") * pct
-        return F.size(F.filter(c, lambda p: (p["prominence"] >= least) & (p["width"] >= w)))
-
-    cells = [
-        F.struct(
-            F.lit(float(pct)).alias("prominence_pct"), F.lit(d).alias("distance"), F.lit(w).alias("width"),
-            count(f"_p{d}", pct, w).alias("n_peaks"), count(f"_t{d}", pct, w).alias("n_troughs"),
-        )
-        for pct in prominences for d in distances for w in widths
-    ]
-    out = days.select("symbol", "date", F.size("bars").alias("n_bars"), F.inline(F.array(*cells)))
+    levels = F.array(
+        *[F.struct(F.lit(float(p)).alias("pct"), F.lit(w).alias("width")) for p in prominences for w in widths]
+    )
+
+    def cells(d: int) -> Column:
+        def count(c: str, level: Column) -> Column:
+            least = F.col("first_open") * level["pct"]
+            return F.size(F.filter(c, lambda p: (p["prominence"] >= least) & (p["width"] >= level["width"])))
+
+        def cell(level: Column) -> Column:
+            return F.struct(
+                level["pct"].alias("prominence_pct"), F.lit(d).alias("distance"), level["width"].alias("width"),
+                count(f"_p{d}", level).alias("n_peaks"), count(f"_t{d}", level).alias("n_troughs"),
+            )
+
+        return F.transform(levels, cell)
+
+    out = days.select("symbol", "date", F.size("bars").alias("n_bars"), F.inline(F.concat(*[cells(d) for d in distances])))
     total = F.col("n_peaks") + F.col("n_troughs")
     return out.withColumns({"total_labels": total, "label_ratio": total / F.col("n_bars")})
 

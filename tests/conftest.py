@@ -9,7 +9,7 @@ from tapewright.session import build_session
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g"}
+        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"}
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

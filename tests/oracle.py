@@ -69,7 +69,7 @@ def main() -> int:
     args.add_argument("names", nargs="*")
     opts = args.parse_args()
     folder = f"/root/testdata/sf{opts.sf}"
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, twins, bad = connect(folder), oracle_sql(), 0
     for name, run in queries().items():
