@@ -127,7 +127,7 @@ def label_edits(spark, folder):
 
 
 @query(
-    "A-07",
+    "A-07 X-02",
     with_tables(
         """SELECT CAST(sum(n) AS BIGINT) AS total_bars, CAST(sum(n) - sum(p) - sum(t) AS BIGINT) AS n_neither, CAST(sum(p) AS BIGINT) AS n_peaks,
           CAST(sum(t) AS BIGINT) AS n_troughs, round(sum(p) / sum(n), 8) AS peak_ratio, round(sum(t) / sum(n), 8) AS trough_ratio,
