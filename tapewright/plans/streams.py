@@ -62,13 +62,19 @@ def streamed_corrections(spark, folder):
 
 @query(
     "R-04 R-03 R-01 P-13",
+    # Bars of the second half of the month see the five dates before it, as the stream keeps them.
     with_tables(
         """SELECT symbol, ts, close, round(p, 8) AS peak_prob, round(t, 8) AS trough_prob,
           CAST(CASE WHEN p >= 0.5 AND p >= t THEN 1 WHEN t >= 0.5 AND t > p THEN 2 ELSE 0 END AS TINYINT) AS signal
         FROM (SELECT *, CASE WHEN h > l THEN (close - l) / (h - l) ELSE 0.5 END AS p, 1 - CASE WHEN h > l THEN (close - l) / (h - l) ELSE 0.5 END AS t
-          FROM (SELECT *, max(high) OVER w AS h, min(low) OVER w AS l FROM sess
-            WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)))""",
+          FROM (SELECT *, max(high) OVER w AS h, min(low) OVER w AS l FROM seen
+            WINDOW w AS (PARTITION BY symbol, half ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))) WHERE fresh""",
         "sess",
+        extra="""past AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r
+            FROM (SELECT DISTINCT symbol, date FROM sess WHERE date < DATE '2024-01-16')),
+          seen AS (SELECT *, 1 AS half, true AS fresh FROM sess WHERE date < DATE '2024-01-16'
+            UNION ALL SELECT *, 2, true FROM sess WHERE date >= DATE '2024-01-16'
+            UNION ALL SELECT s.*, 2, false FROM sess s JOIN past p ON s.symbol = p.symbol AND s.date = p.date WHERE p.r <= 5)""",
     ),
 )
 def streamed_signals(spark, folder):
