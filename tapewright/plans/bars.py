@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.columns import between_dates, pad_code, to_market_time
 from tapewright.operators import bars as B
-from tapewright.operators.features import bar_numbers, build_features
+from tapewright.operators.features import add_index_features, bar_numbers, build_features
 from tapewright.operators.joins import rounded
 from tapewright.operators.ordered import asof_join
 from tapewright.operators.summaries import market_summary, volume_cap
@@ -431,8 +431,6 @@ def days_without_peaks(spark, folder):
     ),
 )
 def index_features(spark, folder):
-    from tapewright.operators.features import add_index_features
-
     index = B.bars_from_ticks(ticks(spark, folder).withColumn("market", F.lit("us")), 5, ("market",), ("ts", "event_id"))
     out = add_index_features(session(spark, folder).withColumn("market", F.lit("us")), index)
     names = [c for c in out.columns if c.startswith("mf_")]
