@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.bpe import MEMO_ENTRIES, built
 from tapewright.llm.common import LOWER, UPPER, longs, per_batch, plain_text
 from tapewright.llm.components import components
 from tapewright.session import stage
 
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SHARED = 0.1  # assumed chance that a shingle of one set is in another, for the expected cost of an allocation
-BLOCK = 256  # sets that are joined with each other or with another block's at a time
+CHUNK = 1 << 19  # bytes of text that are hashed at a time
+MET = 1_000_000  # nodes that a task remembers, so as to give their rows once
+BLOCK = 512  # sets that are joined with each other or with another block's at a time
+
+
+ZERO = np.zeros(1, np.int64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,28 +46,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """64-bit hash of each word met."""
+FACTORS = mixed(np.arange(1, 65, dtype=np.uint64) * M1) | np.uint64(1)
+VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * M2)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of some bytes, words being separated by ASCII white space."""
+    space = SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    size = ends - starts
+    out = size.astype(np.uint64) * M2
+    # A sum of bytes times fixed random factors, byte by byte for all words at once; the few long words one by one.
+    long = np.flatnonzero(size > len(FACTORS))
+    order = np.argsort(-size, kind="stable")[len(long) :]
+    size_in_order = size[order]
+    for k in range(int(size_in_order[0]) if len(order) else 0):
+        these = order[: np.searchsorted(-size_in_order, -k, side="left")]
+        out[these] += FACTORS[k] * VALUES[data[starts[these] + k]]
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return starts, mixed(out)
 
-def shingle_set(text: str, width: int, words: Words) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; with fewer words the whole sequence is one; without words empty."""
-    found = text.encode().translate(LOWER_BYTES).split()  # bytes split at ASCII white space only
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    k = min(width, len(h))
+
+def _combined(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every k words in a row."""
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = mixed((out ^ h[i : i + n]) + M1)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Per text the sorted 64-bit hashes of its distinct shingles; with fewer words the whole sequence is one; without words none."""
+    raw = [t.encode().translate(LOWER_BYTES) for t in texts]
+    out: list[np.ndarray] = []
+    while len(out) < len(raw):
+        part, size = [], 0
+        while len(out) + len(part) < len(raw) and (not part or size + len(raw[len(out) + len(part)]) < CHUNK):
+            part.append(raw[len(out) + len(part)])
+            size += len(part[-1]) + 1
+        starts, h = word_hashes(np.frombuffer(b"\n".join(part), np.uint8))
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in part)])).tolist()
+        every = _combined(h, width) if len(h) >= width else h[:0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            n = hi - lo
+            out.append(np.unique(every[lo : hi - width + 1]) if n >= width else _combined(h[lo:hi], n) if n else h[:0])
+    return out
 
 
 def node_of(hashes: np.ndarray) -> bytes:
@@ -115,36 +148,42 @@ def allocate(top: int, percent: int, sets: int) -> Allocation:
 
 
 def signatures(hashes: np.ndarray, scheme: int, a: Allocation) -> np.ndarray:
-    """64-bit signatures of one set under one band's allocation."""
+    """64-bit signatures of one set under one band's allocation. Segments are equal ranges of the hash, which is sorted."""
     segments = a.exact + a.near
-    where = ((mixed(hashes ^ M1) >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    parts = mixed(hashes[order] + M1)
-    size = np.bincount(where, minlength=segments)
-    ends = np.cumsum(size)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts, dtype=np.uint64)])
-    sums = total[ends] - total[ends - size]
-    tag = mixed(np.arange(segments, dtype=np.uint64) + np.uint64(scheme << 32) + M3)
-    exact = sums[: a.exact] ^ tag[: a.exact]
+    bounds, tag = _segments(segments, scheme)
+    parts = mixed(hashes + M1)
+    total = np.zeros(len(parts) + 1, np.uint64)
+    np.cumsum(parts, out=total[1:])
+    ends = np.searchsorted(hashes, bounds)
+    begins = np.concatenate([ZERO, ends[:-1]])
+    sums = (total[ends] - total[begins]) ^ tag
+    exact = sums[: a.exact]
     if a.left_out:  # those with the fewest shingles, which many sets share
-        exact = exact[np.argsort(size[: a.exact], kind="stable")[a.left_out :]]
+        exact = exact[np.argsort((ends - begins)[: a.exact], kind="stable")[a.left_out :]]
     if not a.near:
         return mixed(exact)
-    out = [exact, sums[a.exact :] ^ tag[a.exact :]]
+    out = [exact, sums[a.exact :]]
     for k in range(a.exact, segments):
-        out.append((sums[k] - parts[ends[k] - size[k] : ends[k]]) ^ tag[k])
+        out.append((total[ends[k]] - total[begins[k]] - parts[begins[k] : ends[k]]) ^ tag[k])
     return mixed(np.unique(np.concatenate(out)))
 
 
+@lru_cache(4096)
+def _segments(segments: int, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each segment ends, and what sets its signatures apart."""
+    step = (1 << 64) // segments
+    bounds = np.array([*(step * k for k in range(1, segments)), (1 << 64) - 1], np.uint64)
+    return bounds, mixed(np.arange(segments, dtype=np.uint64) + np.uint64(scheme << 32) + M3)
+
+
 def profiles(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, n_shingles, band and node (null without shingles) of every row."""
 
     def start():
-        words = built("words", Words)
         tops = band_tops(percent, 1)
 
         def work(cols):
-            sets = [shingle_set(t, width, words) for t in cols["text"]]
+            sets = shingle_sets(cols["text"], width)
             if (largest := max(map(len, sets))) > tops[-1]:
                 tops[:] = band_tops(percent, 2 * largest)
             return {
@@ -162,16 +201,14 @@ def profiles(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
 def signature_rows(docs: DataFrame, plan: dict[int, Allocation], tops: list[int], width: int, text_col: str) -> DataFrame:
     """sig, node: a set's signatures under its own band's allocation and that of the band below. Copies in a task count once."""
     def start():
-        words = built("words", Words)
         met: set[bytes] = set()
 
         def work(cols):
             sigs, nodes = [np.empty(0, np.uint64)], []
-            for t in cols["text"]:
-                s = shingle_set(t, width, words)
+            for s in shingle_sets(cols["text"], width):
                 if not len(s) or (node := node_of(s)) in met:
                     continue
-                if len(met) >= MEMO_ENTRIES:
+                if len(met) >= MET:
                     met.clear()
                 met.add(node)
                 band = bisect_left(tops, len(s))
@@ -190,18 +227,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """The pairs (p, q) that are linked, by their whole sets."""
 
     def start():
-        words = built("words", Words)
-        last: dict[bytes, np.ndarray] = {}
-
-        def of(node, text):
-            if node not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[node] = shingle_set(text, width, words)
-            return last[node]
-
         def work(cols):
-            keep = [(p, q) for p, q, a, b in zip(cols["p"], cols["q"], cols["p_text"], cols["q_text"]) if linked(of(p, a), shingle_set(b, width, words), percent)]
+            first = dict(zip(cols["p"], cols["p_text"]))  # a smallest set stands beside many others
+            of = dict(zip(first, shingle_sets(list(first.values()), width)))
+            keep = [(p, q) for p, q, b in zip(cols["p"], cols["q"], shingle_sets(cols["q_text"], width)) if linked(of[p], b, percent)]
             return {"p": pa.array([p for p, _ in keep], pa.binary()), "q": pa.array([q for _, q in keep], pa.binary())}
 
         return work
@@ -212,8 +241,15 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _block_links(left, right, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between two lists of (node, component, set), or within one; by the rarest shingles of each set."""
+    """Links between two lists of (node, component, set), or within one, that connect their components; by the rarest shingles."""
     own = left is right
+    joined: dict[bytes, bytes] = {}  # components that links found here have joined
+
+    def root(x):
+        while (up := joined.get(x, x)) != x:
+            x = up
+        return x
+
     every = left if own else left + right
     values, counts = np.unique(np.concatenate([s for *_, s in every]), return_counts=True)
     index: dict[int, list[int]] = {}
@@ -226,8 +262,10 @@ def _block_links(left, right, percent: int) -> list[tuple[bytes, bytes]]:
 
     def probe(k, item, tokens):
         for j in {j for t in tokens for j in index.get(t, ())}:
-            if left[j][1] != item[1] and linked(left[j][2], item[2], percent):
+            a, b = root(left[j][1]), root(item[1])
+            if a != b and linked(left[j][2], item[2], percent):
                 out.append((left[j][0], item[0]))
+                joined[max(a, b)] = min(a, b)
 
     for k, item in enumerate(left):
         tokens = rare(item[2])
@@ -255,8 +293,8 @@ def block_joined(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     def work(key, frame):
         import pandas as pd
 
-        words = built("words", Words)
-        items = [(m, (bytes(node), bytes(root), shingle_set(t, width, words))) for m, node, root, t in zip(frame["mine"], frame["node"], frame["root"], frame["text"])]
+        sets = shingle_sets(frame["text"].tolist(), width)
+        items = [(m, (bytes(node), bytes(root), s)) for m, node, root, s in zip(frame["mine"], frame["node"], frame["root"], sets)]
         i, j = key[1], key[2]
         left = [x for m, x in items if m == i]
         found = _block_links(left, left if i == j else [x for m, x in items if m == j], percent) if left else []
@@ -293,13 +331,12 @@ def node_links(docs: DataFrame, profile: DataFrame, width: int, percent: int, te
     links = stage(verified(pairs, texts, width, percent), "ngram-links")
     roots = components(links)
 
-    # Groups of two are settled; so are those within one component. Groups of the same nodes are joined once.
-    open_ = met.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    groups = open_.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x")
-    )
-    groups = groups.filter("n > 2 and low < high").groupBy("n", "s", "x").agg(F.min("sig").alias("sig")).select("sig", "n")
-    rest = stage(open_.join(groups, "sig").select(F.col("sig").alias("group"), "n", "node", "root"), "ngram-open")
+    # Groups of two are settled; so are those within one component. Groups with the same smallest set become one, so that
+    # a set is read once for it, whatever the number of signatures they share.
+    rooted = met.join(roots, "node", "left").select("sig", "pivot", "node", F.coalesce("root", "node").alias("root"))
+    unsettled = rooted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 2 and low < high").select("sig")
+    rest = stage(rooted.join(unsettled, "sig", "left_semi").select(F.col("pivot").alias("group"), "node", "root").distinct(), "ngram-open")
+    rest = rest.join(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group")
     return links.unionByName(stage(block_joined(rest, texts, width, percent), "ngram-links"))
 
 
@@ -307,10 +344,9 @@ def _of_their_sets(texts: DataFrame, width: int) -> DataFrame:
     """Rows whose text has the node's set; a key that two texts share leads to rows of both."""
 
     def start():
-        words = built("words", Words)
 
         def work(cols):
-            keep = [(n, t) for n, t in zip(cols["node"], cols["text"]) if node_of(shingle_set(t, width, words)) == n]
+            keep = [(n, t) for n, t, s in zip(cols["node"], cols["text"], shingle_sets(cols["text"], width)) if node_of(s) == n]
             return {"node": pa.array([n for n, _ in keep], pa.binary()), "text": pa.array([t for _, t in keep], pa.string())}
 
         return work
