@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, exact_dedup, lm_scores, mixing, quality_rules, token_counts
+from tapewright.llm import bpe, exact_dedup, lm_scores, mixing, ngram_join, quality_rules, token_counts, toxicity
 from tapewright.llm.common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -77,10 +77,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+SQL7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM d
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path=public_tokenizers.path(BYTE_BPE), pattern=public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -109,5 +139,5 @@ SELECT doc_id, size, source_size, target, (size * (whole + (before + words / 2 <
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op5_quality_rules, op8_token_counts, op10_source_mix)}
-SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op10_source_mix": SQL10}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op5_quality_rules, op7_ngram_join, op8_token_counts, op9_toxicity, op10_source_mix)}
+SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op7_ngram_join": SQL7, "op10_source_mix": SQL10}
