@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, exact_dedup, lm_scores, mixing, ngram_join, quality_rules, token_counts, toxicity
+from tapewright.llm import bpe, exact_dedup, html_text, lm_scores, mixing, ngram_join, pii, quality_rules, token_counts, toxicity
 from tapewright.llm.common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,11 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score_documents(table(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents")))
     base = ~quality_rules.passes(quality_rules.BASE)
@@ -77,6 +82,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
     return out.select("doc_id", "n_shingles", "component_id")
@@ -139,5 +148,5 @@ SELECT doc_id, size, source_size, target, (size * (whole + (before + words / 2 <
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op5_quality_rules, op7_ngram_join, op8_token_counts, op9_toxicity, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op4_pii, op5_quality_rules, op6_html_text, op7_ngram_join, op8_token_counts, op9_toxicity, op10_source_mix)}
 SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op7_ngram_join": SQL7, "op10_source_mix": SQL10}
