@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,20 @@ def build_session(app: str = "tapewright", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Only a session whose tasks run in the driver's own process gets a folder of its own where the setting is missing; on a
+    cluster each machine would write to its own disk, so that is an error.
+    """
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapewright-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; executors of {master} need a folder that all of them share")
+        folder = tempfile.mkdtemp(prefix="tapewright-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir() or folder
 
