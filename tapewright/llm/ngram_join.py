@@ -34,6 +34,7 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 SHARED = 0.1  # assumed chance that a shingle of one set is in another, for the expected cost of an allocation
 CHUNK = 1 << 19  # bytes of text that are hashed at a time
 MET = 1_000_000  # nodes that a task remembers, so as to give their rows once
+FILTER_BITS = 1 << 25  # 4 MB, whatever the corpus
 BLOCK = 512  # sets that are joined with each other or with another block's at a time
 
 
@@ -321,7 +322,7 @@ def node_links(docs: DataFrame, profile: DataFrame, width: int, percent: int, te
     nodes = profile.filter("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("n_shingles").alias("n"))
     nodes = stage(nodes.join(met.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
     text = plain_text(text_col)
-    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(nodes.select("node", "text_key"), "text_key").select("node", "text")
+    texts = _likely(docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")), nodes).join(nodes.select("node", "text_key"), "text_key").select("node", "text")
     texts = stage(_of_their_sets(texts, width).dropDuplicates(["node"]), "ngram-texts")
 
     sizes = nodes.select("node", "n")
@@ -340,6 +341,19 @@ def node_links(docs: DataFrame, profile: DataFrame, width: int, percent: int, te
     return links.unionByName(stage(block_joined(rest, texts, width, percent), "ngram-links"))
 
 
+def _likely(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose key may be among the nodes', by a bitmap of FILTER_BITS; the join that follows decides.
+
+    The bitmap keeps texts that nobody asks for out of the shuffle. Its size is fixed: with more nodes than bits it lets all through.
+    """
+    place = F.pmod("text_key", F.lit(FILTER_BITS))
+    bits = nodes.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bit div 8 as int)") + 1, F.lit(1))), 16, 10).cast("int")
+    held = texts.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", bit).join(F.broadcast(bits), "bucket")
+    return held.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select("text_key", "text")
+
+
 def _of_their_sets(texts: DataFrame, width: int) -> DataFrame:
     """Rows whose text has the node's set; a key that two texts share leads to rows of both."""
 
