@@ -60,9 +60,9 @@ def read_table(
 ) -> DataFrame:
     """Scan of a stage table; market, symbol and year prune partitions, time reaches the Parquet filter.
 
-    ``variant`` filters plain columns, e.g. ``label_config="L2"``. Unreadable files are skipped.
+    ``variant`` filters plain columns, e.g. ``label_config="L2"``. An unreadable file is an error.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true")
+    reader = spark.read
     df = (reader.schema(schema) if schema is not None else reader).parquet(path)
     keep: list[Column] = [F.col(k) == v for k, v in variant.items()]
     if market is not None:
