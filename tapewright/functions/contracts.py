@@ -4,24 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# --- Fixed value: exchange option symbol, e.g. "AAPL  260109P00270000" -------
-SYMBOL_PATTERN = r"^(\S+?)\s+(\d{6})([CP])(\d{8})$"
+# --- Fixed values: layout of an exchange option symbol, e.g. "AAPL  260109P00270000" ---
+ROOT_WIDTH, DATE_WIDTH, STRIKE_WIDTH = 6, 6, 8
+TAIL_WIDTH = DATE_WIDTH + 1 + STRIKE_WIDTH
 
 
 def parse_symbol(symbol: Column) -> Column:
-    """Struct of underlying, expiry, cp and strike; null when the text is no option symbol."""
-    text = F.trim(symbol)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, SYMBOL_PATTERN, i)
+    """Struct of underlying, expiry, cp and strike; null when the text is no option symbol.
 
+    Read from the right, where the widths are fixed: what is left of the tail is the root, of any length.
+    """
+    text = F.trim(symbol)
+    head = F.substring(text, F.lit(1), F.length(text) - TAIL_WIDTH)
+    root = F.rtrim(head)
+    date = F.substring(text, -TAIL_WIDTH, DATE_WIDTH)
+    cp = F.substring(text, -(STRIKE_WIDTH + 1), 1)
+    strike = F.substring(text, -STRIKE_WIDTH, STRIKE_WIDTH)
+    digits = F.concat(date, strike)
+    valid = (
+        (F.length(root) > 0) & (F.length(head) > F.length(root)) & ~F.contains(root, F.lit(" "))
+        & cp.isin("C", "P") & (F.length(digits) == DATE_WIDTH + STRIKE_WIDTH) & digits.rlike("^[0-9]+$")
+    )
     parsed = F.struct(
-        part(1).alias("underlying"),
-        F.try_to_date(F.concat(F.lit("20"), part(2)), "yyyyMMdd").alias("expiry"),
-        part(3).alias("cp"),
-        (F.expr("0D") + F.try_to_number(part(4), F.lit("99999999")).cast("double") / 1000).alias("strike"),
+        root.alias("underlying"),
+        F.try_to_date(F.concat(F.lit("20"), date), "yyyyMMdd").alias("expiry"),
+        cp.alias("cp"),
+        (F.expr("0D") + F.try_to_number(strike, F.lit("9" * STRIKE_WIDTH)).cast("double") / 1000).alias("strike"),
     )
-    return F.when(text.rlike(SYMBOL_PATTERN), parsed)
+    return F.when(valid, parsed)
 
 
 def with_contract(df: DataFrame, symbol: str = "symbol") -> DataFrame:
@@ -31,8 +41,10 @@ def with_contract(df: DataFrame, symbol: str = "symbol") -> DataFrame:
 
 
 def make_symbol(underlying: Column, expiry: Column, cp: Column, strike: Column) -> Column:
+    """Symbol with the whole root: padded when short, never cut, so that no two roots share a symbol."""
+    root = F.upper(underlying)
     return F.concat(
-        F.rpad(F.substring(F.upper(underlying), 1, 6), 7, " "),
+        F.rpad(root, F.greatest(F.length(root), F.lit(ROOT_WIDTH)) + 1, F.lit(" ")),
         F.date_format(expiry, "yyMMdd"),
         cp,
         F.lpad(F.round(strike * 1000).cast("long").cast("string"), 8, "0"),

@@ -148,7 +148,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "contracts": (
         ("ladders",),
-        f"""SELECT *, rpad(upper(substr(underlying, 1, 6)), 7, ' ') || strftime(expiry, '%y%m%d') || cp
+        f"""SELECT *, rpad(upper(underlying), CAST(greatest(length(underlying), 6) + 1 AS INTEGER), ' ') || strftime(expiry, '%y%m%d') || cp
               || lpad(CAST(CAST(round(strike * 1000) AS BIGINT) AS VARCHAR), 8, '0') AS contract
           FROM (SELECT symbol AS underlying, {FRIDAY.format(d='date')} AS expiry, cp, s / 8 AS strike,
                   min(date) AS period_start, arg_min(close, date) AS stock_close

@@ -122,3 +122,18 @@ def test_variants():
     for bad in (lambda: label_variant("L1", "2m"), lambda: model_variant("M9"), lambda: session_of("jp")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_long_roots_keep_their_own_contracts(spark):
+    rows = [(r, dt.date(2026, 1, 16), "P", 270.5) for r in ("AAPL", "purchase", "purchaser")]
+    df = spark.createDataFrame(rows, "u string, e date, cp string, k double")
+    made = df.withColumn("symbol", C.make_symbol(F.col("u"), F.col("e"), F.col("cp"), F.col("k")))
+    got = {r.u: r for r in C.with_contract(made).collect()}
+    assert got["AAPL"].symbol == "AAPL   260116P00270500" and len({r.symbol for r in got.values()}) == 3
+    for u, r in got.items():
+        assert (r.underlying, r.expiry, r.strike) == (u.upper(), dt.date(2026, 1, 16), 270.5)
+
+
+def test_texts_that_are_no_contract(spark):
+    texts = ["", "AAPL", "260116P00270000", "AAPL260116P00270000", "A B  260116P00270000", "AAPL 260116X00270000", "AAPL 26011xP00270000", None]
+    assert C.with_contract(spark.createDataFrame([(t,) for t in texts], "symbol string")).count() == 0
