@@ -48,8 +48,10 @@ def _so_far():
     return _day().rowsBetween(Window.unboundedPreceding, 0)
 
 
-# Long enough that the weight left of an older block is below double precision for spans up to 26.
+# Shortest block; it serves spans up to 26, longer spans take longer blocks.
 BLOCK = 512
+# Natural logarithm of a weight that no longer shows in a double.
+FADED = 39.0
 
 
 def _last(k: int):
@@ -201,37 +203,55 @@ def technical_features(bars: DataFrame) -> DataFrame:
     return _computed(bars, [_technical()])
 
 
-def _blocks():
+def block_of(span: int) -> int:
+    """Rows per block: so many that what a row weighs one whole block later is below double precision."""
+    size, fade = BLOCK, -math.log(1 - 2.0 / (span + 1))
+    while size * fade < FADED:
+        size *= 2
+    return size
+
+
+def _blocks(block: str):
     # Ordering by the block first changes nothing in a series, and lets both windows share one sort.
-    return Window.partitionBy("symbol", "year").orderBy("_block", "date", "ts")
+    return Window.partitionBy("symbol", "year").orderBy(block, "date", "ts")
 
 
-def _in_block():
-    w = Window.partitionBy("symbol", "year", "_block").orderBy("date", "ts")
+def _in_block(block: str):
+    w = Window.partitionBy("symbol", "year", block).orderBy("date", "ts")
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def smoothed(df: DataFrame, series: dict[str, tuple[Column, int, int]]) -> DataFrame:
-    """Exponentially weighted means (weight 2/(span+1), started at the first value).
+    """Exponentially weighted means (weight 2/(span+1), started at the first value), for any span.
 
     ``series`` maps an output name to (input, span, number of its first row); ``df`` has the row
     number of the series as ``_rn``. Within a block the mean is a running sum of inputs scaled by
     the decay, which restarts at each block so that the scale stays in range; the previous block's
-    mean is then carried in. Inputs may be null before their first row only.
+    mean is then carried in. Blocks grow with the span, so that older blocks weigh nothing a double
+    could hold. Inputs may be null before their first row only.
     """
-    if "_block" not in df.columns:
-        df = df.select("*", F.floor((F.col("_rn") - 1) / BLOCK).alias("_block"), ((F.col("_rn") - 1) % BLOCK).alias("_j"))
     kept, terms, local, full = df.columns, [], [], []
+    sizes = sorted({block_of(span) for _, span, _ in series.values() if span > 1})
+    for size in sizes:
+        df = df.withColumns({f"_block{size}": F.floor((F.col("_rn") - 1) / size), f"_j{size}": (F.col("_rn") - 1) % size})
     for name, (x, span, start) in series.items():
+        if span <= 1:
+            terms.append(F.when(F.col("_rn") >= start, x).alias(f"_l_{name}"))
+            local.append(F.col(f"_l_{name}"))
+            full.append(F.col(f"_l_{name}").alias(name))
+            continue
+        size = block_of(span)
+        block, j = f"_block{size}", F.col(f"_j{size}")
         alpha = 2.0 / (span + 1)
         decay = F.lit(1 - alpha)
         own = F.when(F.col("_rn") == start, x).otherwise(x * alpha)
-        terms.append((own * F.pow(decay, -F.col("_j").cast("double"))).alias(f"_x_{name}"))
-        local.append((F.sum(f"_x_{name}").over(_in_block()) * F.pow(decay, F.col("_j").cast("double"))).alias(f"_l_{name}"))
-        at_end = F.when(F.col("_j") == BLOCK - 1, F.col(f"_l_{name}"))
-        carried = F.last(at_end, ignorenulls=True).over(_blocks().rowsBetween(Window.unboundedPreceding, -1))
-        full.append((F.col(f"_l_{name}") + F.coalesce(carried, F.lit(0.0)) * F.pow(decay, F.col("_j") + 1.0)).alias(name))
-    return df.select("*", *terms).select(*kept, *local).select(*kept, *full)
+        terms.append((own * F.pow(decay, -j.cast("double"))).alias(f"_x_{name}"))
+        local.append((F.sum(f"_x_{name}").over(_in_block(block)) * F.pow(decay, j.cast("double"))).alias(f"_l_{name}"))
+        at_end = F.when(j == size - 1, F.col(f"_l_{name}"))
+        carried = F.last(at_end, ignorenulls=True).over(_blocks(block).rowsBetween(Window.unboundedPreceding, -1))
+        full.append((F.col(f"_l_{name}") + F.coalesce(carried, F.lit(0.0)) * F.pow(decay, j + 1.0)).alias(name))
+    blocks = [c for size in sizes for c in (f"_block{size}", f"_j{size}")]
+    return df.select("*", *terms).select(*kept, *blocks, *local).select(*kept, *full)
 
 
 def strength_index(gain: Column, loss: Column) -> Column:

@@ -117,3 +117,16 @@ def test_index_tolerance(spark):
     index = spark.sql("SELECT 'm' AS market, explode(array(TIMESTAMP_NTZ '2025-01-02 09:59:00', TIMESTAMP_NTZ '2025-01-02 10:00:00')) AS ts, 10.0D AS close")
     got = [r.mf_idx_return_1m for r in X.add_index_features(bars, index).orderBy("ts").collect()]
     assert got == [0.0, None]
+
+
+def test_smoothed_means_of_any_span(spark):
+    rng = np.random.default_rng(5)
+    x = 100 + rng.normal(size=4000).cumsum()
+    pdf = pd.DataFrame({"symbol": "A", "year": 2024, "_rn": np.arange(1, 4001), "x": x})
+    pdf["ts"] = pd.Timestamp("2024-01-02") + pd.to_timedelta(pdf["_rn"], unit="min")
+    df = spark.createDataFrame(pdf).withColumn("date", F.to_date("ts"))
+    spans = (1, 2, 5, 26, 60, 200, 1000)
+    got = X.smoothed(df, {f"s{k}": (F.col("x"), k, 1) for k in spans}).toPandas().sort_values("_rn")
+    for k in spans:
+        want = pd.Series(x).ewm(span=k, adjust=False).mean()
+        np.testing.assert_allclose(got[f"s{k}"], want, rtol=1e-10, err_msg=str(k))
