@@ -85,20 +85,20 @@ def search(rows: DataFrame, candidates: Iterable[TreeParams]) -> list[tuple[Tree
     return sorted(results, key=lambda r: -r[1])
 
 
-def calibrate(scored: DataFrame, score: str, target: str) -> IsotonicRegressionModel:
+def calibrate(scored: DataFrame, score: str, target: str, decimals: int = 6) -> IsotonicRegressionModel:
     """Isotonic calibration.
 
-    Scores are counted per value at six decimals first, so at most a million points are fitted
-    whatever the number of rows.
+    For the fit, scores are counted per value at ``decimals`` places first, which bounds the points at
+    ten to that power (a million) whatever the number of rows. Scoring takes scores in full.
     """
-    points = scored.groupBy(F.round(score, 6).alias("_x")).agg(
+    points = scored.groupBy(F.round(score, decimals).alias("_x")).agg(
         F.avg(F.col(target).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
     )
     return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(points)
 
 
 def calibrated(model: IsotonicRegressionModel, scored: DataFrame, score: str, name: str) -> DataFrame:
-    out = model.transform(scored.withColumn("_x", F.round(score, 6)))
+    out = model.transform(scored.withColumn("_x", F.col(score).cast("double")))
     return out.withColumn(name, F.least(F.greatest("calibrated", F.lit(0.0)), F.lit(1.0))).drop("_x", "calibrated")
 
 

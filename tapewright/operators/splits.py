@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tapewright.operators.ordered import running_totals
@@ -49,6 +48,23 @@ def ratio_split(df: DataFrame, ts: str = "ts", tie: str = "symbol", train: float
     return ranked.withColumn("split", split.otherwise(F.lit("test"))).drop("_t", "_before", "_rank")
 
 
+def fold_bounds(
+    df: DataFrame, ts: str = "ts", train_months: int = WALK_TRAIN_MONTHS, test_months: int = WALK_TEST_MONTHS
+) -> DataFrame:
+    """One row with the array ``folds`` of (fold, start, cut, stop) that fit between the first and last time.
+
+    A fold starts ``test_months`` after the one before; the calendar clamps month ends at each step.
+    """
+    t, step, reach = F.col(ts).cast("timestamp_ntz"), F.expr(f"INTERVAL {test_months} MONTH"), F.expr(f"INTERVAL {train_months} MONTH")
+    span = df.agg(F.min(t).alias("lo"), F.max(t).alias("last"))
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.months_between("last", "lo") / test_months), F.lit(1)).cast("int"))
+    starts = F.aggregate(steps, F.array("lo"), lambda got, _: F.concat(got, F.array(F.element_at(got, -1) + step)))
+    spans = F.transform(
+        starts, lambda at, i: F.struct(i.alias("fold"), at.alias("start"), (at + reach).alias("cut"), (at + reach + step).alias("stop"))
+    )
+    return span.select(F.filter(spans, lambda f: f["stop"] <= F.col("last") + F.expr("INTERVAL 1 DAY")).alias("folds"))
+
+
 def walk_forward(
     df: DataFrame, ts: str = "ts", train_months: int = WALK_TRAIN_MONTHS, test_months: int = WALK_TEST_MONTHS
 ) -> DataFrame:
@@ -57,33 +73,15 @@ def walk_forward(
     Fold bounds follow from the first and last time alone; rows pick theirs from that short list.
     Folds without rows on either side are left out.
     """
-    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
-    if lo is None:
-        return df.select("*", F.lit(0).alias("fold"), F.lit("train").alias("role")).limit(0)
-    start, end = pd.Timestamp(lo), pd.Timestamp(hi) + pd.Timedelta(days=1)
-    bounds = []
-    while True:
-        train_end = start + pd.DateOffset(months=train_months)
-        test_end = train_end + pd.DateOffset(months=test_months)
-        if test_end > end:
-            break
-        bounds.append((start, train_end, test_end))
-        start += pd.DateOffset(months=test_months)
-
-    def at(x: pd.Timestamp):
-        return F.lit(str(x)).cast("timestamp_ntz")
-
-    if not bounds:
-        return df.select("*", F.lit(0).alias("fold"), F.lit("train").alias("role")).limit(0)
-    folds = F.array(
-        *[F.struct(F.lit(i).alias("fold"), at(a).alias("a"), at(b).alias("b"), at(c).alias("c")) for i, (a, b, c) in enumerate(bounds)]
-    )
     t = F.col(ts).cast("timestamp_ntz")
-    mine = F.filter(folds, lambda f: (t >= f["a"]) & (t < f["c"]))
-    rows = df.withColumn("_f", F.explode(mine)).select(
-        *df.columns, F.col("_f.fold").alias("fold"), F.when(t < F.col("_f.b"), F.lit("train")).otherwise(F.lit("test")).alias("role")
-    )
-    both = rows.groupBy("fold").agg(
-        F.max(F.col("role") == "train").alias("_a"), F.max(F.col("role") == "test").alias("_b")
-    )
-    return rows.join(both.filter("_a AND _b").select("fold"), "fold", "left_semi").select(*df.columns, "fold", "role")
+    folds = fold_bounds(df, ts, train_months, test_months).scalar()
+    mine = F.filter("_folds", lambda f: (t >= f["start"]) & (t < f["stop"]))
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        role = F.when(t < F.col("_f.cut"), F.lit("train")).otherwise(F.lit("test"))
+        listed = rows.withColumn("_folds", folds).withColumn("_f", F.explode(mine))
+        return listed.select(*rows.columns, F.col("_f.fold").alias("fold"), role.alias("role"))
+
+    sides = tagged(df.select(ts)).groupBy("fold").agg(F.count_distinct("role").alias("n"))
+    whole = sides.filter("n = 2").agg(F.collect_list("fold")).scalar()
+    return tagged(df).filter(F.array_contains(whole, F.col("fold")))

@@ -104,6 +104,20 @@ def test_walk_forward(spark):
     for f in range(6):
         assert by[f, "train"].b < by[f, "test"].a
     assert S.walk_forward(df.limit(5)).count() == 0
+    assert S.walk_forward(df.limit(0)).count() == 0
+
+
+def test_walk_forward_bounds_step_by_calendar(spark):
+    df = spark.createDataFrame([(dt.datetime(2023, 10, 31),), (dt.datetime(2024, 4, 30),)], "ts timestamp_ntz")
+    got = [(f.fold, f.start, f.cut, f.stop) for f in S.fold_bounds(df, train_months=2, test_months=1).first().folds]
+    # Month ends are clamped step by step: from November on every fold starts at the 30th or 29th.
+    day = dt.datetime
+    assert got == [
+        (0, day(2023, 10, 31), day(2023, 12, 31), day(2024, 1, 31)),
+        (1, day(2023, 11, 30), day(2024, 1, 30), day(2024, 2, 29)),
+        (2, day(2023, 12, 30), day(2024, 2, 29), day(2024, 3, 29)),
+        (3, day(2024, 1, 30), day(2024, 3, 30), day(2024, 4, 30)),
+    ]
 
 
 def test_best_weight(spark):
@@ -122,6 +136,14 @@ def test_best_weight(spark):
     assert (got["none"].w_gbm, got["none"].val_pr_auc) == (0.7, 0.0) and got["same"].w_gbm == 1.0
 
 
+def test_calibrated_scores_keep_their_places(spark):
+    df = spark.createDataFrame([(i / 20, int(i > 10)) for i in range(21)], "s double, y int")
+    model = ML.calibrate(df, "s", "y")
+    near = spark.createDataFrame([(0.5 + d,) for d in (0.0, 1e-8, 2e-8, 0.01)], "s double")
+    got = [r.c for r in ML.calibrated(model, near, "s", "c").orderBy("s").collect()]
+    assert got[0] < got[1] < got[2] < got[3]
+
+
 def test_calibration_is_monotone(spark):
     rng = np.random.default_rng(9)
     s = rng.random(500)
