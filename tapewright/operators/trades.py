@@ -328,7 +328,10 @@ def left_open(logs: DataFrame) -> DataFrame:
 
 
 def closed_overnight(logs: DataFrame, option_bars: DataFrame) -> DataFrame:
-    """Positions left open at the day's end, closed when their quote has volume; unfilled ones stay open."""
+    """Positions left open at the day's end, closed when their quote has volume; unfilled ones stay open.
+
+    ``last_mark`` is the price they were valued at until then.
+    """
     rest = left_open(logs).withColumn("contract", F.col("held.contract"))
     quoted = quotes_at(rest, option_bars)
     q = {k: F.col(f"q_{k}") for k in ("close", "high", "low")}
@@ -339,11 +342,12 @@ def closed_overnight(logs: DataFrame, option_bars: DataFrame) -> DataFrame:
     return quoted.select(
         "config.config_id", "config.strategy", "symbol", "date",
         *_trade_columns("held", F.when(done, F.col("ts")), fill, F.when(done, F.col("_close")), F.when(done, F.lit("FORCE_CLOSE")), held_bars),
+        F.col("held.mark").alias("last_mark"),
     )
 
 
 def trades(logs: DataFrame, option_bars: DataFrame) -> DataFrame:
-    return closed_in_day(logs).unionByName(closed_overnight(logs, option_bars))
+    return closed_in_day(logs).unionByName(closed_overnight(logs, option_bars).drop("last_mark"))
 
 
 def equity_curve(log: DataFrame, overnight: DataFrame, capital: float = START_CAPITAL) -> DataFrame:
@@ -352,9 +356,10 @@ def equity_curve(log: DataFrame, overnight: DataFrame, capital: float = START_CA
     Changes are summed per time first; running sums go over days, then inside each day.
     """
     steps = log.select("config_id", "ts", "d_cash", "d_equity")
+    worth = F.col("quantity") * CONTRACT_SIZE
     closing = overnight.filter(F.col("exit_ts").isNotNull()).select(
-        "config_id", F.col("exit_ts").alias("ts"), (F.col("exit_price") * F.col("quantity") * CONTRACT_SIZE).alias("d_cash"),
-        F.lit(0.0).alias("d_equity"),
+        "config_id", F.col("exit_ts").alias("ts"), (F.col("exit_price") * worth).alias("d_cash"),
+        ((F.col("exit_price") - F.col("last_mark")) * worth).alias("d_equity"),
     )
     per_ts = steps.unionByName(closing).groupBy("config_id", "ts").agg(
         F.sum("d_cash").alias("d_cash"), F.sum("d_equity").alias("d_equity")

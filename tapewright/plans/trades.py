@@ -94,9 +94,13 @@ WALK = """near AS MATERIALIZED (SELECT symbol, ts, cp, contract, strike, expiry
       CAST(floor((epoch(exit_ts) - epoch(entry_ts)) / 60) AS INTEGER) AS holding_minutes
     FROM (SELECT * FROM intraday UNION ALL SELECT * FROM night) t JOIN cfg c USING (config_id))"""
 
-CURVE = """, st AS (SELECT config_id, ts, dc, de FROM log UNION ALL SELECT config_id, exit_ts, exit_price * 100, 0 FROM night WHERE exit_ts IS NOT NULL),
-  eq AS MATERIALIZED (SELECT config_id, ts, 10000000.0 + sum(dc) OVER v AS cash, 10000000.0 + sum(de) OVER v AS equity
-    FROM (SELECT config_id, ts, sum(dc) AS dc, sum(de) AS de FROM st GROUP BY 1, 2) WINDOW v AS (PARTITION BY config_id ORDER BY ts)),
+# Equity is cash plus what is held at its mark, from each day's positions rather than from booked changes.
+CURVE = """, st AS (SELECT config_id, symbol, date, 0 AS late, ts, dc, CASE WHEN l.held IS NULL THEN 0 ELSE l.mark * 100 * c.qty END AS val
+    FROM log l JOIN cfg c USING (config_id)
+    UNION ALL SELECT config_id, symbol, date, 1, exit_ts, exit_price * 100 * c.qty, 0 FROM night JOIN cfg c USING (config_id) WHERE exit_ts IS NOT NULL),
+  ch AS (SELECT config_id, ts, dc, val - coalesce(lag(val) OVER (PARTITION BY config_id, symbol, date ORDER BY ts, late), 0) AS dv FROM st),
+  eq AS MATERIALIZED (SELECT config_id, ts, 10000000.0 + sum(dc) OVER v AS cash, 10000000.0 + sum(dc) OVER v + sum(dv) OVER v AS equity
+    FROM (SELECT config_id, ts, sum(dc) AS dc, sum(dv) AS dv FROM ch GROUP BY 1, 2) WINDOW v AS (PARTITION BY config_id ORDER BY ts)),
   curve AS MATERIALIZED (SELECT *, equity - cash AS position_value, max(equity) OVER v AS equity_peak,
     (equity - max(equity) OVER v) / max(equity) OVER v AS drawdown_pct FROM eq WINDOW v AS (PARTITION BY config_id ORDER BY ts)),
   dl AS (SELECT config_id, CAST(ts AS DATE) AS d, arg_max(equity, ts) AS e, arg_min(equity, ts) AS f, min(drawdown_pct) AS dd FROM curve GROUP BY 1, 2),
@@ -181,7 +185,7 @@ def equity_curves(spark, folder):
 
 def _curve(logs, options):
     night = T.closed_overnight(logs, options)
-    return T.equity_curve(T.bar_log(logs), night), T.closed_in_day(logs).unionByName(night)
+    return T.equity_curve(T.bar_log(logs), night), T.closed_in_day(logs).unionByName(night.drop("last_mark"))
 
 
 @query("B-08", _sql("SELECT config_id, ts, round(cash, 6) AS cash FROM curve WHERE cash < 9999000", CONFIGS, CURVE))

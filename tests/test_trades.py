@@ -106,6 +106,20 @@ def test_open_position_closes_on_the_next_day(spark):
     assert [(r.exit_reason, r.exit_ts) for r in got] == [(None, None)]
 
 
+def test_equity_is_cash_and_open_value_over_nights(spark):
+    next_day = BASE + dt.timedelta(days=1)
+    scored = _scored(spark, [(0.9, 0.1), (0.1, 0.1)]).union(_scored(spark, [(0.1, 0.1)] * 2, next_day))
+    options = _quotes(spark, [(5.0, 1), (5.2, 1)]).union(_quotes(spark, [(5.6, 1)], next_day))
+    logs, got = _run(spark, scored, options, T.Config(1, "put_buy", 0.5, quantity=2))
+    curve = T.equity_curve(T.bar_log(logs), T.closed_overnight(logs, options), capital=10_000.0).orderBy("ts").collect()
+    marks = {r.ts: r.qty * r.mark * 100 for r in T.bar_log(logs).collect()}
+    assert [r.exit_ts for r in got] == [next_day] and len(curve) == 4
+    for r in curve:
+        assert r.equity == pytest.approx(r.cash + marks[r.ts]) and r.position_value == pytest.approx(marks[r.ts])
+    assert curve[1].position_value == pytest.approx(2 * 5.2 * 100)
+    assert curve[-1].equity == pytest.approx(10_000 + got[0].cash_pnl) == pytest.approx(curve[-1].cash)
+
+
 def test_tie_is_a_peak_for_the_rule_set_only(spark):
     scored, options = _scored(spark, [(0.7, 0.7), (0.1, 0.1), (0.1, 0.9)]), _quotes(spark, [(5.0, 1)] * 3)
     _, got = _run(spark, scored, options, configs=[T.Config(1, "put_buy"), T.Config(2, "signal_rules")])
