@@ -58,33 +58,39 @@ def quality_filter(df: DataFrame) -> DataFrame:
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], drop_order: bool = True) -> DataFrame:
-    """The last row per key.
+    """The last row per key by ``order``; rows equal in that compare by their other columns.
 
-    An aggregate rather than a row number: copies of a hot key collapse before the shuffle.
+    An aggregate rather than a row number: copies of a hot key collapse before the shuffle. The whole
+    row is compared, so the result never depends on which task delivers first.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    out = [c for c in rest if not (drop_order and c in order)]
-    return df.groupBy(*keys).agg(best).select(*keys, *[f"_row.{c}" for c in out])
+    rest = [*order, *[c for c in df.columns if c not in keys and c not in order]]
+    out = [c for c in df.columns if c not in keys and not (drop_order and c in order)]
+    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, *[f"_row.{c}" for c in out])
 
 
-def merge_loads(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    """Union of a stored and a new load; the new row wins on the same key."""
+def merge_loads(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("symbol", "ts"), order: Sequence[str] = ()) -> DataFrame:
+    """Union of a stored and a new load; the new row wins on the same key.
+
+    Inside one load the row that is last by ``order`` (a file position or sequence number, kept in the
+    result) wins.
+    """
     tagged = existing.withColumn("_load", F.lit(0)).unionByName(
         new.withColumn("_load", F.lit(1)), allowMissingColumns=True
     )
     if "source" in tagged.columns:
         tagged = tagged.withColumn("source", F.coalesce("source", F.lit("")))
-    return latest_by_key(tagged, keys, ["_load"])
+    return latest_by_key(tagged, keys, ["_load", *order], drop_order=False).drop("_load")
 
 
-def by_precedence(parts: Sequence[tuple[int, DataFrame]], keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    """Union of sources with ranks; per key the highest rank stays."""
+def by_precedence(
+    parts: Sequence[tuple[int, DataFrame]], keys: Sequence[str] = ("symbol", "ts"), order: Sequence[str] = ()
+) -> DataFrame:
+    """Union of sources with ranks; per key the highest rank stays, inside a source the last row by ``order``."""
     union = None
     for rank, part in parts:
         tagged = part.withColumn("_rank", F.lit(rank))
         union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
-    return latest_by_key(union, keys, ["_rank"])
+    return latest_by_key(union, keys, ["_rank", *order], drop_order=False).drop("_rank")
 
 
 def _candle(order: Column, price: dict[str, Column]) -> list[Column]:

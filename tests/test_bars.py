@@ -132,3 +132,13 @@ def test_history_and_replay_dates(spark):
     assert sorted(r.date.day for r in B.replay_dates(df).collect()) == [9, 10]
     recent = B.recent_dates(df, target="2025-01-09").collect()
     assert sorted((r.date.day, r.is_target) for r in recent) == [(2, False), (3, False), (6, False), (7, False), (8, False), (9, True)]
+
+
+def test_last_row_of_a_load_wins(spark):
+    new = spark.createDataFrame([("A", 1, 10.0, 1), ("A", 1, 7.0, 3), ("A", 1, 9.0, 2), ("B", 1, 1.0, 0)], "symbol string, ts int, close double, seq int")
+    old = spark.createDataFrame([("A", 1, 99.0, 9), ("C", 1, 5.0, 0)], "symbol string, ts int, close double, seq int")
+    for parts in (1, 4):
+        got = {r.symbol: r.close for r in B.merge_loads(old, new.repartition(parts), order=["seq"]).collect()}
+        assert got == {"A": 7.0, "B": 1.0, "C": 5.0}
+        # Without an order the rows' values decide, whichever comes first.
+        assert {r.close for r in B.merge_loads(old, new.drop("seq").repartition(parts)).filter("symbol = 'A'").collect()} == {10.0}
