@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,21 @@ def per_batch(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dic
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most ``n`` rows for what is executed inside; the session's own setting comes back after it.
+
+    Batches are counted in rows, so where a row holds long texts, or gives many rows, fewer of them bound a task's memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def longs(values) -> pa.Array:
     return pa.array(values, pa.int64())
 

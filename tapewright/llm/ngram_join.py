@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWER, UPPER, longs, per_batch, plain_text
+from tapewright.llm.common import LOWER, UPPER, longs, per_batch, plain_text, rows_per_batch
 from tapewright.llm.components import components
 from tapewright.session import stage
 
@@ -35,6 +35,7 @@ SHARED = 0.1  # assumed chance that a shingle of one set is in another, for the
 CHUNK = 1 << 19  # bytes of text that are hashed at a time
 MET = 1_000_000  # nodes that a task remembers, so as to give their rows once
 FILTER_BITS = 1 << 25  # 4 MB, whatever the corpus
+ROWS = 256  # of an Arrow batch: each holds up to two texts, or gives hundreds of signatures
 BLOCK = 512  # sets that are joined with each other or with another block's at a time
 
 
@@ -376,8 +377,10 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_c
     words, or with a null text, has no shingles and its own id. Rows may repeat; null ids are passed over unless a
     component has no other. Shingles and sets are told apart by 64 and 96 bits of hash.
     """
-    profile = stage(profiles(docs, width, percent, id_col, text_col), "ngram-profile")
-    roots = components(node_links(docs, profile, width, percent, text_col))
+    with rows_per_batch(docs.sparkSession, ROWS):
+        profile = stage(profiles(docs, width, percent, id_col, text_col), "ngram-profile")
+        links = node_links(docs, profile, width, percent, text_col)
+    roots = components(links)
     some = profile.filter("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     some = stage(some.select("doc_id", "n_shingles", "text_key", "root"), "ngram-roots")
     ids = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
