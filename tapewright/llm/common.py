@@ -15,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 LOWERED = str.maketrans(UPPER, LOWER)
 
+SLICE = 256  # rows of an Arrow batch that are Python objects at a time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,15 +36,17 @@ def per_batch(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dic
     """Run Python on each Arrow batch of ``df``.
 
     ``start()`` is called once in each task and returns the function for its batches, which maps
-    lists by column name to Arrow arrays by column name. Batches without rows give nothing.
+    lists by column name to Arrow arrays by column name. Batches without rows give nothing; others are handed over in slices
+    of SLICE rows, so that few texts at a time are held as Python objects.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            if batch.num_rows:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 work = work or start()
-                out = work({n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)})
+                out = work({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return df.mapInArrow(run, schema)
