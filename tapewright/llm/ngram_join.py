@@ -370,12 +370,13 @@ def _of_their_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and text_key of every row of ``docs``.
+    """doc_id, n_shingles, component_id, text_key and root of every row of ``docs``.
 
     Words are separated by ASCII white space, after lower-casing A-Z. Two documents are linked when 100 times the shared shingles
     is at least ``percent`` times all of both; component_id is the smallest document id reachable by links. A document without
     words, or with a null text, has no shingles and its own id. Rows may repeat; null ids are passed over unless a
-    component has no other. Shingles and sets are told apart by 64 and 96 bits of hash.
+    component has no other. Ids need not tell components apart; root does, and is null without shingles. Shingles and sets are
+    told apart by 64 and 96 bits of hash.
     """
     with rows_per_batch(docs.sparkSession, ROWS):
         profile = stage(profiles(docs, width, percent, id_col, text_col), "ngram-profile")
@@ -384,17 +385,18 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_c
     some = profile.filter("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     some = stage(some.select("doc_id", "n_shingles", "text_key", "root"), "ngram-roots")
     ids = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(ids, "root").select("doc_id", "n_shingles", "component_id", "text_key")
-    return out.unionByName(profile.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
+    out = some.join(ids, "root").select("doc_id", "n_shingles", "component_id", "text_key", "root")
+    return out.unionByName(profile.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.col("node").alias("root")))
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the document with the smallest id of each component, with all their columns.
 
-    Rows that share an id are told apart by their texts; rows that repeat both are one document.
+    Rows that share an id are told apart by their texts; rows that repeat both are one document. Rows with a null id stay only
+    where a component has no other.
     """
     found = ngram_components(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
-    some = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    some = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
     kept = some.unionByName(found.filter("n_shingles = 0").select("doc_id", "text_key").distinct())
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
     key = F.xxhash64(plain_text(text_col))

@@ -128,3 +128,14 @@ def test_keep_one_keeps_the_smallest(docs):
     ids = [r.doc_id for r in kept.collect()]
     assert 60 in ids and not {61, 67, 70, 72} & set(ids)
     assert {73, 74, 75} <= set(ids)  # without words, or alone
+
+
+def test_keep_one_keeps_one_of_each_component(spark, docs):
+    """Components are told apart even where their smallest ids are equal or null."""
+    texts = [r.text for r in ngram_join.keep_one(docs, width=5, percent=80).filter("doc_id = 77").collect()]
+    assert sorted(texts) == ["other row", "same row", "same row"]  # the repeated row is one document
+    near = " ".join(f"w{k}" for k in range(60))
+    rest = [(None, "one text"), (None, "another text"), (None, near), (5, near + " end"), (None, "pair"), (None, "PAIR"), (None, "")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rest, "doc_id long, text string"), width=5, percent=80).collect()
+    got = sorted((str(r.doc_id), r.text.lower()) for r in kept)
+    assert got == sorted([("None", "one text"), ("None", "another text"), ("5", near + " end"), ("None", "pair"), ("None", "")])
