@@ -5,9 +5,10 @@ requires: then at least one segment of such a pair holds the same shingles, or,
 one-deletion neighbourhood, differs by at most one. Per size band the allocation with the least expected cost is chosen, from the
 band's number of sets; each set leaves out its least selective segments, for which as many further segments make up.
 
-Sets that share a signature are candidates. In each signature's group all are compared with the smallest; groups that then still
-hold sets of several components are joined exactly in blocks. Links are verified on the whole sets. Equal sets are one
-node from the start, and nodes in one component are not compared again, so no group is ever expanded into all its pairs.
+Sets that share a signature are candidates. For components, in each signature's group all are compared with the smallest; groups that
+then still hold sets of several components are joined exactly in blocks. Links are verified on the whole sets. Equal sets are one
+node from the start, and nodes in one component are not compared again, so no group is expanded into all its pairs. For
+the links themselves (``ngram_links``) every pair of a group is joined in such blocks.
 """
 
 from __future__ import annotations
@@ -242,8 +243,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return per_batch(pairs.join(q, "q").join(p, "p").select("p", "q", "p_text", "q_text"), start, "p binary, q binary")
 
 
-def _block_links(left, right, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between two lists of (node, component, set), or within one, that connect their components; by the rarest shingles."""
+def _block_links(left, right, percent: int, connecting: bool = True) -> list[tuple[bytes, bytes]]:
+    """Links between two lists of (node, component, set), or within one, by the rarest shingles: all, or those that connect components."""
     own = left is right
     joined: dict[bytes, bytes] = {}  # components that links found here have joined
 
@@ -267,7 +268,8 @@ def _block_links(left, right, percent: int) -> list[tuple[bytes, bytes]]:
             a, b = root(left[j][1]), root(item[1])
             if a != b and linked(left[j][2], item[2], percent):
                 out.append((left[j][0], item[0]))
-                joined[max(a, b)] = min(a, b)
+                if connecting:
+                    joined[max(a, b)] = min(a, b)
 
     for k, item in enumerate(left):
         tokens = rare(item[2])
@@ -281,9 +283,10 @@ def _block_links(left, right, percent: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def block_joined(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def block_joined(groups: DataFrame, texts: DataFrame, width: int, percent: int, connecting: bool = True) -> DataFrame:
     """Links (p, q) between nodes of different components in each group, found in blocks of bounded size.
 
+    ``connecting``: only links that join components which no link found before them has joined; otherwise all.
     groups: group, n (its nodes), node, root. A group of up to BLOCK nodes is one task's work; a larger one is dealt into blocks, and
     each pair of blocks is joined on its own. Sets meet by a shingle among the rarest that a link must share.
     """
@@ -299,14 +302,14 @@ def block_joined(groups: DataFrame, texts: DataFrame, width: int, percent: int)
         items = [(m, (bytes(node), bytes(root), s)) for m, node, root, s in zip(frame["mine"], frame["node"], frame["root"], sets)]
         i, j = key[1], key[2]
         left = [x for m, x in items if m == i]
-        found = _block_links(left, left if i == j else [x for m, x in items if m == j], percent) if left else []
+        found = _block_links(left, left if i == j else [x for m, x in items if m == j], percent, connecting) if left else []
         return pd.DataFrame({"p": [p for p, _ in found], "q": [q for _, q in found]}, dtype=object)
 
     return dealt.groupBy("group", "i", "j").applyInPandas(work, "p binary, q binary")
 
 
-def node_links(docs: DataFrame, profile: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
-    """Verified links (p, q) that connect all nodes which any links connect."""
+def candidates(docs: DataFrame, profile: DataFrame, width: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes that share a signature with others (sig, node, and pivot, the smallest of them), their sizes (node, n) and a text of each."""
     bands = profile.filter("node is not null").groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()  # some hundred at most
     tops = band_tops(percent, 1)
     while len(tops) <= max((r["band"] for r in bands), default=0):
@@ -325,12 +328,35 @@ def node_links(docs: DataFrame, profile: DataFrame, width: int, percent: int, te
     text = plain_text(text_col)
     texts = _likely(docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")), nodes).join(nodes.select("node", "text_key"), "text_key").select("node", "text")
     texts = stage(_of_their_sets(texts, width).dropDuplicates(["node"]), "ngram-texts")
+    return met, nodes.select("node", "n"), texts
 
-    sizes = nodes.select("node", "n")
-    pairs = met.filter("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("q")).distinct()
+
+def _of_like_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, q) whose sizes allow a link."""
     pairs = pairs.join(sizes.select(F.col("node").alias("p"), F.col("n").alias("np")), "p").join(sizes.select(F.col("node").alias("q"), F.col("n").alias("nq")), "q")
-    pairs = pairs.filter(100 * F.least("np", "nq") >= percent * F.greatest("np", "nq")).select("p", "q")
-    links = stage(verified(pairs, texts, width, percent), "ngram-links")
+    return pairs.filter(100 * F.least("np", "nq") >= percent * F.greatest("np", "nq")).select("p", "q")
+
+
+def every_link(docs: DataFrame, profile: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
+    """All linked pairs of nodes (p, q), p being the smaller, each once.
+
+    Nodes that share a signature with the same smallest one are a group; in it all are compared with all, in blocks. As many rows
+    as there are links, so a family of n different near copies may give n * (n - 1) / 2.
+    """
+    met, sizes, texts = candidates(docs, profile, width, percent, text_col)
+    groups = stage(met.select(F.col("pivot").alias("group"), "node").distinct(), "ngram-open")
+    groups = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group")
+    pairs = _of_like_sizes(groups.filter("n = 2 and node <> group").select(F.col("group").alias("p"), F.col("node").alias("q")), sizes, percent)
+    large = groups.filter("n > 2").select("group", "n", "node", F.col("node").alias("root"))
+    found = verified(pairs, texts, width, percent).unionByName(block_joined(large, texts, width, percent, connecting=False))
+    return stage(found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "ngram-links")
+
+
+def node_links(docs: DataFrame, profile: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
+    """Verified links (p, q) that connect all nodes which any links connect."""
+    met, sizes, texts = candidates(docs, profile, width, percent, text_col)
+    pairs = met.filter("node <> pivot").select(F.col("pivot").alias("p"), F.col("node").alias("q")).distinct()
+    links = stage(verified(_of_like_sizes(pairs, sizes, percent), texts, width, percent), "ngram-links")
     roots = components(links)
 
     # Groups of two are settled; so are those within one component. Groups with the same smallest set become one, so that
@@ -389,6 +415,30 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_c
     return out.unionByName(profile.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.col("node").alias("root")))
 
 
+def ngram_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs of different sets (p, q), each once, and the members of every set (doc_id, n_shingles, text_key, node).
+
+    Two rows are linked if their nodes are a pair or the same; documents and links are those of ``ngram_components``. Rows without
+    shingles have no node.
+    """
+    with rows_per_batch(docs.sparkSession, ROWS):
+        profile = stage(profiles(docs, width, percent, id_col, text_col), "ngram-profile")
+        links = every_link(docs, profile, width, percent, text_col)
+    return links, profile.select("doc_id", "n_shingles", "text_key", "node")
+
+
+def link_counts(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and n_links of every row: how many other rows of ``docs`` it is linked to, rows of equal sets included."""
+    links, members = ngram_links(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
+    some = members.filter("node is not null")
+    rows = some.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    both = links.select(F.col("p").alias("node"), F.col("q").alias("other")).unionByName(links.select(F.col("q").alias("node"), F.col("p").alias("other")))
+    others = both.join(rows.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("others"))
+    of = stage(rows.join(others, "node", "left").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "ngram-counts")
+    out = some.join(of, "node").select("doc_id", "n_shingles", "n_links")
+    return out.unionByName(members.filter("node is null").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
+
+
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the document with the smallest id of each component, with all their columns.
 

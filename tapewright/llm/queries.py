@@ -110,6 +110,28 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n
 """
 
 
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+SQL7_LINKS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM d
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(n_links, 0) AS n_links FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path=public_tokenizers.path(BYTE_BPE), pattern=public_tokenizers.PATTERN)
 
@@ -148,5 +170,5 @@ SELECT doc_id, size, source_size, target, (size * (whole + (before + words / 2 <
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op4_pii, op5_quality_rules, op6_html_text, op7_ngram_join, op8_token_counts, op9_toxicity, op10_source_mix)}
-SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op7_ngram_join": SQL7, "op10_source_mix": SQL10}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op4_pii, op5_quality_rules, op6_html_text, op7_ngram_join, op7_ngram_links, op8_token_counts, op9_toxicity, op10_source_mix)}
+SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op7_ngram_join": SQL7, "op7_ngram_links": SQL7_LINKS, "op10_source_mix": SQL10}

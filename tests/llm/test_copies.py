@@ -139,3 +139,31 @@ def test_keep_one_keeps_one_of_each_component(spark, docs):
     kept = ngram_join.keep_one(spark.createDataFrame(rest, "doc_id long, text string"), width=5, percent=80).collect()
     got = sorted((str(r.doc_id), r.text.lower()) for r in kept)
     assert got == sorted([("None", "one text"), ("None", "another text"), ("5", near + " end"), ("None", "pair"), ("None", "")])
+
+
+def all_pairs(sets, percent):
+    return [(a, b) for a in range(len(sets)) for b in range(a) if sets[a][1] and sets[b][1] and 100 * len(sets[a][1] & sets[b][1]) >= percent * len(sets[a][1] | sets[b][1])]
+
+
+def test_all_links_are_counted(docs):
+    sets = sets_of(4)
+    n = [0] * len(sets)
+    for a, b in all_pairs(sets, 85):
+        n[a] += 1
+        n[b] += 1
+    got = ngram_join.link_counts(docs).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == sorted((str(i), len(s), k) for (i, s), k in zip(sets, n))
+
+
+def test_all_links_in_a_family(spark, monkeypatch):
+    """Thirty different near copies, in blocks of four: each pair that is linked is listed once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    texts = [" ".join(f"u{g}x{k}" if k < 2 * (g % 5) else f"p{k}" for k in range(80)) for g in range(30)]
+    sets = [(i, {tuple(t.split()[k : k + 4]) for k in range(77)}) for i, t in enumerate(texts)]
+    links, members = ngram_join.ngram_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(bytes(r.node), []).append(r.doc_id)
+    got = sorted(tuple(sorted((i, j), reverse=True)) for r in links.collect() for i in ids[bytes(r.p)] for j in ids[bytes(r.q)])
+    got += [(i, j) for same in ids.values() for i in same for j in same if j < i]
+    assert sorted(got) == sorted(all_pairs(sets, 85)) and len(got) > 100
