@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, exact_dedup, html_text, lm_scores, mixing, ngram_join, pii, quality_rules, token_counts, toxicity
+from tapewright.llm import bpe, conversations, exact_dedup, html_text, lm_scores, minhash, mixing, ngram_join, periodic_runs, pii, quality_rules, token_counts, toxicity
 from tapewright.llm.common import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -170,5 +170,39 @@ SELECT doc_id, size, source_size, target, (size * (whole + (before + words / 2 <
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op4_pii, op5_quality_rules, op6_html_text, op7_ngram_join, op7_ngram_links, op8_token_counts, op9_toxicity, op10_source_mix)}
-SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op7_ngram_join": SQL7, "op7_ngram_links": SQL7_LINKS, "op10_source_mix": SQL10}
+
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+SQL11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle FROM d
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.find_runs(table(spark, sf_dir, "documents"), damage=True))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_lm_scores, op4_pii, op5_quality_rules, op6_html_text, op7_ngram_join, op7_ngram_links, op8_token_counts, op9_toxicity, op10_source_mix,
+    op11_minhash_dedup, op12_periodic_runs, op13_conversation_repair)}
+SQL = {"op1_exact_dedup": SQL1, "op5_quality_rules": SQL5, "op7_ngram_join": SQL7, "op7_ngram_links": SQL7_LINKS, "op10_source_mix": SQL10, "op11_minhash_dedup": SQL11}
