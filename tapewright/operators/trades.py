@@ -1,9 +1,10 @@
 """Trades from scored bars and option quotes.
 
 What happens on a day depends on the bars before it only through the open position, the cooldown
-and the day's trade count. So one fold per (config, symbol, date) over that day's bars (at most
-1,440) decides entries and exits; configs, symbols and days all run side by side. Contracts and
-quotes do not depend on the config and are joined once, before configs multiply the rows.
+and the day's trade count. So one fold per (symbol, date) over that day's bars (at most 1,440)
+decides entries and exits of all configs at once, in arrays over the configs; symbols and days run
+side by side. Contracts and quotes do not depend on the config and are joined once. Positions that
+a day leaves open are carried into the next one by running that day again (see ``run``).
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.functions.pricing import buy_fill, sell_fill
 from tapewright.operators.options import at_the_money, quotes_at
 from tapewright.operators.ordered import running_totals
 from tapewright.params import CONTRACT_SIZE, FORCE_CLOSE_MINUTES, STOP_LOSS, START_CAPITAL, TAKE_PROFIT
+from tapewright.session import stage
 
 NO_LIMIT = 1_000_000
+MONEY_UNITS = 1_000_000  # parts of one unit of money in which cash and equity are counted
 
 
 @dataclass(frozen=True)
@@ -119,256 +124,329 @@ def _open(c: Column, minutes: Column, session_minutes: int) -> Column:
     return minutes < session_minutes - c["force_close_minutes"]
 
 
-def quoted_days(
-    scored: DataFrame, contracts: DataFrame, option_bars: DataFrame, configs: Sequence[Config], session_minutes: int = 390
-) -> DataFrame:
-    """One row per symbol and day: its bars with the at-the-money contract and quotes.
+@dataclass(frozen=True)
+class Market:
+    """What all configs share, as tables written once.
 
-    Only contracts some config could buy that day are quoted.
+    bars: symbol, date, ts, m, close, pp, tp, last (of the symbol's days) and the at-the-money contract per side.
+    quotes: symbol, date, ts, contract and the quote then, for each contract that some config could buy that day.
+    listed: contract, strike, expiry. calendar: symbol, date, next_date.
     """
+
+    bars: DataFrame
+    quotes: DataFrame
+    listed: DataFrame
+    calendar: DataFrame
+    option_bars: DataFrame
+    session_minutes: int
+
+
+def market(scored: DataFrame, contracts: DataFrame, option_bars: DataFrame, configs: Sequence[Config], session_minutes: int = 390) -> Market:
+    """Bars with their at-the-money contracts, and the quotes of every contract that some config could buy that day."""
     array = F.array(*[_literal(c) for c in configs])
     names = sorted({c.strategy for c in configs})
-    sides = sorted({STRATEGIES[n].cp for n in names})
-    pp, tp, m = F.col("peak_prob"), F.col("trough_prob"), F.col("minutes_from_open")
     keys = ["symbol", "date", "ts"]
-    bars = scored.select(*keys, m.alias("m"), F.col("close"), pp.alias("pp"), tp.alias("tp"))
-    picks, wanted = bars, None
+    bars = scored.select(*keys, F.col("minutes_from_open").alias("m"), "close", F.col("peak_prob").alias("pp"), F.col("trough_prob").alias("tp"))
+    days = bars.select("symbol", "date").distinct()
+    calendar = stage(days.withColumn("next_date", F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))), "trade-days")
+    picks = bars.join(calendar.select("symbol", "date", F.col("next_date").isNull().alias("last")), ["symbol", "date"])
 
     def may_enter(own: Sequence[str]) -> Callable[[Column], Column]:
         return lambda c: F.coalesce(_wants(c, F.col("pp"), F.col("tp"), own), F.lit(False)) & _open(c, F.col("m"), session_minutes)
 
-    for cp in sides:
-        mine = [n for n in names if STRATEGIES[n].cp == cp]
-        could = F.exists(array, may_enter(mine))
+    for cp in sorted({STRATEGIES[n].cp for n in names}):
+        could = F.exists(array, may_enter([n for n in names if STRATEGIES[n].cp == cp]))
         atm = at_the_money(bars.filter(could), contracts, cp).filter(F.col("contract").isNotNull())
-        atm = atm.select(*keys, F.struct("contract", "strike", "expiry").alias(f"atm_{cp}"))
-        picks = picks.join(atm, keys, "left")
-        held = atm.select("symbol", "date", F.col(f"atm_{cp}.contract").alias("contract")).distinct()
-        wanted = held if wanted is None else wanted.unionByName(held)
-    paths = quotes_at(bars.select(*keys).join(wanted, ["symbol", "date"]), option_bars)
-    quote = F.struct(F.col("q_close").alias("close"), F.col("q_high").alias("high"), F.col("q_low").alias("low"), F.col("q_volume").alias("volume"))
-    per_bar = paths.filter(F.col("q_ts").isNotNull()).groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col("contract"), quote.alias("q"))).alias("quotes")
-    )
-    bar = F.struct("ts", "m", "close", "pp", "tp", *[f"atm_{cp}" for cp in sides], "quotes")
-    fields = ("ts", "m", "close", "pp", "tp", *[f"atm_{cp}" for cp in sides])
+        picks = picks.join(atm.select(*keys, F.col("contract").alias(f"atm_{cp}")), keys, "left")
+    picks = stage(picks, "trade-bars")
+    sides = [c for c in picks.columns if c.startswith("atm_")]
+    wanted = picks.select("symbol", "date", F.explode(F.array(*sides)).alias("contract")).filter("contract is not null").distinct()
+    quotes = stage(_quoted(picks.select(*keys).join(wanted, ["symbol", "date"]), option_bars, names), "trade-quotes")
+    listed = contracts.groupBy("contract").agg(F.max(F.struct("strike", "expiry")).alias("c")).select("contract", "c.strike", "c.expiry")
+    return Market(picks, quotes, stage(listed, "trade-contracts"), calendar, option_bars, session_minutes)
 
-    def with_map(b: Column) -> Column:
-        # Maps have no order, so they are built after sorting.
-        return F.struct(*[b[c].alias(c) for c in fields], F.map_from_entries(b["quotes"]).alias("quotes"))
 
-    days = picks.join(per_bar, keys, "left").groupBy("symbol", "date").agg(F.array_sort(F.collect_list(bar)).alias("_b"))
-    return days.select("symbol", "date", F.transform("_b", with_map).alias("bars"))
+def _floors(names: Sequence[str]) -> list[float | None]:
+    return sorted({STRATEGIES[n].bid_floor for n in names}, key=lambda f: (f is not None, f or 0.0))
 
 
-_HELD = (
-    "contract string, strike double, expiry date, entry_ts timestamp_ntz, entry_m int, entry_bar int, entry_price double, "
-    "entry_underlying double, mark double"
-)
+def _quoted(rows: DataFrame, option_bars: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows whose contract has a quote then: its mark, volume, and what a purchase and a sale would fill at."""
+    q = {k: F.col(f"q_{k}") for k in ("close", "high", "low")}
+    bids = [sell_fill(q["close"], q["high"], q["low"], floor=f).alias(f"bid_{i}") for i, f in enumerate(_floors(names))]
+    found = quotes_at(rows, option_bars).filter(F.col("q_ts").isNotNull())
+    return found.select("symbol", "date", "ts", "contract", q["close"].alias("mark"), F.col("q_volume").alias("volume"), buy_fill(q["close"], q["high"], q["low"]).alias("ask"), *bids)
 
 
-def _struct_type(fields: str) -> str:
-    return "struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in fields.split(",")) + ">"
+_ENTRY = "entry_ts timestamp_ntz, entry_bar int, entry_price double, entry_underlying double"
+EVENTS = (
+    "config_id int, symbol string, date date, ts timestamp_ntz, bar int, n_bars int, close double, action string, reason string, reject string, contract string, "
+    + _ENTRY
+    + ", fill double, quantity int, qty int, mark double, cash_units long, equity_units long, night boolean"
+)
 
 
-HELD_TYPE = _struct_type(_HELD)
-LOG_TYPE = (
-    _struct_type(
-        "ts timestamp_ntz, bar int, close double, pp double, tp double, action string, reason string, contract string, "
-        "fill double, qty int, mark double, d_cash double, d_equity double"
-    )[:-1]
-    + f",trade:{HELD_TYPE}>"
-)
-STATE_TYPE = f"struct<n:int,held:{HELD_TYPE},last_sell:int,entry_m:int,today:int,log:array<{LOG_TYPE}>>"
+def _units(price: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Money in whole units, so that sums do not depend on their order."""
+    return np.rint(np.nan_to_num(price * worth) * MONEY_UNITS).astype(np.int64)
 
 
-def day_logs(days: DataFrame, configs: Sequence[Config], session_minutes: int = 390) -> DataFrame:
-    """The bar log of every (config, symbol, date): one entry per bar, and what is still held at the end.
+def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
+    """One symbol's day for all configs at once: a step per bar on which some config holds something or wants to enter.
 
     Exit order: forced close, stop, target, opposite signal. A sale or purchase without traded
     volume at the quote is not filled; the attempt still starts the cooldown or counts as a trade.
+    What was carried in is offered first, at the day's first bar.
     """
-    names = sorted({c.strategy for c in configs})
-    sides = sorted({STRATEGIES[n].cp for n in names})
-    rows = days.withColumn("c", F.explode(F.array(*[_literal(c) for c in configs])))
-    c, size = F.col("c"), float(CONTRACT_SIZE)
-    floors = {n: STRATEGIES[n].bid_floor for n in names}
-
-    def pick(make):
-        return _by_strategy(c, make, names)
-
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(None).cast(HELD_TYPE).alias("held"), F.lit(None).cast("int").alias("last_sell"),
-        F.lit(None).cast("int").alias("entry_m"), F.lit(0).alias("today"), F.array().cast(f"array<{LOG_TYPE}>").alias("log"),
-    ).cast(STATE_TYPE)
-
-    def decide(s: Column, b: Column) -> Column:
-        """Facts of the bar: the order wanted, its quote and whether it fills."""
-        held = s["held"]
-        atm = F
-        for cp in sides:
-            atm = atm.when(pick(lambda st: F.lit(st.cp)) == cp, b[f"atm_{cp}"])
-        quote = F.try_element_at(b["quotes"], F.coalesce(held["contract"], atm["contract"]))
-        mark = F.coalesce(quote["close"], held["mark"])
-        pnl = F.when(held["entry_price"] > 0, mark / F.when(held["entry_price"] > 0, held["entry_price"]) - 1).otherwise(F.lit(0.0))
-        waited = s["entry_m"].isNull() | (b["m"] - s["entry_m"] >= c["min_holding_minutes"])
-        leave = (
-            F.when(~_open(c, b["m"], session_minutes), F.lit("FORCE_CLOSE"))
-            .when(pnl <= c["sl_pct"], pick(lambda st: F.lit(st.stop_reason)))
-            .when(pnl >= c["tp_pct"], pick(lambda st: F.lit(st.target_reason)))
-            .when(pick(lambda st: st.exit(b["pp"], b["tp"], c)) & waited, pick(lambda st: F.lit(st.exit_reason)))
-        )
-        cool = s["last_sell"].isNull() | (b["m"] - s["last_sell"] >= c["cooldown_minutes"])
-        enter = _open(c, b["m"], session_minutes) & (s["today"] < c["max_trades_per_day"]) & cool & _wants(c, b["pp"], b["tp"], names)
-        return F.struct(
-            atm.alias("atm"), quote.alias("q"), mark.alias("mark"),
-            F.when(held.isNotNull(), leave).alias("leave"),
-            (held.isNull() & F.coalesce(enter, F.lit(False))).alias("enter"),
-            F.coalesce(quote["volume"] > 0, F.lit(False)).alias("liquid"),
-        )
-
-    def apply(s: Column, b: Column, d: Column) -> Column:
-        held, q = s["held"], d["q"]
-        qty = c["quantity"]
-        buys, sells = d["enter"] & d["liquid"] & d["atm"].isNotNull(), d["leave"].isNotNull() & d["liquid"]
-        ask = buy_fill(q["close"], q["high"], q["low"])
-        bid = F
-        for n in names:
-            bid = bid.when(c["strategy"] == n, sell_fill(q["close"], q["high"], q["low"], floor=floors[n]))
-        fill = F.when(buys, ask).when(sells, bid)
-        bought = F.struct(
-            d["atm"]["contract"].alias("contract"), d["atm"]["strike"].alias("strike"), d["atm"]["expiry"].alias("expiry"),
-            b["ts"].alias("entry_ts"), b["m"].cast("int").alias("entry_m"), s["n"].alias("entry_bar"), ask.alias("entry_price"),
-            b["close"].alias("entry_underlying"), ask.alias("mark"),
-        ).cast(HELD_TYPE)
-        carried = F.struct(
-            *[held[f].alias(f) for f in ("contract", "strike", "expiry", "entry_ts", "entry_m", "entry_bar", "entry_price", "entry_underlying")],
-            d["mark"].alias("mark"),
-        ).cast(HELD_TYPE)
-        now = F.when(buys, bought).when(sells, F.lit(None).cast(HELD_TYPE)).when(held.isNotNull(), carried)
-        worth = qty * size
-        d_cash = F.when(buys, -fill * worth).when(sells, fill * worth).otherwise(F.lit(0.0))
-        d_equity = (
-            F.when(sells, (fill - held["mark"]) * worth)
-            .when(held.isNotNull(), (d["mark"] - held["mark"]) * worth)
-            .otherwise(F.lit(0.0))
-        )
-        reason = F.when(buys, pick(lambda st: F.lit(st.entry_reason))).when(sells, d["leave"]).otherwise(F.lit(""))
-        entry = F.struct(
-            b["ts"].alias("ts"), s["n"].alias("bar"), b["close"].alias("close"), b["pp"].alias("pp"), b["tp"].alias("tp"),
-            F.when(buys, F.lit("BUY")).when(sells, F.lit("SELL")).otherwise(F.lit("")).alias("action"), reason.alias("reason"),
-            F.coalesce(F.when(buys, d["atm"]["contract"]), held["contract"]).alias("contract"), fill.alias("fill"),
-            F.when(now.isNotNull(), qty).otherwise(F.lit(0)).alias("qty"),
-            F.coalesce(now["mark"], F.lit(0.0)).alias("mark"), d_cash.alias("d_cash"), d_equity.alias("d_equity"),
-            F.when(sells, held).alias("trade"),
-        ).cast(LOG_TYPE)
-        return F.struct(
-            (s["n"] + 1).alias("n"), now.alias("held"),
-            F.when(d["leave"].isNotNull(), b["m"].cast("int")).otherwise(s["last_sell"]).alias("last_sell"),
-            F.when(d["enter"], b["m"].cast("int")).otherwise(s["entry_m"]).alias("entry_m"),
-            (s["today"] + d["enter"].cast("int")).alias("today"),
-            F.concat(s["log"], F.array(entry)).alias("log"),
-        ).cast(STATE_TYPE)
-
-    def step(s: Column, b: Column) -> Column:
-        # A one-element array names the decision, so it is worked out once per bar.
-        return F.transform(F.array(decide(s, b)), lambda d: apply(s, b, d))[0]
-
-    return rows.withColumn("_s", F.aggregate("bars", start, step)).select(
-        F.col("c").alias("config"), "symbol", "date", F.col("_s.held").alias("held"), F.col("_s.log").alias("log"), F.size("bars").alias("n_bars")
-    )
-
-
-def bar_log(logs: DataFrame) -> DataFrame:
-    """One row per config and bar: action, reason, position and equity change."""
-    return logs.select("config.config_id", "symbol", "date", F.inline("log")).drop("trade")
-
-
-def _trade_columns(held: str, exit_ts: Column, exit_price: Column, exit_underlying: Column, reason: Column, bars: Column) -> list[Column]:
-    h = F.col(held)
-    gain = exit_price - h["entry_price"]
-    seconds = F.unix_seconds(exit_ts.cast("timestamp")) - F.unix_seconds(h["entry_ts"].cast("timestamp"))
-    return [
-        h["contract"].alias("contract"), h["strike"].alias("entry_strike"), h["expiry"].alias("entry_expiry"),
-        h["entry_ts"].alias("entry_ts"), h["entry_price"].alias("entry_price"), h["entry_underlying"].alias("entry_underlying"),
-        exit_ts.alias("exit_ts"), exit_price.alias("exit_price"), exit_underlying.alias("exit_underlying"), reason.alias("exit_reason"),
-        F.col("config.quantity").alias("quantity"), (gain * F.col("config.quantity")).alias("pnl"),
-        F.when(h["entry_price"] > 0, gain / F.when(h["entry_price"] > 0, h["entry_price"])).otherwise(F.lit(0.0)).alias("pnl_pct"),
-        (gain * F.col("config.quantity") * CONTRACT_SIZE).alias("cash_pnl"),
-        bars.cast("int").alias("holding_bars"), F.floor(seconds / 60).cast("int").alias("holding_minutes"),
-    ]
-
-
-def closed_in_day(logs: DataFrame) -> DataFrame:
-    sold = logs.select("config", "symbol", "date", F.explode(F.filter("log", lambda e: e["action"] == "SELL")).alias("e"))
-    return sold.withColumn("held", F.col("e.trade")).select(
-        "config.config_id", "config.strategy", "symbol", "date",
-        *_trade_columns("held", F.col("e.ts"), F.col("e.fill"), F.col("e.close"), F.col("e.reason"), F.col("e.bar") - F.col("held.entry_bar")),
-    )
-
-
-def left_open(logs: DataFrame) -> DataFrame:
-    """Positions held at the end of a day, with the bar that closes them.
-
-    That is the first bar of the symbol's next day, or the last bar when no day follows.
+    rules = {n: STRATEGIES[n] for n in sorted({c.strategy for c in configs})}
+    floors = _floors(list(rules))
+    sides = sorted({r.cp for r in rules.values()})
+    configs = list(configs)
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        kind = frame["kind"].to_numpy()
+        bars = frame[kind == BAR].sort_values("ts")
+        quotes, carry = frame[kind == QUOTE], frame[kind == CARRIED]
+        mine = configs
+        if len(carry):
+            carry = carry.drop_duplicates("config_id").set_index("config_id")
+            mine = [c for c in configs if c.config_id in carry.index]
+            carry = carry.loc[[c.config_id for c in mine]]
+        n, size = len(bars), len(mine)
+        ts = bars["ts"].to_numpy()
+        m, close, pp, tp = (bars[x].to_numpy(dtype=float) for x in ("m", "close", "pp", "tp"))
+
+        # Contracts as numbers; -1 is none and leads to the empty last row of the quote tables.
+        known: dict[str, int] = {}
+        number = lambda col: np.array([known.setdefault(x, len(known)) if isinstance(x, str) else -1 for x in col], np.int64)
+        atm_side = [number(bars[f"atm_{s}"]) for s in sides]
+        of_quote = number(quotes["contract"])
+        held = number(carry["contract"]) if len(carry) else np.full(size, -1)
+        contracts = np.array([*known, None], object)
+        at = np.searchsorted(ts, quotes["ts"].to_numpy())
+
+        def grid_of(col: str) -> np.ndarray:
+            out = np.full((len(known) + 1, n), np.nan)
+            out[of_quote, at] = quotes[col].to_numpy(dtype=float)
+            return out
+
+        q_mark, q_volume, q_ask = grid_of("mark"), grid_of("volume"), grid_of("ask")
+        q_bid = np.stack([grid_of(f"bid_{i}") for i in range(len(floors))])
+
+        par = {f: np.array([getattr(c, f) for c in mine]) for f in ("threshold", "tp_pct", "sl_pct", "min_prob_gap", "min_holding_minutes", "cooldown_minutes", "max_trades_per_day", "force_close_minutes", "quantity")}
+        enter_at, exit_at = np.zeros((n, size), bool), np.zeros((n, size), bool)
+        side, floor = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        texts = {x: np.full(size, "", object) for x in ("entry", "signal", "stop", "target")}
+        for name, rule in rules.items():
+            own = np.flatnonzero([c.strategy == name for c in mine])
+            c = {k: v[own][None, :] for k, v in par.items()}
+            enter_at[:, own] = np.broadcast_to(rule.entry(pp[:, None], tp[:, None], c), (n, len(own)))
+            exit_at[:, own] = np.broadcast_to(rule.exit(pp[:, None], tp[:, None], c), (n, len(own)))
+            side[own], floor[own] = sides.index(rule.cp), floors.index(rule.bid_floor)
+            for x, text in (("entry", rule.entry_reason), ("signal", rule.exit_reason), ("stop", rule.stop_reason), ("target", rule.target_reason)):
+                texts[x][own] = text
+        may = m[:, None] < session_minutes - par["force_close_minutes"][None, :]
+        enter_at &= may
+        worth, qty = par["quantity"] * float(CONTRACT_SIZE), par["quantity"].astype(np.int64)
+        every = np.arange(size)
+
+        first = lambda col, kind, none: carry[col].to_numpy(dtype=kind) if len(carry) else np.full(size, none, kind)
+        entry_ts = first("entry_ts", "datetime64[us]", np.datetime64("NaT"))
+        entry_bar = np.nan_to_num(first("entry_bar", float, 0)).astype(np.int64)
+        entry_price, entry_under, mark = (first(x, float, np.nan) for x in ("entry_price", "entry_underlying", "mark"))
+        last_sell, entry_m = np.full(size, -np.inf), np.full(size, -np.inf)
+        today = np.zeros(size, np.int64)
+        out: list[dict] = []
+
+        def put(rows: np.ndarray, k: int, bar: int, action, reason, reject, which, fill, after, now, cash, equity, night: bool) -> None:
+            if len(rows):
+                pick = lambda x: x[rows] if isinstance(x, np.ndarray) else np.full(len(rows), x)
+                out.append({
+                    "config": rows, "k": np.full(len(rows), k), "bar": np.full(len(rows), bar), "action": pick(action), "reason": pick(reason), "reject": pick(reject),
+                    "contract": pick(which), "entry_ts": pick(entry_ts).copy(), "entry_bar": pick(entry_bar).copy(), "entry_price": pick(entry_price).copy(),
+                    "entry_underlying": pick(entry_under).copy(), "fill": pick(fill), "qty": pick(after), "mark": pick(now), "cash": pick(cash), "equity": pick(equity),
+                    "night": np.full(len(rows), night),
+                })
+
+        def close_all(k: int, bar: int, unfilled: bool) -> None:
+            """Offer what is held at bar k, outside of the strategy's own rules."""
+            nonlocal held
+            sold = (held >= 0) & (q_volume[held, k] > 0)
+            fill = q_bid[floor, held, k]
+            cash = _units(fill, worth)
+            put(np.flatnonzero(sold), k, bar, "SELL", "FORCE_CLOSE", None, held, fill, 0, 0.0, cash, cash - _units(mark, worth), True)
+            if unfilled:
+                put(np.flatnonzero((held >= 0) & ~sold), k, bar, "OPEN", None, "NO_LIQUIDITY", held, np.nan, qty, mark, 0, 0, True)
+            held = np.where(sold, -1, held)
+
+        if n and len(carry):
+            close_all(0, -1, False)
+        for k in range(n):
+            has = held >= 0
+            if not has.any() and not enter_at[k].any():
+                continue
+            atm = np.choose(side, [a[k] for a in atm_side])
+            at_contract = np.where(has, held, atm)
+            now = np.where(np.isnan(q_mark[at_contract, k]), mark, q_mark[at_contract, k])
+            liquid = q_volume[at_contract, k] > 0
+            gain = np.where(entry_price > 0, now / np.where(entry_price > 0, entry_price, 1.0) - 1, 0.0)
+            signal = exit_at[k] & (m[k] - entry_m >= par["min_holding_minutes"])
+            reason = np.select(
+                [~may[k], gain <= par["sl_pct"], gain >= par["tp_pct"], signal], [np.full(size, "FORCE_CLOSE", object), texts["stop"], texts["target"], texts["signal"]], ""
+            )
+            leave = has & (reason != "")
+            enter = ~has & enter_at[k] & (today < par["max_trades_per_day"]) & (m[k] - last_sell >= par["cooldown_minutes"])
+            buys, sells = enter & liquid & (atm >= 0), leave & liquid
+            ask, bid = q_ask[at_contract, k], q_bid[floor, at_contract, k]
+            was = np.where(has, _units(mark, worth), 0)
+            entry_ts = np.where(buys, ts[k].astype("datetime64[us]"), entry_ts)
+            entry_bar = np.where(buys, k, entry_bar)
+            entry_price, entry_under = np.where(buys, ask, entry_price), np.where(buys, close[k], entry_under)
+            holds = (has & ~sells) | buys
+            mark = np.where(buys, ask, now)
+            value = np.where(holds, _units(mark, worth), 0)
+            cash = np.where(buys, -_units(ask, worth), np.where(sells, _units(bid, worth), 0))
+            rows = np.flatnonzero(has | enter)
+            reject = np.select([enter & (atm < 0), (enter & ~buys) | (leave & ~sells)], ["NO_CHAIN", "NO_LIQUIDITY"], "")
+            action = np.where(buys, "BUY", np.where(sells, "SELL", ""))
+            shown = np.where(buys, texts["entry"], np.where(sells, reason, ""))
+            put(rows, k, k, action, shown, reject, np.where(has | buys, at_contract, -1), np.where(buys, ask, np.where(sells, bid, np.nan)), np.where(holds, qty, 0), np.where(holds, mark, 0.0), cash, value - was + cash, False)
+            last_sell = np.where(leave, m[k], last_sell)
+            entry_m, today = np.where(enter, m[k], entry_m), today + enter
+            held = np.where(buys, atm, np.where(sells, -1, held))
+        if n and bool(bars["last"].iloc[0]):
+            close_all(n - 1, n - 1, True)
+        if not out:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in EVENT_NAMES})
+        x = {c: np.concatenate([o[c] for o in out]) for c in out[0]}
+        held_ts = np.where(x["contract"] >= 0, x["entry_ts"], np.datetime64("NaT"))
+        none = x["contract"] < 0
+        blank = lambda v: np.where(none, np.nan, v)
+        return pd.DataFrame({
+            "config_id": np.array([c.config_id for c in mine])[x["config"]], "symbol": bars["symbol"].iloc[0], "date": bars["date"].iloc[0], "ts": ts[x["k"]], "bar": x["bar"],
+            "n_bars": n, "close": close[x["k"]], "action": x["action"], "reason": x["reason"], "reject": x["reject"], "contract": contracts[x["contract"]], "entry_ts": held_ts,
+            "entry_bar": pd.array(np.where(none, 0, x["entry_bar"]), "Int64"), "entry_price": blank(x["entry_price"]), "entry_underlying": blank(x["entry_underlying"]),
+            "fill": x["fill"], "quantity": qty[x["config"]], "qty": x["qty"], "mark": x["mark"], "cash_units": x["cash"], "equity_units": x["equity"], "night": x["night"],
+        })
+
+    return work
+
+
+BAR, QUOTE, CARRIED = range(3)
+EVENT_NAMES = [f.split()[0] for f in EVENTS.split(", ")]
+
+
+def run(market: Market, configs: Sequence[Config]) -> DataFrame:
+    """Events of all configs: every bar on which a config holds, buys, sells or fails to, as a written table.
+
+    Days run side by side, each as if nothing were held before it. A position that a day leaves open is then carried into the
+    symbol's next day, which runs again for the configs concerned: it is offered at the first bar, and stays with the strategy's own
+    rules if it does not fill. This goes on while a day's end changes what the next one begins with; a round costs only those days.
+    Of the last day, what is left is offered at the last bar. ``night`` marks sales outside of the strategy's rules, and
+    positions still open after the last bar (action OPEN).
     """
-    edges = logs.select(
-        "symbol", "date", F.col("log")[0]["ts"].alias("_first"), F.col("log")[0]["close"].alias("_fc"),
-        F.element_at("log", -1)["ts"].alias("_last"), F.element_at("log", -1)["close"].alias("_lc"), "n_bars", "config.config_id",
-    )
-    one = edges.groupBy("symbol", "date").agg(*[F.min(c).alias(c) for c in ("_first", "_fc", "_last", "_lc")])
-    w = Window.partitionBy("symbol").orderBy("date")
-    nxt = one.select(
-        "symbol", "date",
-        F.coalesce(F.lead("_first").over(w), F.col("_last")).alias("ts"),
-        F.coalesce(F.lead("_fc").over(w), F.col("_lc")).alias("_close"),
-        F.lead("_first").over(w).isNotNull().alias("_has_next"),
-    )
-    return logs.filter(F.col("held").isNotNull()).select("config", "symbol", "date", "held", "n_bars").join(nxt, ["symbol", "date"])
-
-
-def closed_overnight(logs: DataFrame, option_bars: DataFrame) -> DataFrame:
-    """Positions left open at the day's end, closed when their quote has volume; unfilled ones stay open.
-
-    ``last_mark`` is the price they were valued at until then.
-    """
-    rest = left_open(logs).withColumn("contract", F.col("held.contract"))
-    quoted = quotes_at(rest, option_bars)
-    q = {k: F.col(f"q_{k}") for k in ("close", "high", "low")}
-    fill = F.when(F.col("q_volume") > 0, sell_fill(q["close"], q["high"], q["low"]))
-    done = fill.isNotNull()
-    # The closing bar belongs to the next day and is not counted.
-    held_bars = F.col("n_bars") - 1 - F.col("held.entry_bar")
-    return quoted.select(
-        "config.config_id", "config.strategy", "symbol", "date",
-        *_trade_columns("held", F.when(done, F.col("ts")), fill, F.when(done, F.col("_close")), F.when(done, F.lit("FORCE_CLOSE")), held_bars),
-        F.col("held.mark").alias("last_mark"),
-    )
-
-
-def trades(logs: DataFrame, option_bars: DataFrame) -> DataFrame:
-    return closed_in_day(logs).unionByName(closed_overnight(logs, option_bars).drop("last_mark"))
-
-
-def equity_curve(log: DataFrame, overnight: DataFrame, capital: float = START_CAPITAL) -> DataFrame:
-    """Cash, position value, equity, running peak and drawdown per config and time.
-
-    Changes are summed per time first; running sums go over days, then inside each day.
+    names = sorted({c.strategy for c in configs})
+    fold = _day(configs, market.session_minutes)
+    base = market.bars.withColumn("kind", F.lit(BAR)).unionByName(market.quotes.withColumn("kind", F.lit(QUOTE)), allowMissingColumns=True)
+    # With the columns of carried positions, so that every round has the same frame.
+    base = base.selectExpr("*", "cast(null as int) as config_id", *[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in _ENTRY.split(", ")])
+
+    def done(rows: DataFrame, name: str) -> DataFrame:
+        return stage(rows.groupBy("symbol", "date").applyInPandas(fold, EVENTS), name)
+
+    def left(events: DataFrame) -> DataFrame:
+        """What is held after a day's last bar, as the next day's beginning."""
+        held = events.filter("not night and qty > 0 and bar = n_bars - 1").join(market.calendar.filter("next_date is not null"), ["symbol", "date"])
+        return held.select("config_id", "symbol", F.col("next_date").alias("date"), "contract", "entry_ts", (F.col("entry_bar") - F.col("n_bars")).alias("entry_bar"), "entry_price", "entry_underlying", "mark")
+
+    key = ["config_id", "symbol", "date"]
+    events = done(base, "trade-events")
+    carried = stage(left(events), "trade-carried")
+    used = carried.limit(0)
+    parts: list[tuple[DataFrame, DataFrame | None]] = [(events, None)]
+    while True:
+        same = F.col("a.contract").eqNullSafe(F.col("b.contract")) & F.col("a.entry_ts").eqNullSafe(F.col("b.entry_ts")) & F.col("a.mark").eqNullSafe(F.col("b.mark"))
+        both = carried.alias("a").join(used.alias("b"), key, "full").filter(~same)
+        changed = stage(both.select(*key, *[F.col(f"a.{c}").alias(c) for c in carried.columns if c not in key]), "trade-changed")
+        if changed.isEmpty():
+            break
+        days = changed.select("symbol", "date").distinct()
+        extra = changed.filter("contract is not null").select("symbol", "date", "contract").distinct()
+        extra = extra.join(market.quotes.select("symbol", "date", "contract").distinct(), ["symbol", "date", "contract"], "left_anti")
+        extra = _quoted(market.bars.select("symbol", "date", "ts").join(extra, ["symbol", "date"]), market.option_bars, names)
+        again = base.join(days, ["symbol", "date"], "left_semi").unionByName(extra.withColumn("kind", F.lit(QUOTE)), allowMissingColumns=True)
+        again = again.unionByName(changed.withColumn("kind", F.lit(CARRIED)), allowMissingColumns=True)
+        events = done(again, "trade-events")
+        parts.append((events, changed.select(*key)))
+        # A day that has run again says anew what its next day begins with.
+        after = changed.select("config_id", "symbol", "date").join(market.calendar, ["symbol", "date"]).select("config_id", "symbol", F.col("next_date").alias("date"))
+        carried = stage(carried.join(after, key, "left_anti").unionByName(left(events)), "trade-carried")
+        used = stage(used.join(changed, key, "left_anti").unionByName(changed.filter("contract is not null")), "trade-used")
+    out, later = None, None
+    for events, keys in reversed(parts):
+        kept = events if later is None else events.join(later, key, "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        later = keys if later is None or keys is None else later.unionByName(keys).distinct()
+    return out if len(parts) == 1 else stage(out, "trade-all-events")
+
+
+def bar_log(events: DataFrame, market: Market, configs: Sequence[Config]) -> DataFrame:
+    """One row per config and bar: action, reason, position and money moved by the strategy's rules."""
+    bars = market.bars.select("symbol", "date", "ts", "close", "pp", "tp", F.explode(F.array(*[F.lit(c.config_id) for c in configs])).alias("config_id"))
+    acts = events.filter("not night").select("config_id", "symbol", "ts", "action", "reason", "reject", "contract", "fill", "qty", "mark", "cash_units", "equity_units")
+    none = {"action": "", "reason": "", "reject": "", "qty": 0, "mark": 0.0, "cash_units": 0, "equity_units": 0}
+    out = bars.join(acts, ["config_id", "symbol", "ts"], "left").fillna(none)
+    return out.withColumn("d_cash", F.col("cash_units") / MONEY_UNITS).withColumn("d_equity", F.col("equity_units") / MONEY_UNITS)
+
+
+def trades(events: DataFrame, market: Market, configs: Sequence[Config]) -> DataFrame:
+    """Sales with their purchases, and positions still open after the last bar, without an exit."""
+    names = F.create_map(*[F.lit(x) for c in configs for x in (c.config_id, c.strategy)])
+    rows = events.filter(F.col("action").isin("SELL", "OPEN")).join(market.listed, "contract", "left").withColumn("strategy", names[F.col("config_id")])
+    sold = F.col("action") == "SELL"
+    gain = F.col("fill") - F.col("entry_price")
+    ends = lambda c: F.when(sold, F.col(c))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("entry_ts").cast("timestamp"))
+    # A bar outside of the strategy's rules is not counted as held: it comes before the day's first, or after the last.
+    bars = F.col("bar") - F.col("entry_bar")
+    return rows.select(
+        "config_id", "strategy", "symbol", F.to_date("entry_ts").alias("date"), "contract", F.col("strike").alias("entry_strike"), F.col("expiry").alias("entry_expiry"), "entry_ts", "entry_price", "entry_underlying",
+        ends("ts").alias("exit_ts"), ends("fill").alias("exit_price"), ends("close").alias("exit_underlying"), ends("reason").alias("exit_reason"), "quantity",
+        (ends("fill") - F.col("entry_price")).alias("_gain"), bars.cast("int").alias("holding_bars"), F.when(sold, F.floor(seconds / 60)).cast("int").alias("holding_minutes"),
+    ).select(
+        "*", (F.col("_gain") * F.col("quantity")).alias("pnl"),
+        F.when(F.col("entry_price") > 0, F.col("_gain") / F.when(F.col("entry_price") > 0, F.col("entry_price"))).when(F.col("exit_ts").isNotNull(), F.lit(0.0)).alias("pnl_pct"),
+        (F.col("_gain") * F.col("quantity") * CONTRACT_SIZE).alias("cash_pnl"),
+    ).drop("_gain")
+
+
+def bar_times(market: Market) -> DataFrame:
+    return market.bars.select("ts").distinct()
+
+
+def day_starts(market: Market) -> DataFrame:
+    """The first time of each date: enough rows for daily figures, since nothing changes between events."""
+    return market.bars.groupBy("date").agg(F.min("ts").alias("ts")).select("ts")
+
+
+def equity_curve(events: DataFrame, times: DataFrame, configs: Sequence[Config], capital: float = START_CAPITAL) -> DataFrame:
+    """Cash, position value, equity, running peak and drawdown per config, at ``times`` and wherever something is held.
+
+    Changes are summed per time first; running sums go over days, then inside each day. Sums are of whole units of money, so a day on
+    which nothing moves ends on exactly the figure of the day before.
     """
-    steps = log.select("config_id", "ts", "d_cash", "d_equity")
-    worth = F.col("quantity") * CONTRACT_SIZE
-    closing = overnight.filter(F.col("exit_ts").isNotNull()).select(
-        "config_id", F.col("exit_ts").alias("ts"), (F.col("exit_price") * worth).alias("d_cash"),
-        ((F.col("exit_price") - F.col("last_mark")) * worth).alias("d_equity"),
-    )
-    per_ts = steps.unionByName(closing).groupBy("config_id", "ts").agg(
-        F.sum("d_cash").alias("d_cash"), F.sum("d_equity").alias("d_equity")
-    ).withColumn("_day", F.to_date("ts"))
-    cum = running_totals(per_ts, ["config_id"], "_day", [F.asc("ts")], ["d_cash", "d_equity"])
+    ids = F.explode(F.array(*[F.lit(c.config_id) for c in configs])).alias("config_id")
+    zero = F.lit(0).cast("long")
+    rows = events.select("config_id", "ts", "cash_units", "equity_units").unionByName(times.select(ids, "ts", zero.alias("cash_units"), zero.alias("equity_units")))
+    per_ts = rows.groupBy("config_id", "ts").agg(F.sum("cash_units").alias("cash_units"), F.sum("equity_units").alias("equity_units")).withColumn("_day", F.to_date("ts"))
+    cum = running_totals(per_ts, ["config_id"], "_day", [F.asc("ts")], ["cash_units", "equity_units"])
+    start = F.lit(round(capital * MONEY_UNITS)).cast("long")
+    money = lambda c: (start + F.col(c)) / MONEY_UNITS
     curve = cum.select(
-        "config_id", "_day", "ts", (F.col("cum_d_cash") + capital).alias("cash"), (F.col("cum_d_equity") + capital).alias("equity")
-    )
-    return with_drawdown(curve.withColumn("position_value", F.col("equity") - F.col("cash")), ["config_id"], "_day").drop("_day")
+        "config_id", "_day", "ts", money("cum_cash_units").alias("cash"), money("cum_equity_units").alias("equity"),
+        ((F.col("cum_equity_units") - F.col("cum_cash_units")) / MONEY_UNITS).alias("position_value"),
+    )
+    return with_drawdown(curve, ["config_id"], "_day").drop("_day")
 
 
 def with_drawdown(curve: DataFrame, by: Sequence[str], bin_col: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tapewright.operators import analysis as A
@@ -31,77 +33,88 @@ def _values(configs) -> str:
         CAST(gap AS DOUBLE) AS gap, mh, cd, mx, qty FROM (VALUES {rows}) v(config_id, strategy, cp, th, tpp, slp, gap, mh, cd, mx, qty))"""
 
 
-# The SQL twin walks every day bar by bar for each config.
+# The SQL twin walks each symbol's bars one by one for each config, across days. Money is in millionths.
 WALK = """near AS MATERIALIZED (SELECT symbol, ts, cp, contract, strike, expiry FROM (
     SELECT s.symbol, s.ts, a.cp, a.contract, a.strike, a.expiry,
       row_number() OVER (PARTITION BY s.symbol, s.ts, a.cp ORDER BY abs(a.strike - s.close), a.contract) AS rn
     FROM sess s JOIN active a ON s.symbol = a.underlying AND s.date = a.date) WHERE rn = 1),
-  sb AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, date ORDER BY ts) AS INTEGER) AS rn, minutes_from_open AS m FROM scored),
-  pairs AS (SELECT DISTINCT s.symbol, s.date, n.contract FROM sess s JOIN near n ON s.symbol = n.symbol AND s.ts = n.ts),
-  qt AS MATERIALIZED (SELECT p.symbol, p.date, p.rn, p.contract, o.close AS qc, o.high AS qh, o.low AS ql, o.volume AS qv
-    FROM (SELECT s.symbol, s.date, s.rn, s.ts, p.contract FROM sb s JOIN pairs p ON s.symbol = p.symbol AND s.date = p.date) p
+  sb AS MATERIALIZED (SELECT *, CAST(row_number() OVER x AS INTEGER) AS rn, minutes_from_open AS m, coalesce(date <> lag(date) OVER x, false) AS fresh,
+    lead(ts) OVER x IS NULL AS final FROM scored WINDOW x AS (PARTITION BY symbol ORDER BY ts)),
+  pairs AS (SELECT DISTINCT symbol, contract FROM near),
+  qt AS MATERIALIZED (SELECT p.symbol, p.rn, p.contract, o.close AS qc, o.high AS qh, o.low AS ql, o.volume AS qv
+    FROM (SELECT s.symbol, s.rn, s.ts, p.contract FROM sb s JOIN pairs p ON s.symbol = p.symbol) p
     ASOF JOIN option_bars o ON p.contract = o.contract AND p.ts >= o.ts),
-  w AS (SELECT config_id, symbol, date, 0 AS rn, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS close, CAST(NULL AS DOUBLE) AS pp,
-      CAST(NULL AS DOUBLE) AS tp, '' AS action, '' AS reason, CAST(NULL AS DOUBLE) AS fill, CAST(0 AS DOUBLE) AS dc, CAST(0 AS DOUBLE) AS de,
+  qf AS MATERIALIZED (SELECT *, (qc + greatest((qh - ql) / 2, 0.01)) * 1.005 AS ask, (qc - greatest((qh - ql) / 2, 0.01)) * 0.995 AS bid,
+      greatest(qc - greatest((qh - ql) / 2, 0.01), 0.01) * 0.995 AS bidf FROM qt),
+  w AS (SELECT config_id, symbol, CAST(NULL AS DATE) AS date, 0 AS rn, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS close, CAST(NULL AS DOUBLE) AS pp,
+      CAST(NULL AS DOUBLE) AS tp, '' AS action, '' AS reason, '' AS reject, CAST(NULL AS DOUBLE) AS fill, CAST(0 AS BIGINT) AS dc, CAST(0 AS BIGINT) AS de,
       CAST(NULL AS VARCHAR) AS held, CAST(NULL AS DOUBLE) AS strike, CAST(NULL AS DATE) AS expiry, CAST(NULL AS TIMESTAMP) AS ets,
       CAST(NULL AS INTEGER) AS ebar, CAST(NULL AS DOUBLE) AS ep, CAST(NULL AS DOUBLE) AS eu, CAST(NULL AS DOUBLE) AS mark,
       CAST(NULL AS INTEGER) AS ls, CAST(NULL AS INTEGER) AS em, 0 AS today, CAST(NULL AS VARCHAR) AS was, CAST(NULL AS TIMESTAMP) AS wts,
-      CAST(NULL AS INTEGER) AS wbar, CAST(NULL AS DOUBLE) AS wep, CAST(NULL AS DOUBLE) AS weu, CAST(NULL AS DOUBLE) AS wst, CAST(NULL AS DATE) AS wex
-      FROM cfg, (SELECT DISTINCT symbol, date FROM sess)
+      CAST(NULL AS INTEGER) AS wbar, CAST(NULL AS DOUBLE) AS wep, CAST(NULL AS DOUBLE) AS weu, CAST(NULL AS DOUBLE) AS wst, CAST(NULL AS DATE) AS wex,
+      false AS nsell, CAST(NULL AS DOUBLE) AS nfill, CAST(0 AS BIGINT) AS nde
+      FROM cfg, (SELECT DISTINCT symbol FROM sess)
     UNION ALL SELECT config_id, symbol, date, rn, ts, close, pp, tp, CASE WHEN buys THEN 'BUY' WHEN sells THEN 'SELL' ELSE '' END,
       CASE WHEN buys THEN CASE cp WHEN 'P' THEN 'PEAK_SIGNAL' ELSE 'TROUGH_SIGNAL' END WHEN sells THEN leave ELSE '' END,
+      CASE WHEN enter AND atm IS NULL THEN 'NO_CHAIN' WHEN enter AND NOT buys OR leave IS NOT NULL AND NOT sells THEN 'NO_LIQUIDITY' ELSE '' END,
       CASE WHEN buys THEN ask WHEN sells THEN bid END,
-      CASE WHEN buys THEN -ask * 100 * qty WHEN sells THEN bid * 100 * qty ELSE 0 END,
-      CASE WHEN sells THEN (bid - mark) * 100 * qty WHEN held IS NOT NULL THEN (nm - mark) * 100 * qty ELSE 0 END,
-      CASE WHEN buys THEN atm WHEN sells THEN NULL ELSE held END, CASE WHEN buys THEN ast WHEN sells THEN NULL ELSE strike END,
-      CASE WHEN buys THEN aex WHEN sells THEN NULL ELSE expiry END, CASE WHEN buys THEN ts WHEN sells THEN NULL ELSE ets END,
-      CASE WHEN buys THEN rn - 1 WHEN sells THEN NULL ELSE ebar END, CASE WHEN buys THEN ask WHEN sells THEN NULL ELSE ep END,
-      CASE WHEN buys THEN close WHEN sells THEN NULL ELSE eu END, CASE WHEN buys THEN ask WHEN sells THEN NULL WHEN held IS NOT NULL THEN nm END,
+      CASE WHEN buys THEN -u(ask * 100 * qty) WHEN sells THEN u(bid * 100 * qty) ELSE 0 END,
+      CASE WHEN sells THEN u(bid * 100 * qty) - u(mark * 100 * qty) WHEN h IS NOT NULL THEN u(nm * 100 * qty) - u(mark * 100 * qty) ELSE 0 END,
+      CASE WHEN buys THEN atm WHEN sells THEN NULL ELSE h END, CASE WHEN buys THEN ast WHEN h IS NULL OR sells THEN NULL ELSE strike END,
+      CASE WHEN buys THEN aex WHEN h IS NULL OR sells THEN NULL ELSE expiry END, CASE WHEN buys THEN ts WHEN h IS NULL OR sells THEN NULL ELSE ets END,
+      CASE WHEN buys THEN rn WHEN h IS NULL OR sells THEN NULL ELSE ebar END, CASE WHEN buys THEN ask WHEN h IS NULL OR sells THEN NULL ELSE ep END,
+      CASE WHEN buys THEN close WHEN h IS NULL OR sells THEN NULL ELSE eu END, CASE WHEN buys THEN ask WHEN h IS NULL OR sells THEN NULL ELSE nm END,
       CASE WHEN leave IS NOT NULL THEN m ELSE ls END, CASE WHEN enter THEN m ELSE em END, today + CASE WHEN enter THEN 1 ELSE 0 END,
-      CASE WHEN sells THEN held END, ets, ebar, ep, eu, strike, expiry
-    FROM (SELECT *, enter AND coalesce(qv > 0, false) AND atm IS NOT NULL AS buys, leave IS NOT NULL AND coalesce(qv > 0, false) AS sells,
-        (qc + greatest((qh - ql) / 2, 0.01)) * 1.005 AS ask,
-        (CASE WHEN strategy = 'signal_rules' THEN greatest(qc - greatest((qh - ql) / 2, 0.01), 0.01) ELSE qc - greatest((qh - ql) / 2, 0.01) END) * 0.995 AS bid
-      FROM (SELECT *, CASE WHEN held IS NULL THEN NULL WHEN m >= 270 THEN 'FORCE_CLOSE'
+      CASE WHEN sells OR nsell THEN held END, ets, ebar, ep, eu, strike, expiry, nsell, nfill, CASE WHEN nsell THEN u(nfill * 100 * qty) - u(mark * 100 * qty) ELSE 0 END
+    FROM (SELECT *, enter AND coalesce(qv > 0, false) AND atm IS NOT NULL AS buys, leave IS NOT NULL AND coalesce(qv > 0, false) AS sells
+      FROM (SELECT *, CASE WHEN h IS NULL THEN NULL WHEN m >= 270 THEN 'FORCE_CLOSE'
             WHEN nm / ep - 1 <= slp THEN CASE strategy WHEN 'signal_rules' THEN 'STOP_LOSS' ELSE 'SL' END
             WHEN nm / ep - 1 >= tpp THEN CASE strategy WHEN 'signal_rules' THEN 'PROFIT_TARGET' ELSE 'TP' END
             WHEN (em IS NULL OR m - em >= mh) AND cp = 'P' AND tp >= th AND tp > pp THEN 'TROUGH_SIGNAL'
             WHEN (em IS NULL OR m - em >= mh) AND cp = 'C' AND pp >= th AND pp > tp THEN 'PEAK_SIGNAL' END AS leave,
-          held IS NULL AND m < 270 AND today < mx AND (ls IS NULL OR m - ls >= cd) AND CASE strategy
+          h IS NULL AND m < 270 AND today < mx AND (ls IS NULL OR m - ls >= cd) AND CASE strategy
             WHEN 'put_buy' THEN pp >= th AND pp > tp WHEN 'filtered_put' THEN pp - tp >= gap AND pp >= th
             WHEN 'signal_rules' THEN pp >= th AND pp >= tp ELSE tp >= th AND tp > pp END AS enter
-        FROM (SELECT s.config_id, s.symbol, s.date, b.rn, b.ts, b.close, b.peak_prob AS pp, b.trough_prob AS tp, b.m, c.strategy, c.cp, c.th, c.tpp,
-            c.slp, c.gap, c.mh, c.cd, c.mx, c.qty, s.held, s.strike, s.expiry, s.ets, s.ebar, s.ep, s.eu, s.mark, s.ls, s.em, s.today,
-            n.contract AS atm, n.strike AS ast, n.expiry AS aex, q.qc, q.qh, q.ql, q.qv, coalesce(q.qc, s.mark) AS nm
-          FROM w s JOIN sb b ON s.symbol = b.symbol AND s.date = b.date AND b.rn = s.rn + 1 JOIN cfg c ON c.config_id = s.config_id
-          LEFT JOIN near n ON n.symbol = b.symbol AND n.ts = b.ts AND n.cp = c.cp
-          LEFT JOIN qt q ON q.symbol = b.symbol AND q.date = b.date AND q.rn = b.rn AND q.contract = coalesce(s.held, n.contract))))),
+        FROM (SELECT s.* EXCLUDE (ls, em, today), CASE WHEN s.fresh THEN NULL ELSE s.ls END AS ls, CASE WHEN s.fresh THEN NULL ELSE s.em END AS em,
+            CASE WHEN s.fresh THEN 0 ELSE s.today END AS today, CASE WHEN s.nsell THEN NULL ELSE s.held END AS h,
+            CASE WHEN s.held IS NOT NULL AND NOT s.nsell THEN coalesce(s.hc, s.mark) ELSE a.qc END AS nm,
+            CASE WHEN s.held IS NOT NULL AND NOT s.nsell THEN s.hv ELSE a.qv END AS qv, a.ask,
+            CASE WHEN s.held IS NOT NULL AND NOT s.nsell THEN s.hbid END AS bid
+          FROM (SELECT s.config_id, s.symbol, b.date, b.rn, b.ts, b.close, b.peak_prob AS pp, b.trough_prob AS tp, b.m, b.fresh, c.strategy, c.cp, c.th, c.tpp,
+              c.slp, c.gap, c.mh, c.cd, c.mx, c.qty, s.held, s.strike, s.expiry, s.ets, s.ebar, s.ep, s.eu, s.mark, s.ls, s.em, s.today,
+              n.contract AS atm, n.strike AS ast, n.expiry AS aex, q.qc AS hc, q.qv AS hv, CASE c.strategy WHEN 'signal_rules' THEN q.bidf ELSE q.bid END AS hbid,
+              b.fresh AND s.held IS NOT NULL AND coalesce(q.qv > 0, false) AS nsell,
+              CASE WHEN b.fresh AND s.held IS NOT NULL AND q.qv > 0 THEN CASE c.strategy WHEN 'signal_rules' THEN q.bidf ELSE q.bid END END AS nfill
+            FROM w s JOIN sb b ON s.symbol = b.symbol AND b.rn = s.rn + 1 JOIN cfg c ON c.config_id = s.config_id
+            LEFT JOIN near n ON n.symbol = b.symbol AND n.ts = b.ts AND n.cp = c.cp
+            LEFT JOIN qf q ON q.symbol = b.symbol AND q.rn = b.rn AND q.contract = s.held) s
+          LEFT JOIN qf a ON a.symbol = s.symbol AND a.rn = s.rn AND a.contract = s.atm)))),
   log AS MATERIALIZED (SELECT * FROM w WHERE rn > 0),
-  intraday AS (SELECT config_id, symbol, date, was AS contract, wst AS entry_strike, wex AS entry_expiry, wts AS entry_ts, wep AS entry_price,
-      weu AS entry_underlying, ts AS exit_ts, fill AS exit_price, close AS exit_underlying, reason AS exit_reason, rn - 1 - wbar AS holding_bars
-    FROM log WHERE action = 'SELL'),
-  edges AS (SELECT symbol, date, min(ts) AS a, arg_min(close, ts) AS ac, max(ts) AS b, arg_max(close, ts) AS bc, max(rn) AS n FROM sb GROUP BY 1, 2),
-  nxt AS (SELECT symbol, date, n, coalesce(lead(a) OVER x, b) AS cts, coalesce(lead(ac) OVER x, bc) AS cc FROM edges WINDOW x AS (PARTITION BY symbol ORDER BY date)),
-  night AS MATERIALIZED (SELECT l.config_id, l.symbol, l.date, l.held AS contract, l.strike AS entry_strike, l.expiry AS entry_expiry, l.ets AS entry_ts,
-      l.ep AS entry_price, l.eu AS entry_underlying, CASE WHEN o.volume > 0 THEN x.cts END AS exit_ts,
-      CASE WHEN o.volume > 0 THEN (o.close - greatest((o.high - o.low) / 2, 0.01)) * 0.995 END AS exit_price,
-      CASE WHEN o.volume > 0 THEN x.cc END AS exit_underlying, CASE WHEN o.volume > 0 THEN 'FORCE_CLOSE' END AS exit_reason, x.n - 1 - l.ebar AS holding_bars
-    FROM (SELECT l.*, x.cts FROM log l JOIN nxt x ON l.symbol = x.symbol AND l.date = x.date AND l.rn = x.n WHERE l.held IS NOT NULL) l
-    JOIN nxt x ON l.symbol = x.symbol AND l.date = x.date
-    ASOF LEFT JOIN option_bars o ON l.held = o.contract AND l.cts >= o.ts),
-  tr AS MATERIALIZED (SELECT t.*, c.strategy, CAST(c.qty AS INTEGER) AS quantity, (exit_price - entry_price) * c.qty AS pnl,
+  sold AS (SELECT config_id, symbol, was AS contract, wst AS entry_strike, wex AS entry_expiry, wts AS entry_ts, wep AS entry_price,
+      weu AS entry_underlying, ts AS exit_ts, CASE WHEN nsell THEN nfill ELSE fill END AS exit_price, close AS exit_underlying,
+      CASE WHEN nsell THEN 'FORCE_CLOSE' ELSE reason END AS exit_reason, CASE WHEN nsell THEN rn - 1 ELSE rn END - wbar AS holding_bars
+    FROM log WHERE action = 'SELL' OR nsell),
+  rest AS MATERIALIZED (SELECT l.config_id, l.symbol, l.held AS contract, l.strike AS entry_strike, l.expiry AS entry_expiry, l.ets AS entry_ts,
+      l.ep AS entry_price, l.eu AS entry_underlying, CASE WHEN q.qv > 0 THEN l.ts END AS exit_ts,
+      CASE WHEN q.qv > 0 THEN CASE c.strategy WHEN 'signal_rules' THEN q.bidf ELSE q.bid END END AS exit_price,
+      CASE WHEN q.qv > 0 THEN l.close END AS exit_underlying, CASE WHEN q.qv > 0 THEN 'FORCE_CLOSE' END AS exit_reason, l.rn - l.ebar AS holding_bars, l.mark
+    FROM log l JOIN sb b ON l.symbol = b.symbol AND l.rn = b.rn AND b.final JOIN cfg c USING (config_id)
+    LEFT JOIN qf q ON q.symbol = l.symbol AND q.rn = l.rn AND q.contract = l.held WHERE l.held IS NOT NULL),
+  tr AS MATERIALIZED (SELECT t.*, CAST(t.entry_ts AS DATE) AS date, c.strategy, CAST(c.qty AS INTEGER) AS quantity, (exit_price - entry_price) * c.qty AS pnl,
       CASE WHEN entry_price > 0 THEN (exit_price - entry_price) / entry_price ELSE 0 END AS pnl_pct, (exit_price - entry_price) * c.qty * 100 AS cash_pnl,
       CAST(floor((epoch(exit_ts) - epoch(entry_ts)) / 60) AS INTEGER) AS holding_minutes
-    FROM (SELECT * FROM intraday UNION ALL SELECT * FROM night) t JOIN cfg c USING (config_id))"""
-
-# Equity is cash plus what is held at its mark, from each day's positions rather than from booked changes.
-CURVE = """, st AS (SELECT config_id, symbol, date, 0 AS late, ts, dc, CASE WHEN l.held IS NULL THEN 0 ELSE l.mark * 100 * c.qty END AS val
-    FROM log l JOIN cfg c USING (config_id)
-    UNION ALL SELECT config_id, symbol, date, 1, exit_ts, exit_price * 100 * c.qty, 0 FROM night JOIN cfg c USING (config_id) WHERE exit_ts IS NOT NULL),
-  ch AS (SELECT config_id, ts, dc, val - coalesce(lag(val) OVER (PARTITION BY config_id, symbol, date ORDER BY ts, late), 0) AS dv FROM st),
-  eq AS MATERIALIZED (SELECT config_id, ts, 10000000.0 + sum(dc) OVER v AS cash, 10000000.0 + sum(dc) OVER v + sum(dv) OVER v AS equity
-    FROM (SELECT config_id, ts, sum(dc) AS dc, sum(dv) AS dv FROM ch GROUP BY 1, 2) WINDOW v AS (PARTITION BY config_id ORDER BY ts)),
-  curve AS MATERIALIZED (SELECT *, equity - cash AS position_value, max(equity) OVER v AS equity_peak,
+    FROM (SELECT * FROM sold UNION ALL SELECT * EXCLUDE (mark) FROM rest) t JOIN cfg c USING (config_id))"""
+WALK = re.sub(r"u\(([a-z]+) \* 100 \* qty\)", r"CAST(round(\1 * (100 * qty) * 1000000) AS BIGINT)", WALK)
+
+# Equity is cash plus what is held at its mark, from each bar's position rather than from booked changes.
+CURVE = """, st AS (SELECT config_id, symbol, 0 AS late, ts, dc + CASE WHEN nsell THEN u(nfill * 100 * qty) ELSE 0 END AS dc,
+      CASE WHEN l.held IS NULL THEN 0 ELSE u(mark * 100 * qty) END AS val FROM log l JOIN cfg c USING (config_id)
+    UNION ALL SELECT config_id, symbol, 1, exit_ts, u(exit_price * 100 * qty), 0 FROM rest JOIN cfg c USING (config_id) WHERE exit_ts IS NOT NULL),
+  ch AS (SELECT config_id, ts, dc, val - coalesce(lag(val) OVER (PARTITION BY config_id, symbol ORDER BY ts, late), 0) AS dv FROM st),
+  eq AS MATERIALIZED (SELECT config_id, ts, CAST(10000000000000 + sum(dc) OVER v AS DOUBLE) / 1000000 AS cash,
+      CAST(10000000000000 + sum(dc) OVER v + sum(dv) OVER v AS DOUBLE) / 1000000 AS equity, CAST(sum(dv) OVER v AS DOUBLE) / 1000000 AS position_value
+    FROM (SELECT config_id, ts, CAST(sum(dc) AS BIGINT) AS dc, CAST(sum(dv) AS BIGINT) AS dv FROM ch GROUP BY 1, 2) WINDOW v AS (PARTITION BY config_id ORDER BY ts)),
+  curve AS MATERIALIZED (SELECT *, max(equity) OVER v AS equity_peak,
     (equity - max(equity) OVER v) / max(equity) OVER v AS drawdown_pct FROM eq WINDOW v AS (PARTITION BY config_id ORDER BY ts)),
   dl AS (SELECT config_id, CAST(ts AS DATE) AS d, arg_max(equity, ts) AS e, arg_min(equity, ts) AS f, min(drawdown_pct) AS dd FROM curve GROUP BY 1, 2),
   rt AS (SELECT *, e / lag(e) OVER (PARTITION BY config_id ORDER BY d) - 1 AS r FROM dl),
@@ -109,6 +122,7 @@ CURVE = """, st AS (SELECT config_id, symbol, date, 0 AS late, ts, dc, CASE WHEN
       CASE WHEN count(r) >= 2 AND stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END AS sharpe_ratio,
       CASE WHEN count(r) FILTER (r < 0) >= 2 AND stddev_samp(r) FILTER (r < 0) > 0 THEN avg(r) / stddev_samp(r) FILTER (r < 0) * sqrt(252) ELSE 0 END AS sortino_ratio
     FROM rt GROUP BY 1)"""
+CURVE = re.sub(r"u\(([a-z_]+) \* 100 \* qty\)", r"CAST(round(\1 * (100 * qty) * 1000000) AS BIGINT)", CURVE)
 TM = """, tm AS MATERIALIZED (SELECT config_id, count(*) AS total_trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate,
     coalesce(avg(pnl_pct) FILTER (pnl > 0), 0) AS avg_win_pct, coalesce(avg(pnl_pct) FILTER (pnl < 0), 0) AS avg_loss_pct,
     CASE WHEN coalesce(sum(pnl) FILTER (pnl < 0), 0) = 0 THEN CASE WHEN sum(pnl) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END
@@ -120,12 +134,17 @@ def _sql(body: str, configs, tail: str = "") -> str:
     return with_tables(body, "scored", "active", "option_bars", recursive=True, extra=f"{_values(configs)}, {WALK}{tail}")
 
 
-def _logs(spark, folder, configs):
-    """Bar logs and option bars as stage tables, since trades, curves and metrics all read them."""
+def _run(spark, folder, configs):
+    """Events of the configs and what they share, as stage tables, since trades, curves and metrics all read them."""
     listed = stage(I.contracts(spark, folder), "contracts")
     options = stage(I.option_bars(spark, folder, listed), "option_bars")
-    days = T.quoted_days(I.scored(spark, folder), listed, options, configs)
-    return stage(T.day_logs(days, configs), "bar_logs"), options
+    market = T.market(I.scored(spark, folder), listed, options, configs)
+    return T.run(market, configs), market
+
+
+def _log(spark, folder, configs):
+    events, market = _run(spark, folder, configs)
+    return T.bar_log(events, market, configs)
 
 
 @query(
@@ -141,22 +160,21 @@ def entry_candidates(spark, folder):
     return T.entry_candidates(I.scored(spark, folder), CONFIGS).select("config_id", "symbol", "ts")
 
 
-ROUND_LOG = "config_id, symbol, date, ts, action, reason, round(fill, 8) AS fill, round(dc, 6) AS d_cash, round(de, 6) AS d_equity, round(coalesce(mark, 0), 8) AS mark"
+ROUND_LOG = "config_id, symbol, date, ts, action, reason, reject, round(fill, 8) AS fill, CAST(dc AS DOUBLE) / 1000000 AS d_cash, CAST(de AS DOUBLE) / 1000000 AS d_equity, round(CASE WHEN held IS NULL THEN 0 ELSE mark END, 8) AS mark"
 
 
 def _show(log):
-    out = rounded(log.select("config_id", "symbol", "date", "ts", "action", "reason", "fill", "d_cash", "d_equity", "mark"), ["fill", "mark"])
-    return rounded(out, ["d_cash", "d_equity"], 6)
+    return rounded(log.select("config_id", "symbol", "date", "ts", "action", "reason", "reject", "fill", "d_cash", "d_equity", "mark"), ["fill", "mark"])
 
 
-@query("B-01 B-02 B-03 B-04 B-05 B-08 S-25 S-27 P-08", _sql(f"SELECT {ROUND_LOG} FROM log", CONFIGS))
+@query("B-01 B-02 B-03 B-04 B-05 B-06 B-08 S-25 S-27 P-08", _sql(f"SELECT {ROUND_LOG} FROM log", CONFIGS))
 def strategy_bar_log(spark, folder):
-    return _show(T.bar_log(_logs(spark, folder, CONFIGS)[0]))
+    return _show(_log(spark, folder, CONFIGS))
 
 
 @query("B-10 P-13", _sql(f"SELECT {ROUND_LOG} FROM log", RULES))
 def signal_rule_log(spark, folder):
-    return _show(T.bar_log(_logs(spark, folder, RULES)[0]))
+    return _show(_log(spark, folder, RULES))
 
 
 TRADE_COLS = """config_id, strategy, symbol, date, contract, entry_strike, entry_expiry, entry_ts, round(entry_price, 8) AS entry_price, entry_underlying,
@@ -164,10 +182,14 @@ TRADE_COLS = """config_id, strategy, symbol, date, contract, entry_strike, entry
   round(cash_pnl, 6) AS cash_pnl, holding_bars, holding_minutes"""
 
 
+def _trades(spark, folder):
+    events, market = _run(spark, folder, CONFIGS)
+    return T.trades(events, market, CONFIGS)
+
+
 @query("B-04 B-06 B-07 W-29 S-19", _sql(f"SELECT {TRADE_COLS} FROM tr", CONFIGS))
 def strategy_trades(spark, folder):
-    logs, options = _logs(spark, folder, CONFIGS)
-    return rounded(rounded(T.trades(logs, options), ["entry_price", "exit_price", "pnl", "pnl_pct"]), ["cash_pnl"], 6)
+    return rounded(rounded(_trades(spark, folder), ["entry_price", "exit_price", "pnl", "pnl_pct"]), ["cash_pnl"], 6)
 
 
 CURVE_COLS = ["cash", "equity", "position_value", "equity_peak"]
@@ -180,18 +202,18 @@ CURVE_COLS = ["cash", "equity", "position_value", "equity_peak"]
     ),
 )
 def equity_curves(spark, folder):
-    return rounded(rounded(_curve(*_logs(spark, folder, CONFIGS))[0], CURVE_COLS, 6), ["drawdown_pct"])
+    return rounded(rounded(_curve(spark, folder, CONFIGS), CURVE_COLS, 6), ["drawdown_pct"])
 
 
-def _curve(logs, options):
-    night = T.closed_overnight(logs, options)
-    return T.equity_curve(T.bar_log(logs), night), T.closed_in_day(logs).unionByName(night.drop("last_mark"))
+def _curve(spark, folder, configs):
+    events, market = _run(spark, folder, configs)
+    return T.equity_curve(events, T.bar_times(market), configs)
 
 
 @query("B-08", _sql("SELECT config_id, ts, round(cash, 6) AS cash FROM curve WHERE cash < 9999000", CONFIGS, CURVE))
 def cash_below(spark, folder):
     # A reserve that the test data's purchases reach.
-    return rounded(T.cash_shortfalls(_curve(*_logs(spark, folder, CONFIGS))[0], 9_999_000), ["cash"], 6)
+    return rounded(T.cash_shortfalls(_curve(spark, folder, CONFIGS), 9_999_000), ["cash"], 6)
 
 
 TMC = ["win_rate", "avg_win_pct", "avg_loss_pct", "profit_factor", "avg_holding_minutes", "total_pnl"]
@@ -203,8 +225,7 @@ EMC = ["total_return", "max_drawdown_pct", "sharpe_ratio", "sortino_ratio"]
     _sql(f"SELECT config_id, total_trades, {', '.join(f'round({c}, 7) AS {c}' for c in TMC)} FROM tm", CONFIGS, TM),
 )
 def trade_metrics(spark, folder):
-    logs, options = _logs(spark, folder, CONFIGS)
-    return rounded(A.trade_metrics(T.trades(logs, options)), TMC, 7)
+    return rounded(A.trade_metrics(_trades(spark, folder)), TMC, 7)
 
 
 @query(
@@ -218,13 +239,12 @@ def trade_metrics(spark, folder):
     ),
 )
 def trade_breakdown(spark, folder):
-    logs, options = _logs(spark, folder, CONFIGS)
-    return rounded(A.breakdown(T.trades(logs, options)), ["pnl"], 7)
+    return rounded(A.breakdown(_trades(spark, folder)), ["pnl"], 7)
 
 
 @query("A-27 A-23", _sql(f"SELECT config_id, {', '.join(f'round({c}, 8) AS {c}' for c in EMC)} FROM em", CONFIGS, CURVE))
 def equity_metrics(spark, folder):
-    return rounded(A.equity_metrics(_curve(*_logs(spark, folder, CONFIGS))[0]), EMC)
+    return rounded(A.equity_metrics(_curve(spark, folder, CONFIGS)), EMC)
 
 
 @query(
@@ -239,8 +259,8 @@ def equity_metrics(spark, folder):
     ),
 )
 def tracker_summary(spark, folder):
-    logs, options = _logs(spark, folder, RULES)
-    out = A.tracker_summary(T.bar_log(logs), _curve(logs, options)[0])
+    events, market = _run(spark, folder, RULES)
+    out = A.tracker_summary(T.bar_log(events, market, RULES), T.equity_curve(events, T.bar_times(market), RULES))
     return rounded(rounded(out, ["initial_equity", "final_equity", "equity_high"], 4), ["max_drawdown_pct", "return_pct"])
 
 
@@ -253,14 +273,13 @@ def tracker_summary(spark, folder):
             count(*) FILTER (tp >= 0.5 AND tp > pp) AS trough_signals FROM log GROUP BY 1, 2, 3) a
         LEFT JOIN (SELECT s.config_id, s.symbol, s.date, sum(s.fill - b.fill) AS net FROM log s JOIN
             (SELECT config_id, symbol, date, held, arg_min(fill, ts) AS fill FROM log WHERE action = 'BUY' GROUP BY 1, 2, 3, 4) b
-            ON s.config_id = b.config_id AND s.symbol = b.symbol AND s.date = b.date AND s.was = b.held WHERE s.action = 'SELL' GROUP BY 1, 2, 3) n
+            ON s.config_id = b.config_id AND s.symbol = b.symbol AND s.date = b.date AND s.was = b.held WHERE s.action = 'SELL' AND NOT s.nsell GROUP BY 1, 2, 3) n
           USING (config_id, symbol, date)""",
         RULES,
     ),
 )
 def session_summaries(spark, folder):
-    logs, _ = _logs(spark, folder, RULES)
-    return rounded(A.session_summary(T.bar_log(logs), 0.5), ["total_cost", "net_pnl"], 7)
+    return rounded(A.session_summary(_log(spark, folder, RULES), 0.5), ["total_cost", "net_pnl"], 7)
 
 
 @query(
@@ -274,8 +293,7 @@ def session_summaries(spark, folder):
     ),
 )
 def trade_markers(spark, folder):
-    logs, _ = _logs(spark, folder, CONFIGS)
-    return rounded(A.marker_prices(T.bar_log(logs), I.session(spark, folder)), ["y"])
+    return rounded(A.marker_prices(_log(spark, folder, CONFIGS), I.session(spark, folder)), ["y"])
 
 
 PARAMS = "config_id, strategy, th AS threshold, tpp AS tp_pct, slp AS sl_pct"
@@ -287,8 +305,9 @@ def _params(spark, configs):
 
 
 def _comparison(spark, folder):
-    curve, done = _curve(*_logs(spark, folder, GRID))
-    return A.compare(done, curve).join(_params(spark, GRID), "config_id")
+    events, market = _run(spark, folder, GRID)
+    curve = T.equity_curve(events, T.day_starts(market), GRID)
+    return A.compare(T.trades(events, market, GRID), curve).join(_params(spark, GRID), "config_id")
 
 
 COMPARED = f"""SELECT {PARAMS}, {', '.join(f'round({c}, 8) AS {c}' for c in EMC)}, coalesce(total_trades, 0) AS total_trades,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from typing import NamedTuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from tapewright.operators import analysis as A
 from tapewright.operators import options as O
 from tapewright.operators import trades as T
-from tapewright.session import stage
 
 BASE = dt.datetime(2026, 1, 5, 9, 30)
 PUT, CALL = "AAPL   260116P00270000", "AAPL   260116C00270000"
@@ -33,10 +33,23 @@ def _quotes(spark, prices, start=BASE, contract=PUT):
     return spark.createDataFrame(rows, OPTION)
 
 
+class Run(NamedTuple):
+    events: object
+    market: object
+    configs: list
+
+    def log(self):
+        return T.bar_log(*self)
+
+    def curve(self, **options):
+        return T.equity_curve(self.events, T.bar_times(self.market), self.configs, **options)
+
+
 def _run(spark, scored, options, config=T.Config(1), configs=None):
     configs = configs or [config]
-    logs = stage(T.day_logs(T.quoted_days(scored, _contracts(spark), options, configs), configs), "logs")
-    return logs, T.trades(logs, options).orderBy("config_id", "entry_ts").collect()
+    market = T.market(scored, _contracts(spark), options, configs)
+    events = T.run(market, configs)
+    return Run(events, market, configs), T.trades(events, market, configs).orderBy("config_id", "entry_ts").collect()
 
 
 def test_target_and_signal_exits(spark):
@@ -48,7 +61,7 @@ def test_target_and_signal_exits(spark):
     first = got[0]
     assert first.entry_price == pytest.approx(5.01 * 1.005) and first.exit_price == pytest.approx(5.89 * 0.995)
     assert first.pnl == pytest.approx(first.exit_price - first.entry_price) and first.cash_pnl == pytest.approx(100 * first.pnl)
-    log = T.bar_log(logs).orderBy("ts").collect()
+    log = logs.log().orderBy("ts").collect()
     assert [r.action for r in log] == ["", "BUY", "", "SELL", "BUY", "", "SELL", ""]
     assert sum(r.d_cash for r in log) == pytest.approx(sum(r.cash_pnl for r in got)) == pytest.approx(sum(r.d_equity for r in log))
 
@@ -106,13 +119,52 @@ def test_open_position_closes_on_the_next_day(spark):
     assert [(r.exit_reason, r.exit_ts) for r in got] == [(None, None)]
 
 
+def test_carried_position_closes_when_it_can_and_blocks_entries(spark):
+    """No volume at the next day's first bar; the strategy's own rules sell later, and nothing is bought meanwhile."""
+    days = [BASE + dt.timedelta(days=d) for d in (0, 1, 2, 3)]
+    scored = _scored(spark, [(0.1, 0.1), (0.9, 0.1)], days[0])
+    for d in days[1:]:
+        scored = scored.union(_scored(spark, [(0.9, 0.1)] * 4, d))
+    options = _quotes(spark, [(5.0, 1), (5.0, 1)], days[0])
+    options = options.union(_quotes(spark, [(5.0, 0), (5.1, 0), (5.1, 0), (5.2, 0)], days[1]))
+    options = options.union(_quotes(spark, [(5.2, 0), (5.2, 1), (9.0, 1), (9.0, 0)], days[2])).union(_quotes(spark, [(9.0, 0), (9.0, 1)], days[3]))
+    run, got = _run(spark, scored, options, T.Config(1, "put_buy", tp_pct=0.5))
+    assert [(r.entry_ts, r.exit_ts, r.exit_reason) for r in got] == [
+        (days[0] + dt.timedelta(minutes=1), days[2] + dt.timedelta(minutes=2), "TP"),
+        (days[3] + dt.timedelta(minutes=1), days[3] + dt.timedelta(minutes=3), "FORCE_CLOSE"),
+    ]
+    assert got[0].holding_bars == 1 + 4 + 2 - 0 and got[0].date == days[0].date()
+    buys = run.log().filter("action = 'BUY'").orderBy("ts").collect()
+    assert [r.ts for r in buys] == [days[0] + dt.timedelta(minutes=1), days[3] + dt.timedelta(minutes=1)]
+    rejected = run.log().filter("reject <> ''").collect()
+    assert {r.reject for r in rejected} == {"NO_LIQUIDITY"}
+    last = run.curve(capital=1000.0).orderBy("ts").collect()[-1]
+    assert last.position_value == 0 and last.equity == pytest.approx(1000 + sum(r.cash_pnl for r in got), abs=1e-5)
+
+
+def test_a_flat_day_is_no_loss(spark):
+    """Three days on which nothing moves between two with trades: their returns are exactly 0, however rows arrive."""
+    days = [BASE + dt.timedelta(days=d) for d in range(5)]
+    scored, options = None, None
+    for k, d in enumerate(days):
+        s = _scored(spark, [(0.9, 0.1), (0.1, 0.1), (0.1, 0.9)] if k in (0, 4) else [(0.1, 0.1)] * 3, d)
+        q = _quotes(spark, [(5.07, 1), (5.11, 1), (5.0 + 0.01 * k, 1)], d)
+        scored, options = (s, q) if scored is None else (scored.union(s), options.union(q))
+    run, _ = _run(spark, scored.repartition(7), options.repartition(5), configs=[T.Config(i, "put_buy", quantity=i) for i in (1, 3)])
+    curve = run.curve(capital=1000.0).repartition(6, F.rand(3))
+    last = [r.e for r in curve.filter("config_id = 3").groupBy(F.to_date("ts").alias("d")).agg(F.max_by("equity", "ts").alias("e")).orderBy("d").collect()]
+    assert last[0] == last[1] == last[2] == last[3] != last[4]
+    m = {r.config_id: r for r in A.equity_metrics(curve).collect()}
+    assert m[1].sortino_ratio == m[3].sortino_ratio == 0  # one losing day only, so no spread of losses
+
+
 def test_equity_is_cash_and_open_value_over_nights(spark):
     next_day = BASE + dt.timedelta(days=1)
     scored = _scored(spark, [(0.9, 0.1), (0.1, 0.1)]).union(_scored(spark, [(0.1, 0.1)] * 2, next_day))
     options = _quotes(spark, [(5.0, 1), (5.2, 1)]).union(_quotes(spark, [(5.6, 1)], next_day))
     logs, got = _run(spark, scored, options, T.Config(1, "put_buy", 0.5, quantity=2))
-    curve = T.equity_curve(T.bar_log(logs), T.closed_overnight(logs, options), capital=10_000.0).orderBy("ts").collect()
-    marks = {r.ts: r.qty * r.mark * 100 for r in T.bar_log(logs).collect()}
+    curve = logs.curve(capital=10_000.0).orderBy("ts").collect()
+    marks = {r.ts: r.qty * r.mark * 100 for r in logs.log().collect()}
     assert [r.exit_ts for r in got] == [next_day] and len(curve) == 4
     for r in curve:
         assert r.equity == pytest.approx(r.cash + marks[r.ts]) and r.position_value == pytest.approx(marks[r.ts])
@@ -144,7 +196,7 @@ def test_curve_and_metrics(spark):
         q = _quotes(spark, [(5.0, 1), (5.0, 1), (last, 1)], d)
         options = q if options is None else options.union(q)
     logs, got = _run(spark, scored, options)
-    curve = T.equity_curve(T.bar_log(logs), T.closed_overnight(logs, options), capital=1000.0)
+    curve = logs.curve(capital=1000.0)
     rows = curve.orderBy("ts").collect()
     gains = [r.cash_pnl for r in got]
     assert len(rows) == 9 and rows[-1].equity == pytest.approx(1000 + sum(gains)) == pytest.approx(rows[-1].cash)
@@ -153,7 +205,7 @@ def test_curve_and_metrics(spark):
         tops = max(tops, r.equity)
         worst = min(worst, (r.equity - tops) / tops)
         assert r.equity_peak == pytest.approx(tops)
-    m = A.compare(T.trades(logs, options), curve).first()
+    m = A.compare(T.trades(*logs), curve).first()
     assert m.total_trades == 3 and m.win_rate == pytest.approx(sum(g > 0 for g in gains) / 3) and m.max_drawdown_pct == pytest.approx(worst)
     assert T.cash_shortfalls(curve, 600.0).count() > 0 and T.cash_shortfalls(curve).count() == 0
 
