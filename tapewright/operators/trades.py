@@ -28,7 +28,7 @@ MONEY_UNITS = 1_000_000  # parts of one unit of money in which cash and equity a
 
 @dataclass(frozen=True)
 class Config:
-    """Parameters of one run; ``strategy`` names an entry of :data:`STRATEGIES`."""
+    """Parameters of one setting; ``strategy`` names an entry of :data:`STRATEGIES`, ``run`` the scores it trades on."""
 
     config_id: int
     strategy: str = "put_buy"
@@ -41,6 +41,7 @@ class Config:
     max_trades_per_day: int = NO_LIMIT
     force_close_minutes: int = FORCE_CLOSE_MINUTES
     quantity: int = 1
+    run: str = ""
 
 
 @dataclass(frozen=True)
@@ -128,9 +129,9 @@ def _open(c: Column, minutes: Column, session_minutes: int) -> Column:
 class Market:
     """What all configs share, as tables written once.
 
-    bars: symbol, date, ts, m, close, pp, tp, last (of the symbol's days) and the at-the-money contract per side.
+    bars: run, symbol, date, ts, m, close, pp, tp, last (of the symbol's days) and the at-the-money contract per side.
     quotes: symbol, date, ts, contract and the quote then, for each contract that some config could buy that day.
-    listed: contract, strike, expiry. calendar: symbol, date, next_date.
+    listed: contract, strike, expiry. calendar: run, symbol, date, next_date.
     """
 
     bars: DataFrame
@@ -142,14 +143,19 @@ class Market:
 
 
 def market(scored: DataFrame, contracts: DataFrame, option_bars: DataFrame, configs: Sequence[Config], session_minutes: int = 390) -> Market:
-    """Bars with their at-the-money contracts, and the quotes of every contract that some config could buy that day."""
-    array = F.array(*[_literal(c) for c in configs])
+    """Bars with their at-the-money contracts, and the quotes of every contract that some config could buy that day.
+
+    A column ``run`` tells apart scores of several timeframes or models of one symbol; quotes are shared between them.
+    """
+    scored = scored if "run" in scored.columns else scored.withColumn("run", F.lit(""))
+    # One config for each way to enter; the others differ in their exits.
+    array = F.array(*[_literal(c) for c in {(c.strategy, c.threshold, c.min_prob_gap, c.force_close_minutes): c for c in configs}.values()])
     names = sorted({c.strategy for c in configs})
-    keys = ["symbol", "date", "ts"]
+    keys = ["run", "symbol", "date", "ts"]
     bars = scored.select(*keys, F.col("minutes_from_open").alias("m"), "close", F.col("peak_prob").alias("pp"), F.col("trough_prob").alias("tp"))
-    days = bars.select("symbol", "date").distinct()
-    calendar = stage(days.withColumn("next_date", F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))), "trade-days")
-    picks = bars.join(calendar.select("symbol", "date", F.col("next_date").isNull().alias("last")), ["symbol", "date"])
+    days = bars.select("run", "symbol", "date").distinct()
+    calendar = stage(days.withColumn("next_date", F.lead("date").over(Window.partitionBy("run", "symbol").orderBy("date"))), "trade-days")
+    picks = bars.join(calendar.select("run", "symbol", "date", F.col("next_date").isNull().alias("last")), ["run", "symbol", "date"])
 
     def may_enter(own: Sequence[str]) -> Callable[[Column], Column]:
         return lambda c: F.coalesce(_wants(c, F.col("pp"), F.col("tp"), own), F.lit(False)) & _open(c, F.col("m"), session_minutes)
@@ -161,7 +167,7 @@ def market(scored: DataFrame, contracts: DataFrame, option_bars: DataFrame, conf
     picks = stage(picks, "trade-bars")
     sides = [c for c in picks.columns if c.startswith("atm_")]
     wanted = picks.select("symbol", "date", F.explode(F.array(*sides)).alias("contract")).filter("contract is not null").distinct()
-    quotes = stage(_quoted(picks.select(*keys).join(wanted, ["symbol", "date"]), option_bars, names), "trade-quotes")
+    quotes = stage(_quoted(picks.select("symbol", "date", "ts").distinct().join(wanted, ["symbol", "date"]), option_bars, names), "trade-quotes")
     listed = contracts.groupBy("contract").agg(F.max(F.struct("strike", "expiry")).alias("c")).select("contract", "c.strike", "c.expiry")
     return Market(picks, quotes, stage(listed, "trade-contracts"), calendar, option_bars, session_minutes)
 
@@ -180,7 +186,7 @@ def _quoted(rows: DataFrame, option_bars: DataFrame, names: Sequence[str]) -> Da
 
 _ENTRY = "entry_ts timestamp_ntz, entry_bar int, entry_price double, entry_underlying double"
 EVENTS = (
-    "config_id int, symbol string, date date, ts timestamp_ntz, bar int, n_bars int, close double, action string, reason string, reject string, contract string, "
+    "config_id int, run string, symbol string, date date, ts timestamp_ntz, bar int, n_bars int, close double, action string, reason string, reject string, contract string, "
     + _ENTRY
     + ", fill double, quantity int, qty int, mark double, cash_units long, equity_units long, night boolean"
 )
@@ -205,13 +211,18 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         kind = frame["kind"].to_numpy()
-        bars = frame[kind == BAR].sort_values("ts")
-        quotes, carry = frame[kind == QUOTE], frame[kind == CARRIED]
-        mine = configs
+        bars, quotes, carry = (frame[kind == k] for k in (BAR, QUOTE, CARRIED))
+        parts = [out for run, own in bars.groupby("run") if len(out := of_run(run, own.sort_values("ts"), quotes, carry))]
+        return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype=object) for c in EVENT_NAMES})
+
+    def of_run(run: str, bars: pd.DataFrame, quotes: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        mine = [c for c in configs if c.run == run]
         if len(carry):
             carry = carry.drop_duplicates("config_id").set_index("config_id")
-            mine = [c for c in configs if c.config_id in carry.index]
+            mine = [c for c in mine if c.config_id in carry.index]
             carry = carry.loc[[c.config_id for c in mine]]
+        if not mine:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in EVENT_NAMES})
         n, size = len(bars), len(mine)
         ts = bars["ts"].to_numpy()
         m, close, pp, tp = (bars[x].to_numpy(dtype=float) for x in ("m", "close", "pp", "tp"))
@@ -224,10 +235,12 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
         held = number(carry["contract"]) if len(carry) else np.full(size, -1)
         contracts = np.array([*known, None], object)
         at = np.searchsorted(ts, quotes["ts"].to_numpy())
+        there = np.flatnonzero(np.append(ts, np.datetime64("NaT"))[at] == quotes["ts"].to_numpy())
+        of_quote, at = of_quote[there], at[there]
 
         def grid_of(col: str) -> np.ndarray:
             out = np.full((len(known) + 1, n), np.nan)
-            out[of_quote, at] = quotes[col].to_numpy(dtype=float)
+            out[of_quote, at] = quotes[col].to_numpy(dtype=float)[there]
             return out
 
         q_mark, q_volume, q_ask = grid_of("mark"), grid_of("volume"), grid_of("ask")
@@ -236,15 +249,15 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
         par = {f: np.array([getattr(c, f) for c in mine]) for f in ("threshold", "tp_pct", "sl_pct", "min_prob_gap", "min_holding_minutes", "cooldown_minutes", "max_trades_per_day", "force_close_minutes", "quantity")}
         enter_at, exit_at = np.zeros((n, size), bool), np.zeros((n, size), bool)
         side, floor = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        texts = {x: np.full(size, "", object) for x in ("entry", "signal", "stop", "target")}
+        texts = np.full((len(REASONS), size), "", object)  # per reason and config
         for name, rule in rules.items():
             own = np.flatnonzero([c.strategy == name for c in mine])
             c = {k: v[own][None, :] for k, v in par.items()}
             enter_at[:, own] = np.broadcast_to(rule.entry(pp[:, None], tp[:, None], c), (n, len(own)))
             exit_at[:, own] = np.broadcast_to(rule.exit(pp[:, None], tp[:, None], c), (n, len(own)))
             side[own], floor[own] = sides.index(rule.cp), floors.index(rule.bid_floor)
-            for x, text in (("entry", rule.entry_reason), ("signal", rule.exit_reason), ("stop", rule.stop_reason), ("target", rule.target_reason)):
-                texts[x][own] = text
+            for code, text in zip(REASONS, ("", "FORCE_CLOSE", rule.stop_reason, rule.target_reason, rule.exit_reason, rule.entry_reason)):
+                texts[code, own] = text
         may = m[:, None] < session_minutes - par["force_close_minutes"][None, :]
         enter_at &= may
         worth, qty = par["quantity"] * float(CONTRACT_SIZE), par["quantity"].astype(np.int64)
@@ -274,9 +287,9 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
             sold = (held >= 0) & (q_volume[held, k] > 0)
             fill = q_bid[floor, held, k]
             cash = _units(fill, worth)
-            put(np.flatnonzero(sold), k, bar, "SELL", "FORCE_CLOSE", None, held, fill, 0, 0.0, cash, cash - _units(mark, worth), True)
+            put(np.flatnonzero(sold), k, bar, SELL, FORCED, 0, held, fill, 0, 0.0, cash, cash - _units(mark, worth), True)
             if unfilled:
-                put(np.flatnonzero((held >= 0) & ~sold), k, bar, "OPEN", None, "NO_LIQUIDITY", held, np.nan, qty, mark, 0, 0, True)
+                put(np.flatnonzero((held >= 0) & ~sold), k, bar, OPEN, 0, 2, held, np.nan, qty, mark, 0, 0, True)
             held = np.where(sold, -1, held)
 
         if n and len(carry):
@@ -291,10 +304,8 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
             liquid = q_volume[at_contract, k] > 0
             gain = np.where(entry_price > 0, now / np.where(entry_price > 0, entry_price, 1.0) - 1, 0.0)
             signal = exit_at[k] & (m[k] - entry_m >= par["min_holding_minutes"])
-            reason = np.select(
-                [~may[k], gain <= par["sl_pct"], gain >= par["tp_pct"], signal], [np.full(size, "FORCE_CLOSE", object), texts["stop"], texts["target"], texts["signal"]], ""
-            )
-            leave = has & (reason != "")
+            reason = np.where(~may[k], FORCED, np.where(gain <= par["sl_pct"], STOPPED, np.where(gain >= par["tp_pct"], TARGET, SIGNAL * signal)))
+            leave = has & (reason > 0)
             enter = ~has & enter_at[k] & (today < par["max_trades_per_day"]) & (m[k] - last_sell >= par["cooldown_minutes"])
             buys, sells = enter & liquid & (atm >= 0), leave & liquid
             ask, bid = q_ask[at_contract, k], q_bid[floor, at_contract, k]
@@ -307,10 +318,8 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
             value = np.where(holds, _units(mark, worth), 0)
             cash = np.where(buys, -_units(ask, worth), np.where(sells, _units(bid, worth), 0))
             rows = np.flatnonzero(has | enter)
-            reject = np.select([enter & (atm < 0), (enter & ~buys) | (leave & ~sells)], ["NO_CHAIN", "NO_LIQUIDITY"], "")
-            action = np.where(buys, "BUY", np.where(sells, "SELL", ""))
-            shown = np.where(buys, texts["entry"], np.where(sells, reason, ""))
-            put(rows, k, k, action, shown, reject, np.where(has | buys, at_contract, -1), np.where(buys, ask, np.where(sells, bid, np.nan)), np.where(holds, qty, 0), np.where(holds, mark, 0.0), cash, value - was + cash, False)
+            reject = np.where(enter & (atm < 0), 1, 2 * ((enter & ~buys) | (leave & ~sells)))
+            put(rows, k, k, BUY * buys + SELL * sells, np.where(buys, ENTRY, reason * sells), reject, np.where(has | buys, at_contract, -1), np.where(buys, ask, np.where(sells, bid, np.nan)), np.where(holds, qty, 0), np.where(holds, mark, 0.0), cash, value - was + cash, False)
             last_sell = np.where(leave, m[k], last_sell)
             entry_m, today = np.where(enter, m[k], entry_m), today + enter
             held = np.where(buys, atm, np.where(sells, -1, held))
@@ -323,8 +332,8 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
         none = x["contract"] < 0
         blank = lambda v: np.where(none, np.nan, v)
         return pd.DataFrame({
-            "config_id": np.array([c.config_id for c in mine])[x["config"]], "symbol": bars["symbol"].iloc[0], "date": bars["date"].iloc[0], "ts": ts[x["k"]], "bar": x["bar"],
-            "n_bars": n, "close": close[x["k"]], "action": x["action"], "reason": x["reason"], "reject": x["reject"], "contract": contracts[x["contract"]], "entry_ts": held_ts,
+            "config_id": np.array([c.config_id for c in mine])[x["config"]], "run": run, "symbol": bars["symbol"].iloc[0], "date": bars["date"].iloc[0], "ts": ts[x["k"]], "bar": x["bar"],
+            "n_bars": n, "close": close[x["k"]], "action": ACTIONS[x["action"]], "reason": texts[x["reason"], x["config"]], "reject": REJECTS[x["reject"]], "contract": contracts[x["contract"]], "entry_ts": held_ts,
             "entry_bar": pd.array(np.where(none, 0, x["entry_bar"]), "Int64"), "entry_price": blank(x["entry_price"]), "entry_underlying": blank(x["entry_underlying"]),
             "fill": x["fill"], "quantity": qty[x["config"]], "qty": x["qty"], "mark": x["mark"], "cash_units": x["cash"], "equity_units": x["equity"], "night": x["night"],
         })
@@ -333,6 +342,10 @@ def _day(configs: Sequence[Config], session_minutes: int) -> Callable:
 
 
 BAR, QUOTE, CARRIED = range(3)
+BUY, SELL, OPEN = range(1, 4)
+ACTIONS = np.array(["", "BUY", "SELL", "OPEN"], object)
+REASONS = (NO_REASON, FORCED, STOPPED, TARGET, SIGNAL, ENTRY) = range(6)
+REJECTS = np.array(["", "NO_CHAIN", "NO_LIQUIDITY"], object)
 EVENT_NAMES = [f.split()[0] for f in EVENTS.split(", ")]
 
 
@@ -356,10 +369,11 @@ def run(market: Market, configs: Sequence[Config]) -> DataFrame:
 
     def left(events: DataFrame) -> DataFrame:
         """What is held after a day's last bar, as the next day's beginning."""
-        held = events.filter("not night and qty > 0 and bar = n_bars - 1").join(market.calendar.filter("next_date is not null"), ["symbol", "date"])
+        held = events.filter("not night and qty > 0 and bar = n_bars - 1").join(market.calendar.filter("next_date is not null"), ["run", "symbol", "date"])
         return held.select("config_id", "symbol", F.col("next_date").alias("date"), "contract", "entry_ts", (F.col("entry_bar") - F.col("n_bars")).alias("entry_bar"), "entry_price", "entry_underlying", "mark")
 
     key = ["config_id", "symbol", "date"]
+    run_of = F.create_map(*[F.lit(x) for c in configs for x in (c.config_id, c.run)])
     events = done(base, "trade-events")
     carried = stage(left(events), "trade-carried")
     used = carried.limit(0)
@@ -373,13 +387,13 @@ def run(market: Market, configs: Sequence[Config]) -> DataFrame:
         days = changed.select("symbol", "date").distinct()
         extra = changed.filter("contract is not null").select("symbol", "date", "contract").distinct()
         extra = extra.join(market.quotes.select("symbol", "date", "contract").distinct(), ["symbol", "date", "contract"], "left_anti")
-        extra = _quoted(market.bars.select("symbol", "date", "ts").join(extra, ["symbol", "date"]), market.option_bars, names)
+        extra = _quoted(market.bars.select("symbol", "date", "ts").distinct().join(extra, ["symbol", "date"]), market.option_bars, names)
         again = base.join(days, ["symbol", "date"], "left_semi").unionByName(extra.withColumn("kind", F.lit(QUOTE)), allowMissingColumns=True)
         again = again.unionByName(changed.withColumn("kind", F.lit(CARRIED)), allowMissingColumns=True)
         events = done(again, "trade-events")
         parts.append((events, changed.select(*key)))
         # A day that has run again says anew what its next day begins with.
-        after = changed.select("config_id", "symbol", "date").join(market.calendar, ["symbol", "date"]).select("config_id", "symbol", F.col("next_date").alias("date"))
+        after = changed.select(run_of[F.col("config_id")].alias("run"), "config_id", "symbol", "date").join(market.calendar, ["run", "symbol", "date"]).select("config_id", "symbol", F.col("next_date").alias("date"))
         carried = stage(carried.join(after, key, "left_anti").unionByName(left(events)), "trade-carried")
         used = stage(used.join(changed, key, "left_anti").unionByName(changed.filter("contract is not null")), "trade-used")
     out, later = None, None
@@ -390,9 +404,18 @@ def run(market: Market, configs: Sequence[Config]) -> DataFrame:
     return out if len(parts) == 1 else stage(out, "trade-all-events")
 
 
+def _ids_of_run(configs: Sequence[Config]) -> Column:
+    """One row for each config of the row's run."""
+    ids: dict[str, list[int]] = {}
+    for c in configs:
+        ids.setdefault(c.run, []).append(c.config_id)
+    known = F.create_map(*[x for run, mine in ids.items() for x in (F.lit(run), F.array(*[F.lit(i) for i in mine]))])
+    return F.explode(F.try_element_at(known, F.col("run"))).alias("config_id")
+
+
 def bar_log(events: DataFrame, market: Market, configs: Sequence[Config]) -> DataFrame:
     """One row per config and bar: action, reason, position and money moved by the strategy's rules."""
-    bars = market.bars.select("symbol", "date", "ts", "close", "pp", "tp", F.explode(F.array(*[F.lit(c.config_id) for c in configs])).alias("config_id"))
+    bars = market.bars.select("symbol", "date", "ts", "close", "pp", "tp", _ids_of_run(configs))
     acts = events.filter("not night").select("config_id", "symbol", "ts", "action", "reason", "reject", "contract", "fill", "qty", "mark", "cash_units", "equity_units")
     none = {"action": "", "reason": "", "reject": "", "qty": 0, "mark": 0.0, "cash_units": 0, "equity_units": 0}
     out = bars.join(acts, ["config_id", "symbol", "ts"], "left").fillna(none)
@@ -421,12 +444,12 @@ def trades(events: DataFrame, market: Market, configs: Sequence[Config]) -> Data
 
 
 def bar_times(market: Market) -> DataFrame:
-    return market.bars.select("ts").distinct()
+    return market.bars.select("run", "ts").distinct()
 
 
 def day_starts(market: Market) -> DataFrame:
     """The first time of each date: enough rows for daily figures, since nothing changes between events."""
-    return market.bars.groupBy("date").agg(F.min("ts").alias("ts")).select("ts")
+    return market.bars.groupBy("run", "date").agg(F.min("ts").alias("ts")).select("run", "ts")
 
 
 def equity_curve(events: DataFrame, times: DataFrame, configs: Sequence[Config], capital: float = START_CAPITAL) -> DataFrame:
@@ -435,9 +458,8 @@ def equity_curve(events: DataFrame, times: DataFrame, configs: Sequence[Config],
     Changes are summed per time first; running sums go over days, then inside each day. Sums are of whole units of money, so a day on
     which nothing moves ends on exactly the figure of the day before.
     """
-    ids = F.explode(F.array(*[F.lit(c.config_id) for c in configs])).alias("config_id")
     zero = F.lit(0).cast("long")
-    rows = events.select("config_id", "ts", "cash_units", "equity_units").unionByName(times.select(ids, "ts", zero.alias("cash_units"), zero.alias("equity_units")))
+    rows = events.select("config_id", "ts", "cash_units", "equity_units").unionByName(times.select(_ids_of_run(configs), "ts", zero.alias("cash_units"), zero.alias("equity_units")))
     per_ts = rows.groupBy("config_id", "ts").agg(F.sum("cash_units").alias("cash_units"), F.sum("equity_units").alias("equity_units")).withColumn("_day", F.to_date("ts"))
     cum = running_totals(per_ts, ["config_id"], "_day", [F.asc("ts")], ["cash_units", "equity_units"])
     start = F.lit(round(capital * MONEY_UNITS)).cast("long")

@@ -6,11 +6,13 @@ contracts and option bars all follow from them, so every query grows with the ev
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tapewright.functions.contracts import make_symbol, next_week_friday
 from tapewright.functions.pricing import LADDER, strike_ladder
-from tapewright.operators.bars import bars_from_ticks, daily_bars, session_bars
+from tapewright.operators.bars import bars_from_ticks, daily_bars, resample, session_bars
 from tapewright.operators.options import by_day
 
 
@@ -53,6 +55,26 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TIMEFRAMES, LABELS = (1, 5), ("L1", "L2", "L3")
+
+
+def scored_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Stand-ins for the scores of each timeframe and labelling variant, told apart by ``run``."""
+    bars = minute_bars(spark, folder)
+    sets = []
+    for minutes in TIMEFRAMES:
+        of = session_bars(bars if minutes == 1 else resample(bars, minutes), "us")
+        sets += [
+            of.select(
+                F.lit(f"{minutes}m {label}").alias("run"), "symbol", "date", "ts", "minutes_from_open", "close",
+                F.round(_mixed(7919 + 2 * k, 104729, 10007) / 10006.0, 4).alias("peak_prob"),
+                F.round(_mixed(6101 + 2 * k, 15485863, 10009) / 10008.0, 4).alias("trough_prob"),
+            )
+            for k, label in enumerate(LABELS)
+        ]
+    return reduce(DataFrame.unionByName, sets)
+
+
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars of the session with their mean price."""
     return daily_bars(session(spark, folder).drop("date", "minutes_from_open"))
@@ -134,6 +156,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN ({_MIN} * 31 + volume * 17) % 20 < 2 THEN 1 WHEN ({_MIN} * 31 + volume * 17) % 20 < 4 THEN 2 ELSE 0 END AS label
           FROM sess""",
     ),
+    "five": (
+        ("sess",),
+        "SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_max(close, ts) AS close, CAST(sum(volume) AS BIGINT) AS volume, "
+        "min(date) AS date, CAST(floor(min(minutes_from_open) / 5) * 5 AS INTEGER) AS minutes_from_open FROM sess GROUP BY 1, 2",
+    ),
+    "scored_runs": (
+        ("five",),
+        f"""SELECT tf || ' ' || label AS run, symbol, date, ts, minutes_from_open, close,
+          round((({_MIN} * (7919 + 2 * k) + volume * 104729) % 10007) / CAST(10006.0 AS DOUBLE), 4) AS peak_prob,
+          round((({_MIN} * (6101 + 2 * k) + volume * 15485863) % 10009) / CAST(10008.0 AS DOUBLE), 4) AS trough_prob
+          FROM (SELECT '1m' AS tf, symbol, date, ts, minutes_from_open, close, volume FROM sess UNION ALL SELECT '5m', symbol, date, ts, minutes_from_open, close, volume FROM five),
+            (VALUES (0, 'L1'), (1, 'L2'), (2, 'L3')) v(k, label)""",
+    ),
     "daily": (
         ("sess",),
         "SELECT *, (open + high + low + close) / 4 AS avg_price FROM (SELECT symbol, date, arg_min(open, ts) AS open, max(high) AS high, "

@@ -20,29 +20,34 @@ CONFIGS = [
     T.Config(3, "call_buy", 0.4, tp_pct=0.2, sl_pct=-0.1, min_holding_minutes=5, cooldown_minutes=10, max_trades_per_day=4),
 ]
 RULES = [T.Config(7, "signal_rules", 0.5)]
-GRID = T.grid(T.Config(100, "put_buy"), (0.3, 0.5, 0.7), (0.10, 0.30), (-0.05, -0.20))
+RUNS = [f"{minutes}m {label}" for minutes in I.TIMEFRAMES for label in I.LABELS]
+# 96 settings on the scores of each timeframe and labelling variant.
+GRID = [
+    c for k, run in enumerate(RUNS)
+    for c in T.grid(T.Config(1000 * (k + 1), "put_buy", run=run), (0.3, 0.4, 0.5, 0.6, 0.7, 0.8), (0.05, 0.10, 0.20, 0.30), (-0.03, -0.05, -0.10, -0.20))
+]
 
 
 def _values(configs) -> str:
     rows = ", ".join(
         f"({c.config_id}, '{c.strategy}', '{T.STRATEGIES[c.strategy].cp}', {c.threshold}, {c.tp_pct}, {c.sl_pct}, {c.min_prob_gap}, "
-        f"{c.min_holding_minutes}, {c.cooldown_minutes}, {c.max_trades_per_day}, {c.quantity})"
+        f"{c.min_holding_minutes}, {c.cooldown_minutes}, {c.max_trades_per_day}, {c.quantity}, '{c.run}')"
         for c in configs
     )
     return f"""cfg AS MATERIALIZED (SELECT config_id, strategy, cp, CAST(th AS DOUBLE) AS th, CAST(tpp AS DOUBLE) AS tpp, CAST(slp AS DOUBLE) AS slp,
-        CAST(gap AS DOUBLE) AS gap, mh, cd, mx, qty FROM (VALUES {rows}) v(config_id, strategy, cp, th, tpp, slp, gap, mh, cd, mx, qty))"""
+        CAST(gap AS DOUBLE) AS gap, mh, cd, mx, qty, run FROM (VALUES {rows}) v(config_id, strategy, cp, th, tpp, slp, gap, mh, cd, mx, qty, run))"""
 
 
 # The SQL twin walks each symbol's bars one by one for each config, across days. Money is in millionths.
-WALK = """near AS MATERIALIZED (SELECT symbol, ts, cp, contract, strike, expiry FROM (
-    SELECT s.symbol, s.ts, a.cp, a.contract, a.strike, a.expiry,
-      row_number() OVER (PARTITION BY s.symbol, s.ts, a.cp ORDER BY abs(a.strike - s.close), a.contract) AS rn
-    FROM sess s JOIN active a ON s.symbol = a.underlying AND s.date = a.date) WHERE rn = 1),
+WALK = """near AS MATERIALIZED (SELECT run, symbol, ts, cp, contract, strike, expiry FROM (
+    SELECT s.run, s.symbol, s.ts, a.cp, a.contract, a.strike, a.expiry,
+      row_number() OVER (PARTITION BY s.run, s.symbol, s.ts, a.cp ORDER BY abs(a.strike - s.close), a.contract) AS rn
+    FROM runs s JOIN active a ON s.symbol = a.underlying AND s.date = a.date) WHERE rn = 1),
   sb AS MATERIALIZED (SELECT *, CAST(row_number() OVER x AS INTEGER) AS rn, minutes_from_open AS m, coalesce(date <> lag(date) OVER x, false) AS fresh,
-    lead(ts) OVER x IS NULL AS final FROM scored WINDOW x AS (PARTITION BY symbol ORDER BY ts)),
+    lead(ts) OVER x IS NULL AS final FROM runs WINDOW x AS (PARTITION BY run, symbol ORDER BY ts)),
   pairs AS (SELECT DISTINCT symbol, contract FROM near),
-  qt AS MATERIALIZED (SELECT p.symbol, p.rn, p.contract, o.close AS qc, o.high AS qh, o.low AS ql, o.volume AS qv
-    FROM (SELECT s.symbol, s.rn, s.ts, p.contract FROM sb s JOIN pairs p ON s.symbol = p.symbol) p
+  qt AS MATERIALIZED (SELECT p.symbol, p.ts, p.contract, o.close AS qc, o.high AS qh, o.low AS ql, o.volume AS qv
+    FROM (SELECT s.symbol, s.ts, p.contract FROM (SELECT DISTINCT symbol, ts FROM runs) s JOIN pairs p ON s.symbol = p.symbol) p
     ASOF JOIN option_bars o ON p.contract = o.contract AND p.ts >= o.ts),
   qf AS MATERIALIZED (SELECT *, (qc + greatest((qh - ql) / 2, 0.01)) * 1.005 AS ask, (qc - greatest((qh - ql) / 2, 0.01)) * 0.995 AS bid,
       greatest(qc - greatest((qh - ql) / 2, 0.01), 0.01) * 0.995 AS bidf FROM qt),
@@ -53,7 +58,7 @@ WALK = """near AS MATERIALIZED (SELECT symbol, ts, cp, contract, strike, expiry
       CAST(NULL AS INTEGER) AS ls, CAST(NULL AS INTEGER) AS em, 0 AS today, CAST(NULL AS VARCHAR) AS was, CAST(NULL AS TIMESTAMP) AS wts,
       CAST(NULL AS INTEGER) AS wbar, CAST(NULL AS DOUBLE) AS wep, CAST(NULL AS DOUBLE) AS weu, CAST(NULL AS DOUBLE) AS wst, CAST(NULL AS DATE) AS wex,
       false AS nsell, CAST(NULL AS DOUBLE) AS nfill, CAST(0 AS BIGINT) AS nde
-      FROM cfg, (SELECT DISTINCT symbol FROM sess)
+      FROM cfg, (SELECT DISTINCT symbol FROM runs)
     UNION ALL SELECT config_id, symbol, date, rn, ts, close, pp, tp, CASE WHEN buys THEN 'BUY' WHEN sells THEN 'SELL' ELSE '' END,
       CASE WHEN buys THEN CASE cp WHEN 'P' THEN 'PEAK_SIGNAL' ELSE 'TROUGH_SIGNAL' END WHEN sells THEN leave ELSE '' END,
       CASE WHEN enter AND atm IS NULL THEN 'NO_CHAIN' WHEN enter AND NOT buys OR leave IS NOT NULL AND NOT sells THEN 'NO_LIQUIDITY' ELSE '' END,
@@ -85,10 +90,10 @@ WALK = """near AS MATERIALIZED (SELECT symbol, ts, cp, contract, strike, expiry
               n.contract AS atm, n.strike AS ast, n.expiry AS aex, q.qc AS hc, q.qv AS hv, CASE c.strategy WHEN 'signal_rules' THEN q.bidf ELSE q.bid END AS hbid,
               b.fresh AND s.held IS NOT NULL AND coalesce(q.qv > 0, false) AS nsell,
               CASE WHEN b.fresh AND s.held IS NOT NULL AND q.qv > 0 THEN CASE c.strategy WHEN 'signal_rules' THEN q.bidf ELSE q.bid END END AS nfill
-            FROM w s JOIN sb b ON s.symbol = b.symbol AND b.rn = s.rn + 1 JOIN cfg c ON c.config_id = s.config_id
-            LEFT JOIN near n ON n.symbol = b.symbol AND n.ts = b.ts AND n.cp = c.cp
-            LEFT JOIN qf q ON q.symbol = b.symbol AND q.rn = b.rn AND q.contract = s.held) s
-          LEFT JOIN qf a ON a.symbol = s.symbol AND a.rn = s.rn AND a.contract = s.atm)))),
+            FROM w s JOIN cfg c ON c.config_id = s.config_id JOIN sb b ON s.symbol = b.symbol AND b.run = c.run AND b.rn = s.rn + 1
+            LEFT JOIN near n ON n.run = b.run AND n.symbol = b.symbol AND n.ts = b.ts AND n.cp = c.cp
+            LEFT JOIN qf q ON q.symbol = b.symbol AND q.ts = b.ts AND q.contract = s.held) s
+          LEFT JOIN qf a ON a.symbol = s.symbol AND a.ts = s.ts AND a.contract = s.atm)))),
   log AS MATERIALIZED (SELECT * FROM w WHERE rn > 0),
   sold AS (SELECT config_id, symbol, was AS contract, wst AS entry_strike, wex AS entry_expiry, wts AS entry_ts, wep AS entry_price,
       weu AS entry_underlying, ts AS exit_ts, CASE WHEN nsell THEN nfill ELSE fill END AS exit_price, close AS exit_underlying,
@@ -98,8 +103,8 @@ WALK = """near AS MATERIALIZED (SELECT symbol, ts, cp, contract, strike, expiry
       l.ep AS entry_price, l.eu AS entry_underlying, CASE WHEN q.qv > 0 THEN l.ts END AS exit_ts,
       CASE WHEN q.qv > 0 THEN CASE c.strategy WHEN 'signal_rules' THEN q.bidf ELSE q.bid END END AS exit_price,
       CASE WHEN q.qv > 0 THEN l.close END AS exit_underlying, CASE WHEN q.qv > 0 THEN 'FORCE_CLOSE' END AS exit_reason, l.rn - l.ebar AS holding_bars, l.mark
-    FROM log l JOIN sb b ON l.symbol = b.symbol AND l.rn = b.rn AND b.final JOIN cfg c USING (config_id)
-    LEFT JOIN qf q ON q.symbol = l.symbol AND q.rn = l.rn AND q.contract = l.held WHERE l.held IS NOT NULL),
+    FROM log l JOIN cfg c USING (config_id) JOIN sb b ON l.symbol = b.symbol AND l.rn = b.rn AND b.run = c.run AND b.final
+    LEFT JOIN qf q ON q.symbol = l.symbol AND q.ts = l.ts AND q.contract = l.held WHERE l.held IS NOT NULL),
   tr AS MATERIALIZED (SELECT t.*, CAST(t.entry_ts AS DATE) AS date, c.strategy, CAST(c.qty AS INTEGER) AS quantity, (exit_price - entry_price) * c.qty AS pnl,
       CASE WHEN entry_price > 0 THEN (exit_price - entry_price) / entry_price ELSE 0 END AS pnl_pct, (exit_price - entry_price) * c.qty * 100 AS cash_pnl,
       CAST(floor((epoch(exit_ts) - epoch(entry_ts)) / 60) AS INTEGER) AS holding_minutes
@@ -131,14 +136,15 @@ TM = """, tm AS MATERIALIZED (SELECT config_id, count(*) AS total_trades, count(
 
 
 def _sql(body: str, configs, tail: str = "") -> str:
-    return with_tables(body, "scored", "active", "option_bars", recursive=True, extra=f"{_values(configs)}, {WALK}{tail}")
+    runs = "SELECT * FROM scored_runs" if configs[0].run else "SELECT *, '' AS run FROM scored"
+    return with_tables(body, "scored_runs" if configs[0].run else "scored", "active", "option_bars", recursive=True, extra=f"runs AS MATERIALIZED ({runs}), {_values(configs)}, {WALK}{tail}")
 
 
 def _run(spark, folder, configs):
     """Events of the configs and what they share, as stage tables, since trades, curves and metrics all read them."""
     listed = stage(I.contracts(spark, folder), "contracts")
     options = stage(I.option_bars(spark, folder, listed), "option_bars")
-    market = T.market(I.scored(spark, folder), listed, options, configs)
+    market = T.market((I.scored_runs if configs[0].run else I.scored)(spark, folder), listed, options, configs)
     return T.run(market, configs), market
 
 
@@ -296,12 +302,12 @@ def trade_markers(spark, folder):
     return rounded(A.marker_prices(_log(spark, folder, CONFIGS), I.session(spark, folder)), ["y"])
 
 
-PARAMS = "config_id, strategy, th AS threshold, tpp AS tp_pct, slp AS sl_pct"
+PARAMS = "config_id, strategy, th AS threshold, tpp AS tp_pct, slp AS sl_pct, split_part(run, ' ', 1) AS timeframe, split_part(run, ' ', 2) AS label_config"
 
 
 def _params(spark, configs):
-    rows = [(c.config_id, c.strategy, float(c.threshold), float(c.tp_pct), float(c.sl_pct)) for c in configs]
-    return spark.createDataFrame(rows, "config_id int, strategy string, threshold double, tp_pct double, sl_pct double")
+    rows = [(c.config_id, c.strategy, float(c.threshold), float(c.tp_pct), float(c.sl_pct), *c.run.split(" ")) for c in configs]
+    return spark.createDataFrame(rows, "config_id int, strategy string, threshold double, tp_pct double, sl_pct double, timeframe string, label_config string")
 
 
 def _comparison(spark, folder):
@@ -330,14 +336,14 @@ def grid_best(spark, folder):
         """SELECT dimension, value, count(*) AS n_configs, round(avg(total_return), 8) AS avg_return, round(max(total_return), 8) AS best_return,
           round(avg(win_rate), 8) AS avg_win_rate, round(avg(total_trades), 8) AS avg_trades, count(*) FILTER (total_return > 0) AS profitable FROM (
           SELECT g.*, d.dimension, CASE d.dimension WHEN 'threshold' THEN CAST(th AS VARCHAR) WHEN 'tp_pct' THEN CAST(tpp AS VARCHAR)
-            WHEN 'sl_pct' THEN CAST(slp AS VARCHAR) ELSE strategy END AS value
+            WHEN 'sl_pct' THEN CAST(slp AS VARCHAR) WHEN 'timeframe' THEN split_part(run, ' ', 1) WHEN 'label_config' THEN split_part(run, ' ', 2) ELSE strategy END AS value
           FROM (SELECT cfg.*, em.total_return, coalesce(tm.win_rate, 0) AS win_rate, coalesce(tm.total_trades, 0) AS total_trades
-                FROM cfg JOIN em USING (config_id) LEFT JOIN tm USING (config_id)) g, (VALUES ('threshold'), ('tp_pct'), ('sl_pct'), ('strategy')) d(dimension)) GROUP BY 1, 2""",
+                FROM cfg JOIN em USING (config_id) LEFT JOIN tm USING (config_id)) g, (VALUES ('threshold'), ('tp_pct'), ('sl_pct'), ('strategy'), ('timeframe'), ('label_config')) d(dimension)) GROUP BY 1, 2""",
         GRID, CURVE + TM,
     ),
 )
 def grid_marginals(spark, folder):
-    out = A.marginals(_comparison(spark, folder), ["threshold", "tp_pct", "sl_pct", "strategy"])
+    out = A.marginals(_comparison(spark, folder), ["threshold", "tp_pct", "sl_pct", "strategy", "timeframe", "label_config"])
     return rounded(out, ["avg_return", "best_return", "avg_win_rate", "avg_trades"])
 
 
