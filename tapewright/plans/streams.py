@@ -57,7 +57,29 @@ def streamed_corrections(spark, folder):
     ticks = _tick_stream(spark, folder).withColumn("ts", F.date_trunc("minute", "ts"))
     bars = ticks.select("symbol", "ts", *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], "volume", "event_id")
     SB.run_batches(bars, SB.keep_corrected(path, "us", "event_id"), SB.folder(spark, "checkpoint"))
-    return spark.read.parquet(path).select("symbol", "ts", "close", "volume")
+    return SB.bar_log_table(path).read(spark).select("symbol", "ts", "close", "volume")
+
+
+@query(
+    "R-05 R-07 S-12",
+    """SELECT symbol, ts, close, CAST(volume AS BIGINT) AS volume FROM (
+      SELECT event_type AS symbol, date_trunc('minute', ts) AS ts, value AS close, 1 + event_id % 100 AS volume,
+        row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY (event_id * 7919) % 1000003 DESC, value DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def corrections_out_of_order(spark, folder):
+    """Loads whose order numbers are mixed, with a compaction between them, resolved on reading."""
+    target = SB.bar_log_table(SB.folder(spark, "bars"))
+    rank = (F.col("event_id") * 7919) % 1000003
+    ticks = I.ticks(spark, folder).withColumn("rank", rank)
+    bars = ticks.select(
+        "symbol", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")],
+        "volume", F.lit("").alias("source"), F.lit("us").alias("market"), F.to_date("ts").alias("date"), "rank", "event_id",
+    )
+    for number in range(3):
+        target.append(bars.filter(F.col("event_id") % 3 == number), number, "rank")
+        if number == 1:
+            target.compact(spark)
+    return target.read(spark).select("symbol", "ts", "close", "volume")
 
 
 @query(

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapewright.session import STATE_STORE
@@ -66,4 +68,64 @@ def test_corrections_replace_bars(spark, tmp_path):
     SB.run_batches(stream, SB.keep_corrected(path, "us", "n"), done)
     _write(spark, src, [("A", t, 1.0, 1.0, 1.0, 3.0, 1, 3), ("A", t + dt.timedelta(minutes=1), 1.0, 1.0, 1.0, 4.0, 1, 4)], schema)
     SB.run_batches(stream, SB.keep_corrected(path, "us", "n"), done)
-    assert [r.close for r in spark.read.parquet(path).orderBy("ts").collect()] == [3.0, 4.0]
+    assert [r.close for r in SB.bar_log_table(path).read(spark).orderBy("ts").collect()] == [3.0, 4.0]
+    # An older correction in a later batch does not win.
+    _write(spark, src, [("A", t, 1.0, 1.0, 1.0, 9.0, 1, 0)], schema)
+    SB.run_batches(stream, SB.keep_corrected(path, "us", "n"), done)
+    assert [r.close for r in SB.bar_log_table(path).read(spark).orderBy("ts").collect()] == [3.0, 4.0]
+
+
+def _bars(spark, rows):
+    t = dt.datetime(2025, 1, 2, 10, 0)
+    data = [(s, t + dt.timedelta(days=d), 1.0, 1.0, 1.0, c, 1, "", "us", (t + dt.timedelta(days=d)).date(), n) for s, d, c, n in rows]
+    return spark.createDataFrame(data, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long, source string, market string, date date, n long")
+
+
+def test_log_table_resolves_in_any_order(spark, tmp_path):
+    rows = [("A", 0, 1.0, 1), ("A", 0, 2.0, 5), ("A", 0, 3.0, 3), ("B", 0, 4.0, 2), ("A", 1, 5.0, 1), ("B", 0, 6.0, 2)]
+    results = []
+    for k, order in enumerate(([0, 1, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [2, 0, 5, 1, 3, 4])):
+        table = SB.bar_log_table(str(tmp_path / f"t{k}"))
+        assert table.read(spark).count() == 0
+        for number, i in enumerate(order):
+            table.append(_bars(spark, [rows[i]]), number, "n")
+            if number == 3:
+                assert table.compact(spark) == 4 and len(table.generations(spark)) == 1
+        results.append(sorted((r.symbol, r.ts, r.close) for r in table.read(spark).collect()))
+    assert results[0] == results[1] == results[2] and [r[2] for r in results[0]] == [2.0, 5.0, 6.0]
+
+
+def test_log_table_batches_only_add(spark, tmp_path):
+    """A batch writes its own folder only; repeated, it replaces itself; unfinished ones are not seen; filters prune folders."""
+    path = tmp_path / "t"
+    table = SB.bar_log_table(str(path))
+    table.append(_bars(spark, [("A", d, 1.0, 1) for d in range(5)]), 0)
+    before = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs}
+    table.append(_bars(spark, [("A", 0, 2.0, 1)]), 1)
+    after = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs}
+    assert all(after[f] == at for f, at in before.items() if f.startswith("part"))
+    table.append(_bars(spark, [("A", 0, 7.0, 1)]), 1)
+    assert table.read(spark).filter("date = '2025-01-02'").first().close == 7.0
+    os.makedirs(path / "gen=d000000000099/market=us/date=2025-01-02")
+    assert table.generations(spark) == ["d000000000000", "d000000000001"]
+    plan = table.read(spark).filter("market = 'us' and date = date'2025-01-03' and symbol = 'A'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(market" in plan and "PushedFilters: [IsNotNull(symbol), EqualTo(symbol,A)]" in plan
+
+
+def test_signals_see_the_days_before(spark, tmp_path):
+    """A symbol that trades daily and one with long pauses: both see their last dates, however long ago."""
+    schema = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
+    t = dt.datetime(2025, 1, 2, 10, 0)
+    src, out, done = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "done")
+    (tmp_path / "in").mkdir()
+    stoch = F.col("tf_stoch")
+    each = SB.signals_of_batch(str(tmp_path / "bars"), out, "us", stoch, 1 - stoch, 0.5, history=2, lookback=5)
+    stream = SB.read_stream(spark, src, schema)
+    for days in ([("A", d) for d in range(3)] + [("B", 0)], [("A", 40), ("B", 40)]):
+        _write(spark, src, [(s, t + dt.timedelta(days=d), 10.0 + d, 11.0 + d, 9.0 + d, 10.0 + d, 1) for s, d in days], schema)
+        SB.run_batches(stream, each, done)
+    got = {(r.symbol, r.ts): r.peak_prob for r in spark.read.parquet(out).collect()}
+    # A sees days 1, 2 and 40; B sees days 0 and 40.
+    assert len(got) == 6
+    assert got["A", t + dt.timedelta(days=40)] == pytest.approx((50 - 10) / (51 - 10))
+    assert got["B", t + dt.timedelta(days=40)] == pytest.approx((50 - 9) / (51 - 9))
