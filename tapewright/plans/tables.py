@@ -10,13 +10,15 @@ from tapewright.operators import splits as S
 from tapewright.operators import summaries as M
 from tapewright.operators.bars import merge_loads
 from tapewright.operators.features import build_features
+from tapewright.operators.joins import rounded
 from tapewright.operators.labels import label_bars
 from tapewright.params import label_variant
 from tapewright.plans import inputs as I
 from tapewright.plans.inputs import table, with_tables
 from tapewright.plans.registry import query
-from tapewright.session import shared_folder
+from tapewright.session import shared_folder, stage
 from tapewright.sources import tables as ST
+from tapewright.sources.optiontables import OptionStore
 
 
 def _path(spark, name: str) -> str:
@@ -53,6 +55,85 @@ def stored_bars_merged(spark, folder):
     return ST.read_table(spark, path, schema=ST.BAR_SCHEMA).select("symbol", "ts", "close", "volume", "source")
 
 
+@query(
+    "S-03 A-01 S-12",
+    with_tables(
+        """SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close,
+          CAST(sum(volume) AS BIGINT) AS volume FROM (SELECT symbol, ts, open, high, low, CASE WHEN volume % 3 = 0 THEN close + 1 ELSE close END AS close, volume FROM bars)
+        WHERE symbol IN ('click', 'view') AND ts >= '2024-01-05' AND ts < '2024-01-21' GROUP BY 1, 2""",
+        "bars",
+    ),
+)
+def stored_five_minutes_scanned(spark, folder):
+    """Two loads of minutes, the second of which changes windows that the first has filled."""
+    minutes, fives, bars = _path(spark, "bars"), _path(spark, "bars-5m"), I.minute_bars(spark, folder)
+    later = bars.filter(F.col("volume") % 3 == 0).withColumn("close", F.col("close") + 1)
+    for load in (bars.filter(F.col("volume") % 3 > 0), later):
+        ST.save_bars(load, minutes, "us")
+        ST.save_resampled(load, minutes, fives, "us")
+    out = ST.read_table(spark, fives, "us", ["click", "view"], "2024-01-05", "2024-01-20", schema=ST.BAR_SCHEMA)
+    return out.select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+def _option_store(spark, folder):
+    """Two loads of bars and of contracts, the second of which corrects a part of the first."""
+    store = OptionStore(_path(spark, "options"), buckets=2)
+    listed = stage(I.contracts(spark, folder), "contracts")
+    bars = stage(I.option_bars(spark, folder, listed), "option_bars")
+    store.save_bars(bars, "base")
+    store.save_bars(bars.filter(F.col("volume") % 3 == 0).withColumn("close", F.col("close") + 1), "fresh")
+    store.save_contracts(listed)
+    store.save_contracts(listed.filter(F.col("cp") == "C").withColumn("stock_close", F.col("stock_close") + 1))
+    return store
+
+
+KEPT = """kept AS (SELECT contract, symbol AS underlying, CAST(ts AS DATE) AS day, ts, CASE WHEN volume % 3 = 0 THEN close + 1 ELSE close END AS close, volume,
+  CASE WHEN volume % 3 = 0 THEN 'fresh' ELSE 'base' END AS source FROM option_bars),
+  terms AS (SELECT contract, underlying, expiry, cp, strike, CASE WHEN cp = 'C' THEN stock_close + 1 ELSE stock_close END AS stock_close FROM contracts)"""
+
+
+@query("S-16 A-02", with_tables("SELECT underlying, day, contract, ts, round(close, 8) AS close, volume, source FROM kept", "option_bars", extra=KEPT))
+def stored_option_bars_merged(spark, folder):
+    return rounded(_option_store(spark, folder).bars(spark).select("underlying", "day", "contract", "ts", "close", "volume", "source"), ["close"])
+
+
+@query("S-17", with_tables("SELECT contract, underlying, expiry, cp, strike, round(stock_close, 8) AS stock_close FROM terms", "option_bars", extra=KEPT))
+def stored_contracts_merged(spark, folder):
+    return rounded(_option_store(spark, folder).contracts(spark).select("contract", "underlying", "expiry", "cp", "strike", "stock_close"), ["stock_close"])
+
+
+@query(
+    "S-08 S-22",
+    with_tables(
+        """SELECT k.underlying, k.contract, k.ts, round(k.close, 8) AS close, t.strike, t.expiry, t.cp FROM kept k JOIN terms t ON k.contract = t.contract
+        WHERE k.underlying IN ('click', 'signup')""",
+        "option_bars", extra=KEPT,
+    ),
+)
+def stored_options_of_underlyings(spark, folder):
+    out = _option_store(spark, folder).bars_with_contracts(spark, ["click", "signup"])
+    return rounded(out.select("underlying", "contract", "ts", "close", "strike", "expiry", "cp"), ["close"])
+
+
+@query(
+    "S-09",
+    with_tables(
+        """SELECT k.underlying, k.day, k.contract, k.ts, round(k.close, 8) AS close FROM kept k JOIN daily d ON k.underlying = d.symbol AND k.day = d.date
+        WHERE d.volume % 3 = 1""",
+        "option_bars", "daily", extra=KEPT,
+    ),
+)
+def stored_options_of_days(spark, folder):
+    store = _option_store(spark, folder)
+    days = I.daily(spark, folder).filter(F.col("volume") % 3 == 1).select(F.col("symbol").alias("underlying"), F.col("date").alias("day"))
+    return rounded(store.bars_of_days(stage(days, "days")).select("underlying", "day", "contract", "ts", "close"), ["close"])
+
+
+@query("S-09 A-34", with_tables("SELECT contract, day, count(*) AS n_bars FROM kept GROUP BY 1, 2", "option_bars", extra=KEPT))
+def stored_option_days_counted(spark, folder):
+    return _option_store(spark, folder).traded_days(spark)
+
+
 @query(
     "S-26 A-05 A-11",
     with_tables(

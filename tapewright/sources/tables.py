@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tapewright.functions.columns import between_dates, pad_code
-from tapewright.operators.bars import merge_loads, normalise, validate_bars
+from tapewright.operators.bars import merge_loads, normalise, resample, validate_bars
 from tapewright.operators.features import feature_columns
 from tapewright.operators.summaries import upsert_ledger
 from tapewright.session import stage
@@ -86,12 +86,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def save_bars(new: DataFrame, path: str, market: str, source: str = "", pad: bool = False) -> None:
-    """Merge a load into the bar table; only the symbol years it touches are rewritten."""
+def save_bars(new: DataFrame, path: str, market: str, source: str = "", pad: bool = False, order: Sequence[str] = ()) -> None:
+    """Merge a load into the bar table; only the symbol years it touches are rewritten.
+
+    Of rows of the load with the same key, the last by ``order`` wins: a file position, or several columns.
+    """
     spark = new.sparkSession
-    load = normalise(new, source).withColumn("market", F.lit(market)).withColumn("year", F.year("ts"))
+    load = normalise(new, source, ("symbol", *order)).withColumn("market", F.lit(market)).withColumn("year", F.year("ts"))
     if pad:
         load = load.withColumn("symbol", pad_code(F.col("symbol")))
+    # A load may repeat a bar; the same rule as on merging applies.
+    load = merge_loads(load.limit(0), load, ("market", "symbol", "year", "ts"), order).drop(*order)
     if exists(spark, path):
         load = stage(load, "load")
         touched = load.select(*PARTITIONS).distinct()
@@ -99,12 +104,22 @@ def save_bars(new: DataFrame, path: str, market: str, source: str = "", pad: boo
         merged = merge_loads(stored, load, ("market", "symbol", "year", "ts"))
         # Staged first: the partitions being replaced are also being read.
         load = stage(merged, "merged")
-    else:
-        # A load may repeat a bar; the same rule as on merging applies.
-        load = merge_loads(load.limit(0), load, ("market", "symbol", "year", "ts"))
     write_table(load, path)
 
 
+def save_resampled(load: DataFrame, bars_path: str, path: str, market: str, minutes: int = 5) -> None:
+    """Bring a table of coarser bars up to date with a load that the one-minute table already holds.
+
+    The days that the load touches are made anew from all their stored minutes, so a late or corrected minute changes its window;
+    other days are not read.
+    """
+    spark = load.sparkSession
+    days = load.select("symbol", F.to_date("ts").alias("_day")).distinct().withColumn("year", F.year("_day"))
+    stored = read_table(spark, bars_path, market, schema=BAR_SCHEMA).withColumn("_day", F.to_date("ts"))
+    touched = stored.join(days, ["symbol", "year", "_day"], "left_semi").select("symbol", "ts", "open", "high", "low", "close", "volume", "source")
+    save_bars(resample(touched, minutes), path, market)
+
+
 def save_and_track(new: DataFrame, path: str, market: str, source: str, ledger: DataFrame, exchange: str) -> DataFrame:
     """Save a load and return the ledger with one row per symbol of it, marked complete when valid."""
     save_bars(new, path, market, source)
@@ -155,13 +170,20 @@ def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_contract_cache(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Weekly JSON documents with contract arrays, one row per contract."""
-    docs = spark.read.option("multiLine", str(multi_line).lower()).option("mode", "DROPMALFORMED").schema(CACHE_SCHEMA).json(path)
+    """Weekly JSON documents with contract arrays, one row per contract. A document that cannot be read is an error."""
+    docs = spark.read.option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST").schema(CACHE_SCHEMA).json(path)
     return docs.select("symbol", "period_start", "period_end", "stock_close", F.explode("filtered_symbols").alias("_s")).select(
         "symbol", "period_start", "period_end", "stock_close", F.trim("_s").alias("contract")
     )
 
 
+def unreadable_contract_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The documents that ``read_contract_cache`` fails on, whole, with their file."""
+    docs = spark.read.option("wholetext", str(multi_line).lower()).text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    parsed = F.from_json("value", f"{CACHE_SCHEMA}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return docs.filter((F.trim("value") != "") & parsed["_corrupt"].isNotNull()).select("file_path", F.col("value").alias("document"))
+
+
 def write_result(df: DataFrame, path: str, csv: bool = False) -> None:
     """Result table as Parquet, and as CSV beside it when asked for."""
     df.write.mode("overwrite").parquet(f"{path}/parquet")
