@@ -307,10 +307,13 @@ def index_features(index: DataFrame, by: Sequence[str] = ("market",)) -> DataFra
 
 
 def add_index_features(bars: DataFrame, index: DataFrame, by: Sequence[str] = ("market",)) -> DataFrame:
-    """Index features of the last index bar at most two minutes old."""
+    """Index features of the last index bar at most two minutes old.
+
+    All symbols of a market share its times, so those are looked up, and bars join them by market and time.
+    """
     feats = index_features(index, by)
     names = [c for c in feats.columns if c.startswith("mf_")]
-    return asof_join(bars, feats, by, names, tolerance=INDEX_TOLERANCE)
+    return asof_join(bars, feats, by, names, tolerance=INDEX_TOLERANCE, shared_times=True)
 
 
 def build_features(bars: DataFrame, session_minutes: int = 390, index: DataFrame | None = None) -> DataFrame:

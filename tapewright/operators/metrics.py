@@ -7,11 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapewright.operators.ordered import running_totals
+from tapewright.operators.ordered import running_totals, value_bins
 from tapewright.params import PEAK, TROUGH
 
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
-SCORE_BINS = 4096
 
 
 def score_counts(df: DataFrame, by: Sequence[str], score: str, target: str) -> DataFrame:
@@ -24,9 +23,9 @@ def score_counts(df: DataFrame, by: Sequence[str], score: str, target: str) -> D
 def pr_curve(df: DataFrame, by: Sequence[str], score: str, target: str) -> DataFrame:
     """Precision and recall at every distinct score, summed from the highest score down.
 
-    ``by`` must name at least one column. Scores are ordered inside bins of 1/4096.
+    ``by`` must name at least one column. Scores are ordered inside bins that follow them. Rows without a score are left out.
     """
-    counts = score_counts(df, by, score, target).withColumn("_bin", F.floor(F.col("score") * SCORE_BINS))
+    counts = value_bins(score_counts(df.filter(F.col(score).isNotNull()), by, score, target), by, "score")
     cum = running_totals(counts, by, "_bin", [F.desc("score")], ["n", "pos"], descending=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("_all"))
     joined = cum.join(totals, list(by))

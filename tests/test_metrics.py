@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import metrics as M
 from tapewright.operators import models as ML
+from tapewright.operators import ordered as O
 from tapewright.operators import splits as S
 from tapewright.operators import summaries as U
 
@@ -163,3 +164,19 @@ def test_summaries(spark):
     assert cap.cap == 10 and cap.has_outliers
     sample = U.seeded_sample(spark.range(1000), ["id"], 10)
     assert sample.count() == 10 and sample.collect() == U.seeded_sample(spark.range(1000).repartition(7), ["id"], 10).collect()
+
+
+def test_curve_of_scores_crowded_near_zero(spark, monkeypatch):
+    """99 % of the scores lie below 1/4096: bins follow them, and precision and recall are those of a plain sort."""
+    monkeypatch.setattr(O.value_bins, "__defaults__", (64,))
+    rng = np.random.default_rng(11)
+    score = np.concatenate([rng.random(3960) / 4096, rng.random(40)]).round(9)
+    hit = rng.random(4000) < 0.05
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "score": score, "hit": hit.astype(int)}))
+    bins = O.value_bins(M.score_counts(df, ["k"], "score", "hit"), ["k"], "score").groupBy("_bin").count().agg({"count": "max"}).first()[0]
+    assert bins <= 64
+    got = M.pr_curve(df, ["k"], "score", "hit").toPandas().sort_values("score", ascending=False, ignore_index=True)
+    want = pd.DataFrame({"score": score, "hit": hit}).groupby("score")["hit"].agg(["size", "sum"]).sort_index(ascending=False).cumsum().reset_index()
+    assert list(got["score"]) == list(want["score"])
+    np.testing.assert_allclose(got["precision"], want["sum"] / want["size"], rtol=1e-12)
+    np.testing.assert_allclose(got["recall"], want["sum"] / hit.sum(), rtol=1e-12)

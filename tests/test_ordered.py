@@ -40,6 +40,33 @@ def test_quantiles_are_exact(spark):
         assert r["quantile"] == pytest.approx(np.quantile(data[r.k], r.q), rel=1e-12, abs=1e-12)
 
 
+def test_bins_follow_the_values(spark, monkeypatch):
+    """Nearly all values in a sliver of the range, negative ones, zeros of both signs, infinities and one far outlier."""
+    rng = np.random.default_rng(5)
+    x = np.unique(np.concatenate([rng.random(5000) / 4096, -rng.random(500) * 1e9, [0.0, np.inf, -np.inf, 1e300, 5e-324]]))
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x}))
+    got = O.value_bins(df, ["k"], "x", most=40).toPandas().sort_values("x", ignore_index=True)
+    assert list(got["x"]) == list(x) and got["_bin"].is_monotonic_increasing
+    assert got.groupby("_bin").size().max() <= 40
+    monkeypatch.setattr(O.value_bins, "__defaults__", (16,))
+    data = {"equal": np.concatenate([np.full(9900, 0.5), rng.random(100)]), "near": 0.5 + rng.random(3000) * 1e-12, "signs": np.array([-0.0, 0.0, -1.0, 1.0])}
+    pdf = pd.concat([pd.DataFrame({"k": k, "x": v}) for k, v in data.items()])
+    for r in O.quantiles(spark.createDataFrame(pdf), ["k"], "x", (0.0, 0.25, 0.5, 0.99, 1.0)).collect():
+        assert r["quantile"] == pytest.approx(np.quantile(data[r.k], r.q), rel=1e-14, abs=0), (r.k, r.q)
+
+
+def test_shared_times_give_the_same(spark):
+    rng = np.random.default_rng(7)
+    times = _ts(60, rng)
+    left = pd.concat([pd.DataFrame({"m": m, "symbol": s, "ts": times, "v": i}) for i, (m, s) in enumerate([("us", "A"), ("us", "B"), ("kr", "C"), (None, "D")])])
+    right = pd.DataFrame({"m": rng.choice(["us", "kr"], 40), "ts": _ts(40, rng), "x": rng.random(40)})
+    both = [
+        sorted(map(str, O.asof_join(_df(spark, left), _df(spark, right), ["m"], ["x"], tolerance=t, matched="at", shared_times=shared).collect()))
+        for t in (None, "30 minutes") for shared in (False, True)
+    ]
+    assert both[0] == both[1] and both[2] == both[3] and len(both[0]) == len(left)
+
+
 def test_running_totals(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 500), "x": rng.permutation(500), "n": rng.integers(0, 9, 500)})
