@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tapewright.operators.ordered import running_totals, value_bins
 from tapewright.params import PEAK, TROUGH
+from tapewright.session import stage
 
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 
@@ -87,14 +88,28 @@ def threshold_table(
 
 
 def nearest_event(df: DataFrame, actual: Column, predicted: Column, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Per actual event the signed distance, in rows, to the nearest predicted one; ties go back in time."""
-    up = Window.partitionBy(*by).orderBy("ts")
-    down = Window.partitionBy(*by).orderBy(F.desc("ts"))
-    reach = (Window.unboundedPreceding, 0)
-    work = df.select(*by, "ts", actual.alias("_a"), predicted.alias("_p"), F.row_number().over(up).alias("_rn"))
+    """Per actual event the signed distance, in rows, to the nearest predicted one; ties go back in time.
+
+    Rows are ordered inside their day only; days pass on how many rows and which prediction lie before and after them.
+    """
+    by = list(by)
+    work = df.select(*by, "ts", F.to_date("ts").alias("_day"), actual.alias("_a"), predicted.alias("_p"))
+    day = Window.partitionBy(*by, "_day").orderBy("ts")
+    work = stage(work.withColumn("_r", F.row_number().over(day)), "events-in-day")
+    # Per day: its rows, its first and last prediction; then, over the few days of a key, what lies before and after each.
+    at = F.when(F.col("_p"), F.col("_r"))
+    days = work.groupBy(*by, "_day").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"))
+    over = Window.partitionBy(*by).orderBy("_day")
+    days = days.withColumn("_off", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    days = days.select(
+        *by, "_day", "_off",
+        F.last(F.col("_last") + F.col("_off"), True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first(F.col("_first") + F.col("_off"), True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    work = work.join(days, [*by, "_day"]).withColumn("_rn", F.col("_r") + F.col("_off"))
     at = F.when(F.col("_p"), F.col("_rn"))
-    work = work.withColumn("_prev", F.last(at, True).over(up.rowsBetween(*reach)))
-    work = work.withColumn("_next", F.last(at, True).over(down.rowsBetween(*reach)))
+    work = work.withColumn("_prev", F.coalesce(F.last(at, True).over(day.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before")))
+    work = work.withColumn("_next", F.coalesce(F.first(at, True).over(day.rowsBetween(0, Window.unboundedFollowing)), F.col("_after")))
     back, ahead = F.col("_rn") - F.col("_prev"), F.col("_next") - F.col("_rn")
     error = F.when(F.col("_next").isNull() | (back <= ahead), -back).otherwise(ahead)
     return work.filter(F.col("_a")).select(*by, "ts", error.cast("int").alias("error_bars"))
@@ -136,27 +151,45 @@ def signal_pairs(
     """Long trades bought on a trough signal and sold on the next peak signal, per symbol.
 
     A bar with one signal sets the state, a bar with both flips it, other bars keep it. So the
-    state is the last one-sided signal, flipped once per two-sided bar since.
+    state is the last one-sided signal, flipped once per two-sided bar since. Bars are ordered inside their day only; each day is
+    one short row that sets or flips the state, and those are put together per symbol.
     """
-    w = Window.partitionBy("symbol").orderBy("ts")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    later = F.col("_rn") > 1
-    is_peak, is_trough = (F.col(peak) >= peak_at) & later, (F.col(trough) >= trough_at) & later
-    work = df.select("symbol", "ts", "close", peak, trough, F.row_number().over(w).alias("_rn"))
-    work = work.select(
-        "symbol", "ts", "close", "_rn",
+    rows = stage(df.select("symbol", "ts", "close", (F.col(peak) >= peak_at).alias("_p"), (F.col(trough) >= trough_at).alias("_t"), F.to_date("ts").alias("_day")), "signals")
+    first = rows.groupBy("symbol").agg(F.min("ts").alias("_start"))
+    rows = rows.join(first, "symbol").withColumn("_late", F.col("ts") > F.col("_start"))  # a symbol's first bar gives no signal
+    is_peak, is_trough = F.coalesce(F.col("_p"), F.lit(False)) & F.col("_late"), F.coalesce(F.col("_t"), F.lit(False)) & F.col("_late")
+    day = Window.partitionBy("symbol", "_day").orderBy("ts")
+    upto = day.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(
+        "symbol", "_day", "ts", "close",
         F.when(is_trough & ~is_peak, F.lit(1)).when(is_peak & ~is_trough, F.lit(0)).alias("_one"),
         F.count_if(is_peak & is_trough).over(upto).alias("_both"),
     )
     at_one = F.when(F.col("_one").isNotNull(), F.struct("_one", "_both"))
-    work = work.withColumn("_s", F.last(at_one, True).over(upto))
-    since = F.col("_both") - F.coalesce(F.col("_s._both"), F.lit(0))
-    work = work.withColumn("_pos", (F.coalesce(F.col("_s._one"), F.lit(0)) + since) % 2)
-    work = work.withColumn("_was", F.coalesce(F.lag("_pos").over(w), F.lit(0))).filter(F.col("_pos") != F.col("_was"))
-    work = work.select("*", F.lag("ts").over(w).alias("entry_ts"), F.lag("close").over(w).alias("_in"))
-    entry, exit_ = F.col("_in") * (1 + slippage), F.col("close") * (1 - slippage)
-    return work.filter(F.col("_pos") == 0).select(
-        "symbol", "entry_ts", F.col("ts").alias("exit_ts"), entry.alias("entry_price"), exit_.alias("exit_price"),
+    rows = stage(rows.withColumn("_s", F.last(at_one, True).over(upto)), "signals-in-day")
+
+    # A day sets the state if it holds a one-sided signal, and flips it once per two-sided bar after that or in all.
+    days = rows.groupBy("symbol", "_day").agg(F.max_by(F.struct("_s", "_both"), "ts").alias("_end"))
+    over = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("symbol", "_day", "_end", F.coalesce(F.sum("_end._both").over(over), F.lit(0)).alias("_off"))
+    set_at = F.when(F.col("_end._s").isNotNull(), F.struct(F.col("_end._s._one").alias("_one"), (F.col("_end._s._both") + F.col("_off")).alias("_both")))
+    days = days.select("symbol", "_day", "_off", F.last(set_at, True).over(over).alias("_set"))
+
+    def state(one: Column, flips: Column) -> Column:
+        return (F.coalesce(one, F.lit(0)) + flips) % 2
+
+    before = state(F.col("_set._one"), F.col("_off") - F.coalesce(F.col("_set._both"), F.lit(0)))
+    rows = rows.join(days.select("symbol", "_day", before.alias("_before")), ["symbol", "_day"])
+    in_day = F.when(F.col("_s").isNull(), state(F.col("_before"), F.col("_both"))).otherwise(state(F.col("_s._one"), F.col("_both") - F.col("_s._both")))
+    rows = rows.withColumn("_pos", in_day).withColumn("_was", F.coalesce(F.lag("_pos").over(day), F.col("_before")))
+    changes = stage(rows.filter(F.col("_pos") != F.col("_was")).select("symbol", "_day", "ts", "close", "_pos"), "signal-changes")
+
+    bought = F.when(F.col("_pos") == 1, F.struct("ts", "close"))
+    last = changes.groupBy("symbol", "_day").agg(F.max(bought).alias("_last")).select("symbol", "_day", F.last("_last", True).over(over).alias("_carried"))
+    changes = changes.withColumn("_entry", F.last(bought, True).over(upto)).join(last, ["symbol", "_day"]).withColumn("_entry", F.coalesce("_entry", "_carried"))
+    entry, exit_ = F.col("_entry.close") * (1 + slippage), F.col("close") * (1 - slippage)
+    return changes.filter(F.col("_pos") == 0).select(
+        "symbol", F.col("_entry.ts").alias("entry_ts"), F.col("ts").alias("exit_ts"), entry.alias("entry_price"), exit_.alias("exit_price"),
         ((exit_ - entry) / entry).alias("pnl_pct"),
     )
 
@@ -188,14 +221,24 @@ def pairing_summary(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def full_evaluation(df: DataFrame, peak: str, trough: str, threshold: float = 0.5, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Average precision and timing errors of both targets, one row per key and target."""
+    """Average precision, timing errors and the table of thresholds of both targets, one row per key and target.
+
+    By symbol, each row also holds the summary of the trades that the signals of both targets give.
+    """
+    by = list(by)
+    df = stage(df.select(*by, "ts", "close", "label", peak, trough), "evaluated")
     parts = []
     for name, label, score in (("peak", PEAK, peak), ("trough", TROUGH, trough)):
         scored = df.withColumn("_y", F.col("label") == label)
         ap = average_precision(scored, by, score, "_y")
         te = time_error(df, score, label, threshold, by=by)
-        parts.append(ap.join(te, list(by)).withColumn("target", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+        table = threshold_table(scored, by, score, "_y")
+        table = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*[c for c in table.columns if c not in by]))).alias("thresholds"))
+        parts.append(ap.join(te, by).join(table, by).withColumn("target", F.lit(name)))
+    out = parts[0].unionByName(parts[1])
+    if by != ["symbol"]:
+        return out
+    return out.join(pairing_summary(df, signal_pairs(df, peak, trough, threshold, threshold)), "symbol", "left")
 
 
 def class_balance(df: DataFrame, targets: dict[str, Column], by: Sequence[str] = ("split",)) -> DataFrame:

@@ -94,10 +94,27 @@ def _target(label: int, score: str) -> str:
 
 @query("A-22", with_tables(f"{_target(1, 'peak_prob')} UNION ALL BY NAME {_target(2, 'trough_prob')}", "scored"))
 def full_evaluation(spark, folder):
-    out = M.full_evaluation(scored(spark, folder), "peak_prob", "trough_prob", 0.6)
+    out = M.full_evaluation(scored(spark, folder), "peak_prob", "trough_prob", 0.6).drop("thresholds", *PAIRED)
     return rounded(rounded(out, [*ERROR_COLS, "pr_auc"]), ["std_error_bars"], 7)
 
 
+PAIRED = ["buy_hold_return", "n_trades", "total_return", "win_rate", "avg_win", "avg_loss", "profit_factor", "max_drawdown", "sharpe_approx"]
+
+
+def _thresholds(label: int, score: str) -> str:
+    return f"""SELECT symbol, '{'peak' if label == 1 else 'trough'}' AS target, CAST(t AS DOUBLE) AS threshold, tp, pp - tp AS fp, p - tp AS fn,
+      round(CASE WHEN pp > 0 THEN tp / pp ELSE 0 END, 4) AS precision, round(CASE WHEN p > 0 THEN tp / p ELSE 0 END, 4) AS recall,
+      round(CASE WHEN tp > 0 THEN 2 * (tp / pp) * (tp / p) / (tp / pp + tp / p) ELSE 0 END, 4) AS f1, pp AS predicted_positives FROM
+      (SELECT symbol, t, count(*) FILTER (label = {label} AND {score} >= CAST(t AS DOUBLE)) AS tp, count(*) FILTER ({score} >= CAST(t AS DOUBLE)) AS pp,
+         count(*) FILTER (label = {label}) AS p FROM scored, (VALUES (0.3), (0.4), (0.5), (0.6), (0.7)) v(t) GROUP BY 1, 2)"""
+
+
+@query("A-22 A-20", with_tables(f"{_thresholds(1, 'peak_prob')} UNION ALL {_thresholds(2, 'trough_prob')}", "scored"))
+def full_evaluation_thresholds(spark, folder):
+    out = M.full_evaluation(scored(spark, folder), "peak_prob", "trough_prob", 0.6)
+    return out.select("symbol", "target", F.inline("thresholds"))
+
+
 # The SQL twin walks the bars one by one.
 PAIRS = """b AS MATERIALIZED (SELECT symbol, ts, close, peak_prob >= 0.7 AS p, trough_prob >= 0.7 AS t, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM scored),
   walk AS (SELECT symbol, rn, CAST(0 AS INTEGER) AS pos, CAST(NULL AS TIMESTAMP) AS ets, CAST(NULL AS DOUBLE) AS ep, false AS sold FROM b WHERE rn = 1
@@ -143,6 +160,20 @@ def pairing_summary(spark, folder):
     return rounded(out, ["total_return", "profit_factor", "sharpe_approx"], 6)
 
 
+@query(
+    "A-22 A-24",
+    with_tables(
+        """SELECT symbol, target, coalesce(n, 0) AS n_trades, round(coalesce(r, 0), 6) AS total_return, round(coalesce(wr, 0), 8) AS win_rate
+        FROM (SELECT DISTINCT symbol FROM scored) LEFT JOIN (SELECT symbol, count(*) AS n, product(1 + pnl) - 1 AS r, count(*) FILTER (pnl > 0) / count(*) AS wr
+          FROM pairs GROUP BY 1) USING (symbol), (VALUES ('peak'), ('trough')) v(target)""",
+        "scored", recursive=True, extra=PAIRS.replace("0.7", "0.6"),
+    ),
+)
+def full_evaluation_pairing(spark, folder):
+    out = M.full_evaluation(scored(spark, folder), "peak_prob", "trough_prob", 0.6)
+    return rounded(rounded(out.select("symbol", "target", "n_trades", "total_return", "win_rate"), ["total_return"], 6), ["win_rate"])
+
+
 @query(
     "P-12 P-13",
     with_tables(

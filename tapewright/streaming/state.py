@@ -12,7 +12,9 @@ from tapewright.params import STOP_LOSS, TAKE_PROFIT
 
 BAR = "ts timestamp, close double"
 RECENT = "symbol string, ts timestamp, close double, n_bars int, mean_close double"
-POSITION = "last timestamp, held boolean, entry_price double"
+POSITION = "seen timestamp, last timestamp, held boolean, entry_price double"
+WAITING = "ts timestamp, price double, minutes_from_open int, peak_prob double, trough_prob double"
+WAITING_COLUMNS = [f.split()[0] for f in WAITING.split(", ")]
 EVENT = "symbol string, ts timestamp, action string, reason string, price double, pnl_pct double"
 
 
@@ -46,14 +48,36 @@ class RecentBars(StatefulProcessor):
 class Positions(StatefulProcessor):
     """One position per symbol: forced close, stop, target and trough signal end it, a peak signal opens it.
 
-    Bars not newer than the last one seen are left out.
+    Bars wait until one that is ``delay`` newer has come, so that they act in their own order however batches deliver them. A bar
+    that is not newer than one which has acted comes out as an event of its own kind, LATE.
     """
 
-    def __init__(self, threshold: float, last_entry: int, target: float, stop: float):
+    def __init__(self, threshold: float, last_entry: int, target: float, stop: float, delay: str):
         self.threshold, self.last_entry, self.target, self.stop = threshold, last_entry, target, stop
+        self.delay = pd.Timedelta(delay)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("position", POSITION)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def _ready(self, rows: Iterator[pd.DataFrame], seen, last) -> tuple[pd.DataFrame, pd.DataFrame, object]:
+        """Bars that may act now and bars that come too late; the others are kept."""
+        new = pd.concat(list(rows), ignore_index=True)[WAITING_COLUMNS]
+        late = new[new["ts"] <= last] if last is not None else new.iloc[:0]
+        kept = list(self.waiting.get())
+        if kept:
+            new = pd.concat([pd.DataFrame(kept, columns=WAITING_COLUMNS), new], ignore_index=True)
+        if last is not None:
+            new = new[new["ts"] > last]
+        seen = max([t for t in (seen, new["ts"].max()) if t is not None and not pd.isna(t)], default=None)
+        now = new["ts"] <= seen - self.delay if len(new) else []
+        held_back = new[~now] if len(new) else new
+        if kept or len(held_back):
+            self.waiting.put([tuple(r) for r in held_back.itertuples(index=False)])
+        ready = new[now].sort_values("ts", kind="stable", ignore_index=True) if len(new) else new
+        # Of bars with one time, the first to come acts.
+        again = ready.duplicated("ts")
+        return ready[~again], pd.concat([late, ready[again]]) if len(late) or again.any() else late, seen
 
     def _reason(self, bar, entry: float) -> str | None:
         change = bar.price / entry - 1 if entry > 0 else 0.0
@@ -68,11 +92,10 @@ class Positions(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, held, entry = self.state.get() if self.state.exists() else (None, False, 0.0)
-        events = []
-        for bar in _in_order(rows).itertuples(index=False):
-            if last is not None and bar.ts <= last:
-                continue
+        seen, last, held, entry = self.state.get() if self.state.exists() else (None, None, False, 0.0)
+        ready, late, seen = self._ready(rows, seen, last)
+        events = [(key[0], bar.ts, "LATE", "", bar.price, 0.0) for bar in late.itertuples(index=False)]
+        for bar in ready.itertuples(index=False):
             last = bar.ts
             if held:
                 reason = self._reason(bar, entry)
@@ -83,7 +106,7 @@ class Positions(StatefulProcessor):
             elif bar.minutes_from_open < self.last_entry and bar.peak_prob >= self.threshold and bar.peak_prob >= bar.trough_prob:
                 events.append((key[0], bar.ts, "BUY", "PEAK_SIGNAL", bar.price, 0.0))
                 held, entry = True, float(bar.price)
-        self.state.update((last, held, entry))
+        self.state.update((seen, last, held, entry))
         if events:
             yield pd.DataFrame(events, columns=["symbol", "ts", "action", "reason", "price", "pnl_pct"])
 
@@ -98,9 +121,12 @@ def recent_bars(bars: DataFrame, size: int) -> DataFrame:
 
 
 def positions(
-    scored: DataFrame, threshold: float, last_entry: int = 270, target: float = TAKE_PROFIT, stop: float = STOP_LOSS
+    scored: DataFrame, threshold: float, last_entry: int = 270, target: float = TAKE_PROFIT, stop: float = STOP_LOSS, delay: str = "0 minutes"
 ) -> DataFrame:
-    """Trade events from a stream of scored bars with ``price`` and ``minutes_from_open``."""
+    """Trade events from a stream of scored bars with ``price`` and ``minutes_from_open``.
+
+    Bars of a symbol may arrive out of order by up to ``delay``; what comes later still is reported as LATE and does not act.
+    """
     return scored.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=Positions(threshold, last_entry, target, stop), outputStructType=EVENT, outputMode="append", timeMode="none"
+        statefulProcessor=Positions(threshold, last_entry, target, stop, delay), outputStructType=EVENT, outputMode="append", timeMode="none"
     )

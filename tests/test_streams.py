@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,8 +56,38 @@ def test_state_carries_over_batches(spark, tmp_path):
     _write(spark, src, [bar(3, 94.0, 0.1, 0.1), bar(2, 101.0, 0.1, 0.1), bar(1, 1.0, 0.1, 0.1), bar(270, 94.0, 0.9, 0.1)], schema)
     SB.run_to_files(stream, out)
     got = spark.read.parquet(out).orderBy("ts").collect()
-    assert [(r.action, r.reason, r.price) for r in got] == [("BUY", "PEAK_SIGNAL", 100.0), ("SELL", "STOP_LOSS", 94.0)]
-    assert round(got[1].pnl_pct, 10) == -0.06
+    assert [(r.action, r.reason, r.price) for r in got] == [("BUY", "PEAK_SIGNAL", 100.0), ("LATE", "", 1.0), ("SELL", "STOP_LOSS", 94.0)]
+    assert round(got[2].pnl_pct, 10) == -0.06
+
+
+@pytest.mark.parametrize("delay,late", [("60 minutes", False), ("0 minutes", True)])
+def test_shuffled_batches_act_as_ordered_ones(spark, tmp_path, delay, late):
+    """Bars in random batches give the events of ordered bars, as long as they are not later than the delay; others are named."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    schema = "symbol string, ts timestamp_ntz, price double, minutes_from_open int, peak_prob double, trough_prob double"
+    rng = random.Random(6)
+    t = dt.datetime(2025, 1, 2, 9, 30)
+    rows = [(s, t + dt.timedelta(minutes=m), 100 + rng.uniform(-8, 8), m, rng.random(), rng.random()) for s in "AB" for m in range(40)]
+    # The last bars lie far ahead and let the others act.
+    rows += [(s, t + dt.timedelta(minutes=300), 100.0, 40, 0.0, 0.0) for s in "AB"]
+
+    def run(name, batches, wait):
+        src = str(tmp_path / name)
+        (tmp_path / name).mkdir()
+        stream = SS.positions(SB.read_stream(spark, src, schema), 0.6, delay=wait)
+        for batch in batches:
+            _write(spark, src, batch, schema)
+            SB.run_to_files(stream, src + "-out")
+        return sorted((r.symbol, r.ts, r.action, r.reason) for r in spark.read.parquet(src + "-out").collect())
+
+    ordered = run("ordered", [rows], "0 minutes")
+    mixed = rows[:-2]
+    rng.shuffle(mixed)
+    got = run("mixed", [mixed[:27], mixed[27:55], mixed[55:], rows[-2:]], delay)
+    named = [e for e in got if e[2] == "LATE"]
+    assert bool(named) == late
+    if not late:
+        assert got == ordered
 
 
 def test_corrections_replace_bars(spark, tmp_path):
