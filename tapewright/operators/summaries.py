@@ -115,9 +115,13 @@ def without_entries(ledger: DataFrame, gone: DataFrame, keys: Sequence[str] = ("
     return ledger.join(gone.select(*keys), list(keys), "left_anti")
 
 
-def seeded_sample(df: DataFrame, keys: Sequence[str], n: int = 50_000, seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows, the same ones on every run: the smallest seeded hashes of the key.
 
-    ``orderBy().limit()`` keeps the n best rows of each partition, so no full sort takes place.
+    The hash is the MD5 of the key's texts, times as microseconds. ``orderBy().limit()`` keeps the n best rows of each partition, so
+    no full sort takes place.
     """
-    return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+    times = {name for name, kind in df.dtypes if kind.startswith("timestamp")}
+    texts = [F.unix_micros(F.col(k).cast("timestamp")).cast("string") if k in times else F.col(k).cast("string") for k in keys]
+    seeded = F.md5(F.concat_ws("|", *texts, F.lit(str(seed))).cast("binary"))
+    return df.withColumn("_h", seeded).orderBy("_h", *keys).limit(n).drop("_h")

@@ -19,7 +19,7 @@ from tapewright.session import stage
 
 KEYS = ["symbol", "ts"]
 TARGETS = {"peak_prob": PEAK, "trough_prob": TROUGH}
-SMALL = M.TreeParams(rounds=8, depth=3)
+TREES = M.TreeParams()  # rounds end by early stopping on the val split
 
 
 def _features(bars):
@@ -37,7 +37,7 @@ def _rows(df, label, columns):
 
 
 def _tree_models(df, columns):
-    return {name: M.train_trees(_rows(df, label, columns), SMALL) for name, label in TARGETS.items()}
+    return {name: M.train_trees(_rows(df, label, columns), TREES) for name, label in TARGETS.items()}
 
 
 def _tree_scores(df, columns, models):
@@ -57,7 +57,7 @@ def tree_predictions(spark, folder):
 def tree_importances(spark, folder):
     df = _training(spark, folder)
     columns = X.feature_columns(df)
-    model = M.train_trees(_rows(df, PEAK, columns), SMALL)
+    model = M.train_trees(_rows(df, PEAK, columns), TREES)
     return M.importances(spark, model, columns)
 
 
@@ -65,13 +65,15 @@ def tree_importances(spark, folder):
 def tree_search(spark, folder):
     df = _training(spark, folder)
     rows = stage(_rows(df, PEAK, X.feature_columns(df)), "rows")
-    found = M.search(rows, [M.TreeParams(rounds=4, depth=d, step=s) for d in (2, 4) for s in (0.1, 0.3)])
-    return spark.createDataFrame([(p.depth, p.step, ap) for p, ap in found], "depth int, step double, val_pr_auc double")
+    found = M.search(rows, [M.TreeParams(depth=d, step=s, subsample=u) for d in (3, 5) for s in (0.05, 0.1) for u in (0.8, 1.0)])
+    return spark.createDataFrame(
+        [(p.depth, p.step, p.subsample, p.rounds, ap) for p, ap in found], "depth int, step double, subsample double, rounds int, val_pr_auc double"
+    )
 
 
 def _sequence_scores(df, lookback=5):
     """Scores of both targets from lookback sequences; training and scoring never cross a day."""
-    columns = [c for c in X.feature_columns(df) if c.startswith(("pf_", "vf_"))]
+    columns = X.feature_columns(df)
     seq = X.sequences(df, lookback, "drop", columns)
     out = None
     for name, label in TARGETS.items():

@@ -134,6 +134,35 @@ def stored_option_days_counted(spark, folder):
     return _option_store(spark, folder).traded_days(spark)
 
 
+@query("S-22", with_tables("SELECT underlying, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day FROM (SELECT DISTINCT underlying, day FROM kept) GROUP BY 1", "option_bars", extra=KEPT))
+def stored_underlyings(spark, folder):
+    return _option_store(spark, folder).underlyings(spark)
+
+
+@query(
+    "S-22 S-07",
+    with_tables(
+        """SELECT split_part(run, ' ', 1) AS timeframe, split_part(run, ' ', 2) AS label_config, count(DISTINCT symbol) AS n_symbols, min(date) AS first_date,
+          max(date) AS last_date, count(*) AS n_rows FROM scored_runs GROUP BY 1, 2""",
+        "scored_runs",
+    ),
+)
+def stored_variants(spark, folder):
+    path = _path(spark, "predictions")
+    rows = I.scored_runs(spark, folder).withColumns(
+        {"market": F.lit("us"), "timeframe": F.split("run", " ")[0], "label_config": F.split("run", " ")[1]}
+    )
+    ST.write_table(rows, path)
+    return ST.variants(ST.read_table(spark, path, "us"))
+
+
+@query("S-25", with_tables("SELECT symbol, date, count(*) AS n_rows FROM scored GROUP BY 1, 2", "scored"))
+def stored_result_contents(spark, folder):
+    path = _path(spark, "result")
+    ST.write_result(I.scored(spark, folder).select("symbol", "ts", "peak_prob"), path)
+    return ST.result_contents(ST.read_result(spark, path))
+
+
 @query(
     "S-26 A-05 A-11",
     with_tables(
@@ -162,11 +191,12 @@ def stored_features_counted(spark, folder):
     return ST.partition_counts(ST.read_table(spark, path))
 
 
-@query("A-37 S-23", with_tables("SELECT count(*) AS n_rows, 51 AS n_features FROM sess", "sess"))
+@query("A-37 S-23", with_tables("SELECT count(*) AS n_rows, 51 AS n_features, count(DISTINCT symbol) AS n_files, true AS has_bytes FROM sess", "sess"))
 def stored_features_size(spark, folder):
+    """One file a symbol and year; bytes depend on the writer, so the twin only says that there are some for each row."""
     path = _path(spark, "featured")
     ST.write_table(build_features(I.session(spark, folder)).withColumn("market", F.lit("us")), path)
-    return ST.table_size(ST.read_table(spark, path)).select("n_rows", "n_features")
+    return ST.table_size(ST.read_table(spark, path)).select("n_rows", "n_features", "n_files", (F.col("n_bytes") > F.col("n_rows")).alias("has_bytes"))
 
 
 @query(

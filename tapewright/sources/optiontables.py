@@ -105,3 +105,9 @@ class OptionStore:
     def traded_days(self, spark: SparkSession) -> DataFrame:
         """Bars per contract and day, counted where they lie."""
         return self.bars(spark).groupBy("contract", "day").agg(F.count(F.lit(1)).alias("n_bars"))
+
+    def underlyings(self, spark: SparkSession) -> DataFrame:
+        """Underlyings that have bars, and on how many days: from the names of the folders, no file is opened."""
+        days = spark.sql(f"SHOW PARTITIONS {self._table(spark, 'bars')}").select(F.split("partition", "/").alias("_p"))
+        value = lambda i: F.url_decode(F.substring_index(F.col("_p")[i], "=", -1))
+        return days.groupBy(value(0).alias("underlying")).agg(F.count(F.lit(1)).alias("n_days"), F.min(value(1).cast("date")).alias("first_day"), F.max(value(1).cast("date")).alias("last_day"))

@@ -150,6 +150,19 @@ def catalogue(df: DataFrame, columns: Sequence[str] = PARTITIONS) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def variants(df: DataFrame, columns: Sequence[str] = ("timeframe", "label_config", "model_config")) -> DataFrame:
+    """The variants that a stored table holds, with their symbols and dates; columns it lacks are left out."""
+    known = [c for c in columns if c in df.columns]
+    return df.groupBy(*known).agg(
+        F.count_distinct("symbol").alias("n_symbols"), F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def result_contents(df: DataFrame) -> DataFrame:
+    """Symbols and dates of a result, with their rows."""
+    return df.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def date_range(df: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
     return df.groupBy(*by).agg(F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"))
 

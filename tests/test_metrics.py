@@ -180,3 +180,21 @@ def test_curve_of_scores_crowded_near_zero(spark, monkeypatch):
     assert list(got["score"]) == list(want["score"])
     np.testing.assert_allclose(got["precision"], want["sum"] / want["size"], rtol=1e-12)
     np.testing.assert_allclose(got["recall"], want["sum"] / hit.sum(), rtol=1e-12)
+
+
+def test_search_halves_candidates_and_doubles_rounds(spark, monkeypatch):
+    calls = []
+
+    def fitted(rows, p):
+        calls.append(p)
+        return p
+
+    # The score of a row is its target with noise that shrinks with depth, so the deepest candidate is the best.
+    noisy = lambda p, rows, name, keep: rows.select(*keep, (F.col("y") + F.rand(5) * (8 - p.depth)).alias(name))
+    monkeypatch.setattr(ML, "train_trees", fitted)
+    monkeypatch.setattr(ML, "with_score", noisy)
+    rows = spark.range(600).select((F.col("id") % 7 == 0).cast("double").alias("y"), F.lit("val").alias("split"))
+    found = ML.search(rows, [ML.TreeParams(rounds=20, depth=d) for d in (1, 3, 5, 7)], first_rounds=2)
+    assert [(p.depth, p.rounds) for p, _ in found][:1] == [(7, 20)] and sorted(p.rounds for p, _ in found) == [2, 2, 4, 20]
+    assert sorted((p.depth, p.rounds) for p in calls if p.depth == 7) == [(7, 2), (7, 4), (7, 20)] and len(calls) == 7
+    assert ML.search(rows, []) == []

@@ -81,6 +81,12 @@ def test_another_session_finds_the_tables(spark, store):
     assert store.bars(fresh).count() == 216 and store.contracts(fresh).count() == 18
 
 
+def test_underlyings_come_from_folder_names(spark, store):
+    store.save_bars(option_rows(spark, [("BRK/B 1", "BRK/B", 4, 0, 1.0, 0)]))
+    got = {r.underlying: (r.n_days, r.first_day, r.last_day) for r in store.underlyings(spark).collect()}
+    assert got == {**{u: (3, dt.date(2026, 1, 5), dt.date(2026, 1, 7)) for u in "XYZ"}, "BRK/B": (1, dt.date(2026, 1, 9), dt.date(2026, 1, 9))}
+
+
 def test_empty_load(spark, store):
     store.save_bars(option_rows(spark, []).limit(0))
     assert store.bars(spark).count() == 216
