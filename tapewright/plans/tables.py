@@ -75,15 +75,17 @@ def stored_five_minutes_scanned(spark, folder):
     return out.select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-def _option_store(spark, folder):
-    """Two loads of bars and of contracts, the second of which corrects a part of the first."""
+def _option_store(spark, folder, bars=True, contracts=False):
+    """Two loads of bars, of contracts, or of both; the second corrects a part of the first."""
     store = OptionStore(_path(spark, "options"), buckets=2)
     listed = stage(I.contracts(spark, folder), "contracts")
-    bars = stage(I.option_bars(spark, folder, listed), "option_bars")
-    store.save_bars(bars, "base")
-    store.save_bars(bars.filter(F.col("volume") % 3 == 0).withColumn("close", F.col("close") + 1), "fresh")
-    store.save_contracts(listed)
-    store.save_contracts(listed.filter(F.col("cp") == "C").withColumn("stock_close", F.col("stock_close") + 1))
+    if bars:
+        rows = stage(I.option_bars(spark, folder, listed), "option_bars")
+        store.save_bars(rows, "base")
+        store.save_bars(rows.filter(F.col("volume") % 3 == 0).withColumn("close", F.col("close") + 1), "fresh")
+    if contracts:
+        store.save_contracts(listed)
+        store.save_contracts(listed.filter(F.col("cp") == "C").withColumn("stock_close", F.col("stock_close") + 1))
     return store
 
 
@@ -99,7 +101,7 @@ def stored_option_bars_merged(spark, folder):
 
 @query("S-17", with_tables("SELECT contract, underlying, expiry, cp, strike, round(stock_close, 8) AS stock_close FROM terms", "option_bars", extra=KEPT))
 def stored_contracts_merged(spark, folder):
-    return rounded(_option_store(spark, folder).contracts(spark).select("contract", "underlying", "expiry", "cp", "strike", "stock_close"), ["stock_close"])
+    return rounded(_option_store(spark, folder, bars=False, contracts=True).contracts(spark).select("contract", "underlying", "expiry", "cp", "strike", "stock_close"), ["stock_close"])
 
 
 @query(
@@ -111,7 +113,7 @@ def stored_contracts_merged(spark, folder):
     ),
 )
 def stored_options_of_underlyings(spark, folder):
-    out = _option_store(spark, folder).bars_with_contracts(spark, ["click", "signup"])
+    out = _option_store(spark, folder, contracts=True).bars_with_contracts(spark, ["click", "signup"])
     return rounded(out.select("underlying", "contract", "ts", "close", "strike", "expiry", "cp"), ["close"])
 
 
