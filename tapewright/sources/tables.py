@@ -182,9 +182,13 @@ def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").schema(SYMBOL_LIST_SCHEMA).csv(path)
 
 
-def read_contract_cache(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Weekly JSON documents with contract arrays, one row per contract. A document that cannot be read is an error."""
-    docs = spark.read.option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST").schema(CACHE_SCHEMA).json(path)
+def read_contract_cache(spark: SparkSession, path: str, multi_line: bool = True, skip_unreadable: bool = False) -> DataFrame:
+    """Weekly JSON documents with contract arrays, one row per contract.
+
+    A document that cannot be read is an error, unless asked to be skipped; ``unreadable_contract_documents`` lists those.
+    """
+    mode = "DROPMALFORMED" if skip_unreadable else "FAILFAST"
+    docs = spark.read.option("multiLine", str(multi_line).lower()).option("mode", mode).schema(CACHE_SCHEMA).json(path)
     return docs.select("symbol", "period_start", "period_end", "stock_close", F.explode("filtered_symbols").alias("_s")).select(
         "symbol", "period_start", "period_end", "stock_close", F.trim("_s").alias("contract")
     )
