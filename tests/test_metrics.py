@@ -97,6 +97,39 @@ def test_split_falls_back_to_ratios(spark):
     assert by["train"].b <= by["val"].a and by["val"].b <= by["test"].a
 
 
+@pytest.mark.parametrize("kind", ["one time", "equal rows", "mixed"])
+def test_ratio_split_inside_one_time(spark, monkeypatch, kind):
+    """Positions follow time, tie and digest whatever the number of rows with one time, and equal rows are dealt by number."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    t = dt.datetime(2025, 1, 1)
+    made = {
+        "one time": [(t, f"s{i:03d}", i) for i in range(101)],
+        "equal rows": [(t, "s", 1)] * 53,
+        "mixed": [(None, "a", 1)] * 3 + [(t, None, 2)] * 20 + [(t, "b", i % 2) for i in range(40)] + [(t + dt.timedelta(days=1), "c", 3)] * 31,
+    }[kind]
+    df = spark.createDataFrame(made, "ts timestamp_ntz, symbol string, x int").repartition(4)
+    got = S.ratio_split(df).collect()
+    n = len(made)
+    assert sorted(map(repr, [r[:3] for r in got])) == sorted(map(repr, made))
+    rank = {"train": 0, "val": 1, "test": 2}
+    sizes = [sum(r.split == k for r in got) for k in rank]
+    assert sizes == [int(n * 0.6), int(n * 0.8) - int(n * 0.6), n - int(n * 0.8)]
+    order = sorted((rank[r.split], r.ts is not None, r.ts or t, r.symbol is not None, r.symbol or "") for r in got)
+    assert [o[1:] for o in order] == sorted(o[1:] for o in order)
+
+
+def test_splits_of_nothing(spark):
+    empty = spark.createDataFrame([], "ts timestamp_ntz, symbol string")
+    assert S.time_split(empty).count() == 0 and S.walk_forward(empty).count() == 0
+
+
+def test_splits_read_the_input_twice(spark, tmp_path):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), "a") for i in range(366)], "ts timestamp_ntz, symbol string")
+    df.write.parquet(str(tmp_path / "in"))
+    plan = S.walk_forward(spark.read.parquet(str(tmp_path / "in")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation [ts" in line and "symbol" in line]) == 1
+
+
 def test_walk_forward(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(days=i),) for i in range(366)], "ts timestamp_ntz")
     got = S.walk_forward(df, train_months=6, test_months=1).groupBy("fold", "role").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()
