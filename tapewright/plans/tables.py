@@ -190,7 +190,7 @@ def stored_labels_scanned(spark, folder):
 def stored_features_counted(spark, folder):
     path = _path(spark, "featured")
     ST.write_table(build_features(I.session(spark, folder)).withColumn("market", F.lit("us")), path)
-    return ST.partition_counts(ST.read_table(spark, path))
+    return ST.partition_counts(spark, path)
 
 
 @query("A-37 S-23", with_tables("SELECT count(*) AS n_rows, 51 AS n_features, count(DISTINCT symbol) AS n_files, true AS has_bytes FROM sess", "sess"))
@@ -198,7 +198,7 @@ def stored_features_size(spark, folder):
     """One file a symbol and year; bytes depend on the writer, so the twin only says that there are some for each row."""
     path = _path(spark, "featured")
     ST.write_table(build_features(I.session(spark, folder)).withColumn("market", F.lit("us")), path)
-    return ST.table_size(ST.read_table(spark, path)).select("n_rows", "n_features", "n_files", (F.col("n_bytes") > F.col("n_rows")).alias("has_bytes"))
+    return ST.table_size(spark, path).select("n_rows", "n_features", "n_files", (F.col("n_bytes") > F.col("n_rows")).alias("has_bytes"))
 
 
 @query(
@@ -226,7 +226,7 @@ def stored_catalogue(spark, folder):
 def stored_date_ranges(spark, folder):
     path = _path(spark, "bars")
     ST.save_bars(I.minute_bars(spark, folder), path, "us")
-    return ST.date_range(ST.read_table(spark, path, schema=ST.BAR_SCHEMA))
+    return ST.date_range(spark, path)
 
 
 @query(
@@ -239,7 +239,7 @@ def stored_splits(spark, folder):
     path = _path(spark, "splits")
     rows = table(spark, folder, "orders").withColumnRenamed("o_orderdate", "ts")
     ST.write_table(S.time_split(rows, tie="o_orderkey"), path, ["split"])
-    return ST.partition_counts(spark.read.parquet(path), ["split"]).withColumnRenamed("n_rows", "n")
+    return ST.partition_counts(spark, path, ["split"]).withColumnRenamed("n_rows", "n")
 
 
 @query(

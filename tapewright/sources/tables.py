@@ -37,10 +37,12 @@ def write_table(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS
     """Write a partitioned table; with ``overwrite`` only the partitions present in ``df`` are replaced.
 
     The rebalance hint gives each partition few files and splits a partition that holds much of the
-    data over several tasks.
+    data over several tasks. A table with times also keeps their ``date``, whose bounds the Parquet footers then know.
     """
     if "year" in partitions and "year" not in df.columns:
         df = df.withColumn("year", F.year("ts"))
+    if "ts" in df.columns and "date" not in df.columns:
+        df = df.withColumn("date", F.to_date("ts"))
     order = ["ts"] if "ts" in df.columns else []
     spread = df.hint("rebalance", *partitions)
     spread = spread.sortWithinPartitions(*partitions, *order)
@@ -140,9 +142,9 @@ def save_and_track(new: DataFrame, path: str, market: str, source: str, ledger:
     return upsert_ledger(ledger, updates)
 
 
-def partition_counts(df: DataFrame, partitions: Sequence[str] = PARTITIONS) -> DataFrame:
-    """Rows per partition; reads no data columns."""
-    return df.groupBy(*partitions).agg(F.count(F.lit(1)).alias("n_rows"))
+def partition_counts(spark: SparkSession, path: str, partitions: Sequence[str] = PARTITIONS) -> DataFrame:
+    """Rows per partition, from footers."""
+    return footer_scan(spark, path).groupBy(*partitions).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def catalogue(df: DataFrame, columns: Sequence[str] = PARTITIONS) -> DataFrame:
@@ -163,20 +165,42 @@ def result_contents(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def date_range(df: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    return df.groupBy(*by).agg(F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"))
+def footer_scan(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table as a scan that answers counts and bounds from the Parquet footers.
 
-
-def table_size(df: DataFrame) -> DataFrame:
-    """Rows, number of feature columns, files and bytes of a stored table."""
-    per_file = df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(
-        F.max("file_size").alias("b"), F.count(F.lit(1)).alias("n")
-    )
-    return per_file.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.sum("b").alias("n_bytes")).withColumn(
-        "n_features", F.lit(len(feature_columns(df)))
+    Only the second version of Spark's file reader takes aggregates; tables are read by the first one elsewhere. Grouping must be
+    by all partition columns, and bounds must be of numbers or dates, for the footers to be enough.
+    """
+    v1 = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(v1)
+    spark.conf.set(v1, ",".join(name for name in before.split(",") if name != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(v1, before)
+
+
+def partition_bounds(spark: SparkSession, path: str, partitions: Sequence[str] = PARTITIONS) -> DataFrame:
+    """Rows, first and last date of each partition, from footers: no row is read."""
+    return footer_scan(spark, path).groupBy(*partitions).agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
+def date_range(spark: SparkSession, path: str, by: Sequence[str] = ("symbol",), partitions: Sequence[str] = PARTITIONS) -> DataFrame:
+    """First and last date by any of the partition columns, from the bounds of the partitions."""
+    return partition_bounds(spark, path, partitions).groupBy(*by).agg(F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+
+
+def table_size(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, number of feature columns, files and bytes of a stored table: footers and the listing of its files tell them."""
+    table = footer_scan(spark, path)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    files = listing.agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes")).select(F.struct("n_files", "n_bytes")).scalar()
+    rows = table.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_f", files)
+    return rows.select("n_rows", "_f.n_files", "_f.n_bytes", F.lit(len(feature_columns(table))).alias("n_features"))
+
+
 def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
     """Symbol master lists; tickers stay text so that leading zeros survive."""
     return spark.read.option("header", "true").schema(SYMBOL_LIST_SCHEMA).csv(path)

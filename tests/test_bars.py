@@ -104,7 +104,7 @@ def test_saved_bars_merge_and_split_by_year(spark, tmp_path):
     df = ST.read_table(spark, path, "us", ["A"], schema=ST.BAR_SCHEMA)
     got = {(r.ts, r.close, r.source) for r in df.collect()}
     assert len(got) == 7 and (days[-1], 5.0, "two") in got and (days[0], 1.0, "one") in got
-    assert {r.year: r.n_rows for r in ST.partition_counts(df).collect()} == {2024: 3, 2025: 4}
+    assert {r.year: r.n_rows for r in ST.partition_counts(spark, path).collect()} == {2024: 3, 2025: 4}
     assert ST.read_table(spark, path, "us", ["A"], "2025-01-01", schema=ST.BAR_SCHEMA).count() == 4
     plan = ST.read_table(spark, path, "us", ["A"], "2025-01-01", schema=ST.BAR_SCHEMA)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(market" in plan and "PushedFilters: [IsNotNull(ts)" in plan

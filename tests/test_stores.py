@@ -117,3 +117,23 @@ def test_unreadable_contract_documents(spark, tmp_path):
         ST.read_contract_cache(spark, str(tmp_path)).collect()
     bad = ST.unreadable_contract_documents(spark, str(tmp_path)).collect()
     assert len(bad) == 1 and bad[0].file_path.endswith("b.json") and bad[0].document.startswith('{"symbol": "B"')
+
+
+def test_counts_and_bounds_come_from_footers(spark, tmp_path):
+    """Bounds, counts and sizes of a stored table equal those of its rows, and no row is read for them."""
+    t = dt.datetime(2024, 12, 30, 10, 0)
+    rows = [(f"s{i % 3}", t + dt.timedelta(days=i // 3), "us", None if i % 5 else float(i)) for i in range(30)]
+    path = str(tmp_path / "t")
+    ST.write_table(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, market string, pf_x double"), path)
+    stored = ST.read_table(spark, path)
+    want = stored.groupBy("market", "symbol", "year").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts")), F.count("*")).collect()
+    bounds = ST.partition_bounds(spark, path)
+    assert sorted(map(tuple, bounds.collect())) == sorted(map(tuple, want)) and len(want) == 6
+    plan = bounds._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(date), MAX(date), COUNT(*)]" in plan
+    assert [r.first_date for r in ST.date_range(spark, path, ["market"]).collect()] == [t.date()]
+    size = ST.table_size(spark, path).first()
+    assert (size.n_rows, size.n_features) == (30, 1)
+    assert size.n_files == len(stored.inputFiles()) and size.n_bytes == sum(f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet"))
+    # Other reads go on as before.
+    assert "BatchScan" not in ST.read_table(spark, path)._jdf.queryExecution().executedPlan().toString()
