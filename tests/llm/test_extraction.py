@@ -49,6 +49,68 @@ def test_contexts_find_what_the_patterns_miss(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_forms_of_look_alikes():
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for a, k, b in pii.look_alikes(text, pii.base_spans(text))]
+
+    assert found("call me at (743) 555-3824.") == [("phone", "(743) 555-3824")]
+    assert found("phone: 555 010 4242") == [("phone", "555 010 4242")]
+    assert found("4111 1111 1111 1112 is mine") == [("card", "4111 1111 1111 1112")]
+    assert found("ann (at) host.org, bob@localhost") == [("email", "ann (at) host.org"), ("email", "bob@localhost")]
+    assert found("ssn 123-45-6789 of 2024-05-12, hex a1234567890b, 12345678x") == []
+    assert found("4465758382889437 4465758382889437") == [("card", "4465758382889437")] * 2
+    assert found("+1 (555) 010-1000 5550104242") == [("phone", "010-1000"), ("phone", "5550104242")]
+    assert found("") == []
+
+
+def test_contexts_on_both_sides():
+    text = "phone: 5550104242 -- is, Mine! " + "y" * 70
+    left, right, one, both = pii.Contexts(text).patterns(7, 17)
+    assert (left, right, one, both) == ("^ phone _", "_ is mine", "phone _", "phone _ is")
+    assert pii.Contexts("5550104242").patterns(0, 10) == ["^ _", "_ $", "^ _", "^ _ $"]
+    assert len(pii.Contexts(text).patterns(25, 29)[1]) < 70
+
+
+def test_second_round_finds_what_the_first_cannot(spark):
+    """A pattern that only holds discovered numbers is trusted after they are, and then finds one more."""
+    docs = [f"note {k} please call Maria +1 (555) 010-{1000 + k} q{k} z" for k in range(12)]
+    docs += [f"note {k} please call Maria 555-020-{1000 + k} w{k} z" for k in range(3)]
+    docs += [f"v{k} my old mobile 555 020 {1000 + k} u{k} z" for k in range(3)]
+    docs += ["and my old mobile (555) 020-9999 r z", "a plain number of 555-020-7777 things"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+
+    def found(rounds):
+        rows = pii.find_pii(df, rounds=rounds, least_seeds=2.5, least_confidence=0.6).collect()
+        return {r.doc_id for r in rows if r.spans != r.base}
+
+    assert found(1) == {12, 13, 14}
+    assert found(3) == {12, 13, 14, 15, 16, 17, 18}
+
+
+def test_scores_of_patterns_by_plain_python(spark):
+    rng = random.Random(4)
+    edges = {(rng.randrange(2), f"p{rng.randrange(12)}", f"i{rng.randrange(40)}"): rng.randrange(1, 9) for _ in range(220)}
+    seeds = {(k, f"i{i}") for k in range(2) for i in range(22)}
+    rows = [(k, p, i, n, (k, i) in seeds) for (k, p, i), n in edges.items()]
+    belief = {(k, i): float((k, i) in seeds) for k, _, i, _, _ in rows}
+    for turn in range(3):
+        trusted = {}
+        for key in {(k, p) for k, p, *_ in rows}:
+            mine = [(n, belief[k, i]) for k, p, i, n, _ in rows if (k, p) == key]
+            share = sum(n * b for n, b in mine) / sum(n for n, _ in mine)
+            if sum(b for _, b in mine) >= 4 and share >= 0.5:
+                trusted[key] = share
+        for k, i in belief:
+            wrong = 1.0
+            for k2, p, i2, _, _ in rows:
+                if (k2, i2) == (k, i) and (k, p) in trusted:
+                    wrong *= 1 - pii.TRUST * trusted[k, p]
+            belief[k, i] = max(belief[k, i], 1 - wrong)
+    df = spark.createDataFrame(rows, "kind int, pattern string, instance string, n long, base boolean")
+    got = {(r.kind, r.pattern): r.confidence for r in pii.trusted_patterns(df, rounds=3, least_seeds=4, least_confidence=0.5).collect()}
+    assert got.keys() == trusted.keys() and all(abs(got[k] - trusted[k]) < 1e-9 for k in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies, many, many, of them.</div>
 <div id=wrap><div class="content"><h1>A   title &amp; more</h1><p>First, <b>bold</b> words,
