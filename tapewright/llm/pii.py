@@ -88,7 +88,7 @@ AT = re.compile(r"@|\x20?[(\[]at[)\]]\x20?", re.IGNORECASE)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 OTHER_NUMBERS = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}")  # security numbers, dates
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGES = ".,;:!?\"'`()[]{}<>*#%&$|="
+EDGES = ".,;:!?\"'`()[]{}<>*#%&$|=-"
 MASKED = str.maketrans("123456789", "000000000")
 
 
