@@ -25,14 +25,24 @@ ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(
 SCOPES = frozenset("ul ol dl table article section div body html td th main aside nav form".split())
 
 # What is never main text: by element, by role, and by words of class and id.
-UNWANTED_TAGS = frozenset("nav footer aside form button select input head script style noscript template iframe svg canvas object textarea title menu dialog".split())
+UNWANTED_TAGS = frozenset("nav footer aside button select input head script style noscript template iframe svg canvas object textarea title menu dialog".split())
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 UNWANTED_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
     "pagination pager popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Words that tell the kind of a block wherever they stand in a name; of the others the last one does.
+TELLING_WORDS = frozenset("ad ads advert adverts advertisement comment comments consent cookie cookies disqus gdpr promo promoted sponsor sponsored".split())
+# Words that say where or in what a block is; they are passed over at a name's end. Names that begin with the second set describe the page.
+PLACE_WORDS = frozenset(
+    "area bar block bottom box buttons container group holder inner item items left link links list outer panel posts right section slot stories top unit wrap wrapper".split()
+)
+STATE_WORDS = frozenset("has hide is no not with without".split())
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 MAIN_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+LISTINGS = frozenset("ul ol dl table pre blockquote figure".split())
+LEAST_CHARS = 25  # of a text that counts as a sentence
 BONUS = {"div": 5, "article": 10, "main": 10, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "th": -5}
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -41,6 +51,8 @@ ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS = re.compile(r"[a-z0-9]+")
 INNER_UPPER = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+NO, MAYBE, YES = range(3)
+
 
 class Node:
     __slots__ = ("tag", "attrs", "parent", "children", "points", "chars", "linked")
@@ -117,40 +129,86 @@ def parse(html: str) -> Node:
     return root
 
 
-def unwanted(node: Node) -> bool:
+def name_says(name: str) -> int:
+    """Whether one class or id names something that is no main text; MAYBE leaves it to the block's content.
+
+    ``post-comments`` are comments and ``main-menu`` is a menu, as the last word tells; ``notice-of-meeting`` may be anything.
+    """
+    words = WORDS.findall(INNER_UPPER.sub("-", name).lower())
+    if not words or words[0] in STATE_WORDS:
+        return NO
+    if any(w in TELLING_WORDS for w in words):
+        return YES
+    while len(words) > 1 and words[-1] in PLACE_WORDS:
+        words.pop()
+    of_main = any(w in MAIN_WORDS for w in words)
+    if words[-1] in UNWANTED_WORDS:
+        return NO if words[-1] in ("header", "masthead") and of_main else YES
+    return MAYBE if not of_main and any(w in UNWANTED_WORDS for w in words) else NO
+
+
+def unwanted(node: Node) -> int:
     tag = node.tag
     if tag in UNWANTED_TAGS:
-        return True
+        return YES
     if tag == "header":
         up = node.parent
         while up is not None and up.tag not in MAIN_TAGS:
             up = up.parent
-        return up is None
-    if not node.attrs or tag in MAIN_TAGS or tag in ("body", "html"):
-        return False
-    names: list[str] = []
+        return YES if up is None else NO
+    if not node.attrs or tag in ("body", "html", "main"):
+        return NO
+    told = NO
     for name, a, b, c in ATTR.findall(node.attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            names += WORDS.findall(INNER_UPPER.sub(" ", value).lower())
+            told = max([told, *map(name_says, value.split())])
         elif name == "role" and value.lower() in UNWANTED_ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", node.attrs):
-        return True
-    return any(w in UNWANTED_WORDS for w in names) and not any(w in MAIN_WORDS for w in names)
+            return YES
+    return YES if re.search(r"(?:^|\s)hidden(?:\s|=|$)", node.attrs) else told
 
 
-def prune(root: Node) -> list[Node]:
-    """Takes unwanted subtrees out; counts each element's characters and linked characters. All that are left, parents first."""
-    order, todo = [], [root]
+def prune(root: Node, forms: bool = False) -> list[Node]:
+    """Takes unwanted subtrees out; counts each element's characters and linked characters. All that are left, parents first.
+
+    A block whose name leaves it open stays if it holds a sentence or more outside of links. A form goes, unless it is
+    wrapped around the article or ``forms`` are to stay.
+    """
+    order, todo, open_names, wraps = [], [root], set(), {}
     while todo:
         node = todo.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not unwanted(c)]
-        todo += [c for c in node.children if not isinstance(c, str)]
+        kept = []
+        for c in node.children:
+            if not isinstance(c, str):
+                told = unwanted(c)
+                if told == YES:
+                    continue
+                if told == MAYBE:
+                    open_names.add(id(c))
+                todo.append(c)
+            kept.append(c)
+        node.children = kept
+    out = set()
     for node in reversed(order):
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in out]
+        inside = [c for c in node.children if not isinstance(c, str)]
         node.chars = sum(len(c) if isinstance(c, str) else c.chars for c in node.children)
-        node.linked = node.chars if node.tag == "a" else sum(c.linked for c in node.children if not isinstance(c, str))
+        node.linked = node.chars if node.tag == "a" else sum(c.linked for c in inside)
+        wraps[id(node)] = node.tag in MAIN_TAGS or node.tag == "h1" or any(wraps[id(c)] for c in inside)
+        if node.tag == "form" and not forms and not wraps[id(node)]:
+            out.add(id(node))
+        elif id(node) in open_names and (node.chars < LEAST_CHARS or node.linked > 0.25 * node.chars):
+            out.add(id(node))
+    return order if not out else attached(root)
+
+
+def attached(root: Node) -> list[Node]:
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if not isinstance(c, str)]
     return order
 
 
@@ -173,7 +231,7 @@ def score(order: list[Node]) -> Node | None:
         if node.tag not in ("p", "pre", "td", "blockquote", "div", "section", "article", "main", "li", "dd"):
             continue
         text = own_text(node).strip()
-        if len(text) < 25:
+        if len(text) < LEAST_CHARS:
             continue
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         up = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") else node
@@ -189,29 +247,54 @@ def score(order: list[Node]) -> Node | None:
     return max(candidates.values(), key=lambda c: c.points, default=None)
 
 
+def outermost(order: list[Node]) -> list[Node]:
+    """Elements that say they are an article, outside of others, in page order."""
+    out, todo = [], order[:1]
+    while todo:
+        node = todo.pop()
+        if node.tag in MAIN_TAGS and node.chars > 0:
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return out
+
+
 def kept_parts(order: list[Node]) -> list[Node]:
-    """The containers whose blocks are the main text, in page order."""
-    best = score(order)
-    articles = [c for c in order if c.tag in MAIN_TAGS and c.chars > 0]
+    """The containers whose blocks are the main text, in page order.
+
+    The best container's article stays whole, and so does any other article that scores like it. Outside of articles the
+    siblings of the best container stay that score like it or read on: paragraphs, lists and tables with few links, blocks with
+    paragraphs without any, and headings of what stays.
+    """
+    best, articles = score(order), outermost(order)
     if best is None:
-        return articles[:1] or [c for c in order if c.tag == "body"][:1] or order[:1]
+        return articles or [c for c in order if c.tag == "body"][:1] or order[:1]
+    least = max(10.0, 0.2 * best.points)
     up = best
-    while up is not None and up.tag not in MAIN_TAGS:
+    while up is not None and not any(up is c for c in articles):
         up = up.parent
     if up is not None:  # the whole article, with its heading
-        return [up]
+        return [c for c in articles if c is up or c.points >= least or c.linked == 0]
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * best.points)
-    keep = []
-    for c in best.parent.children:
-        if isinstance(c, str):
+    keep: list[Node] = []
+    follows = None
+    for c in reversed(best.parent.children):
+        if isinstance(c, str) or not c.chars:
             continue
-        density = c.linked / max(1, c.chars)
-        reads_on = c.tag == "p" and (c.chars > 80 and density < 0.25 or 0 < c.chars <= 80 and density == 0)
-        if c is best or c.points >= least or reads_on or c.tag == "h1":
+        density = c.linked / c.chars
+        if c.tag == "p":
+            reads_on = c.chars > 80 and density < 0.25 or density == 0
+        elif c.tag in LISTINGS:
+            reads_on = density < 0.25
+        elif c.tag in HEADINGS:
+            reads_on = c.tag == "h1" or bool(follows) and any(follows is k for k in keep[-1:])
+        else:
+            reads_on = density == 0 and any(n.tag in ("p", *LISTINGS) for n in attached(c))
+        if c is best or c.points >= least or reads_on:
             keep.append(c)
-    return keep
+        follows = c
+    return keep[::-1]
 
 
 def blocks_of(node: Node, out: list[str]) -> None:
@@ -246,7 +329,11 @@ def main_text(html: str) -> str:
     if not html:
         return ""
     out: list[str] = []
-    for part in kept_parts(prune(parse(html))):
+    root = parse(html)
+    order = prune(root)
+    if not any(isinstance(c, str) and not c.isspace() for node in order for c in node.children):  # all of it is in forms
+        order = prune(parse(html), forms=True)
+    for part in kept_parts(order):
         blocks_of(part, out)
     return "\n\n".join(out)
 

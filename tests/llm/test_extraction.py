@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from tapewright.llm import html_text, pii
 
 PLAIN = {
@@ -127,6 +129,67 @@ def test_main_text():
     ]
 
 
+LONG = "A paragraph of the article, long enough to count, with commas, and with a few more words."
+
+
+@pytest.mark.parametrize("around", ["div", "article"])
+@pytest.mark.parametrize("name", "comments post-comments story-comments entry-footer main-menu main-nav article-sidebar content-ads postComments comment-list cookie-law-info".split())
+def test_named_blocks_go(around, name):
+    page = f"<body><{around}><h1>Title</h1><p>{LONG}</p><div class='x {name}'><p>Others say this, and that, and many more things, at length, here.</p></div><p>{LONG}</p></{around}></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", LONG, LONG]
+
+
+def test_what_reads_like_the_article_stays():
+    text = html_text.main_text
+    assert text(f"<body>\n<form action=x>\n<div><p>{LONG}</p><p>{LONG}</p></div></form></body>") == f"{LONG}\n\n{LONG}"
+    assert text(f"<body><form><nav>Menu</nav><article><p>{LONG}</p></article></form></body>") == LONG
+    beside = f"<body><div><div><p>{LONG}</p><p>{LONG}</p></div><h2>Steps</h2><ul><li>one</li><li>two</li></ul><div><p>Short end.</p></div><h2>More</h2><ul><li><a href=x>link one</a></li></ul></div></body>"
+    assert text(beside).split("\n\n") == [LONG, LONG, "Steps", "one", "two", "Short end."]
+    assert text(f"<body><div><p>{LONG}</p><p class='notice-of-meeting'>{LONG}</p><p class='menu-of-pages'><a href=x>One page</a></p></div></body>") == f"{LONG}\n\n{LONG}"
+    assert text(f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>") == f"{LONG}\n\n{LONG}"
+    assert text(f"<body><div class='has-sidebar'><p>{LONG}</p></div></body>") == LONG
+    assert text(f"<body><article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article></body>") == f"Title\n\n{LONG}"
+    assert text(f"<body><article><p>{LONG}</p></article><form><p>Sign up, please, for our letter, now</p></form></body>") == LONG
+
+
+def test_points_by_plain_recursion():
+    """The points of containers are those of a recursive count over small random trees."""
+    rng = random.Random(8)
+
+    def make(depth):
+        tag = rng.choice(["div", "section", "p", "ul", "td", "a"]) if depth else "div"
+        inner = [make(depth + 1) for _ in range(rng.randrange(1, 4))] if depth < 4 and tag not in ("p", "a") else []
+        words = ["word, and word" * rng.randrange(6)] if rng.random() < 0.7 else []
+        node = html_text.Node(tag, "", None)
+        node.children = words + inner
+        for c in inner:
+            c.parent = node
+        return node
+
+    for _ in range(200):
+        root = make(0)
+        order = html_text.prune(root)
+        html_text.score(order)
+        for node in order:
+            total, touched = 0.0, False
+
+            def gather(at, up):
+                nonlocal total, touched
+                own = html_text.own_text(at).strip()
+                direct = at.tag not in ("p", "td")
+                level = up if direct else up - 1
+                if at.tag in ("p", "td", "div", "section") and len(own) >= 25 and 0 <= level < 5:
+                    total += (1 + own.count(",") + min(len(own) / 100, 3)) / (1, 2, 6, 9, 12)[level]
+                    touched = True
+                for c in at.children:
+                    if not isinstance(c, str):
+                        gather(c, up + 1)
+
+            gather(node, 0)
+            if touched:
+                assert abs(node.points - (total + html_text.BONUS.get(node.tag, 0)) * (1 - node.linked / max(1, node.chars))) < 1e-9
+
+
 def test_odd_pages(spark):
     for html in ("", "<", "a < b", "<p", "</p>", "<div" * 50, "<div>" * 5000 + "deep", "<p title='>'>x</p>", '<p a="', "<!--", "<script>", "&lt;p&gt;", "<table><tr><td>a<td>b<tr><td>c</table>"):
         assert isinstance(html_text.main_text(html), str)
