@@ -219,12 +219,21 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, short: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which a key with many ``rows`` is dealt over SALTS tasks, as the other side has one row for each key."""
+    """Inner join in which a key with many ``rows`` is dealt over SALTS tasks; the short side has one row for each key."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     return dealt.join(short.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
 
 
+def live_edges(edges: DataFrame, least_seeds: float = LEAST_SEEDS) -> DataFrame:
+    """Edges of the patterns that may come to be trusted and to tell something: most patterns are met once and never can.
+
+    Support is at most the number of different instances, and a pattern around base instances alone has none to find.
+    """
+    sizes = edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("base")).alias("_open"))
+    return spread_join(edges, sizes.filter((F.col("_n") >= least_seeds) & (F.col("_open") > 0)).drop("_n", "_open"), ["kind", "pattern"])
+
+
 def trusted_patterns(edges: DataFrame, *, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """kind, pattern, confidence of the patterns to trust, from edges: kind, pattern, instance, n, base.
 
@@ -261,6 +270,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each = rows.select("row_id", F.inline("spans"))
     known = each.select("row_id", "start", "kind", "end", "base", "instance", F.explode("patterns").alias("pattern"))
     edges = stage(known.groupBy("kind", "pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("base").alias("base")), "pii-edges")
+    edges = stage(live_edges(edges, trust.get("least_seeds", LEAST_SEEDS)), "pii-live-edges")
     patterns = trusted_patterns(edges, **trust)
     more = spread_join(known.filter("not base"), patterns, ["kind", "pattern"]).groupBy("row_id").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     plain = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["start"], s["kind"], s["end"]))

@@ -89,6 +89,12 @@ def test_second_round_finds_what_the_first_cannot(spark):
     assert found(3) == {12, 13, 14, 15, 16, 17, 18}
 
 
+def test_edges_that_tell_nothing_are_left_out(spark):
+    rows = [(0, "a", f"i{k}", 1, k > 0) for k in range(4)] + [(0, "b", f"i{k}", 1, True) for k in range(9)] + [(0, "c", f"i{k}", 1, False) for k in range(3)]
+    df = spark.createDataFrame(rows, "kind int, pattern string, instance string, n long, base boolean")
+    assert sorted(map(tuple, pii.live_edges(df).collect())) == [r for r in rows if r[1] == "a"]
+
+
 def test_scores_of_patterns_by_plain_python(spark):
     rng = random.Random(4)
     edges = {(rng.randrange(2), f"p{rng.randrange(12)}", f"i{rng.randrange(40)}"): rng.randrange(1, 9) for _ in range(220)}
