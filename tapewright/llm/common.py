@@ -32,6 +32,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row as one value ``row`` beside the ``keys`` made from it, so that no name of its own columns can clash with others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def per_batch(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dict[str, pa.Array]]], schema: str) -> DataFrame:
     """Run Python on each Arrow batch of ``df``.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import ascii_lower, plain_text
+from tapewright.llm.common import ascii_lower, packed, plain_text
 from tapewright.session import stage
 
 NO_PARTNER = -1  # stands for the missing right half of an odd last pair; names are 0 and up, or -2 and down
@@ -97,10 +97,14 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat both id and text one stays."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of rows that repeat both id and text one stays, the first by its columns written as JSON. Null texts count as empty, and a null
+    id is an id like another. An empty table gives no rows.
+    """
     marked = stage(exact_duplicates(docs, id_col=id_col, text_col=text_col), "block-kept")
-    kept = marked.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.withColumn("_sha", F.sha2(ascii_lower(plain_text(text_col)).cast("binary"), 256))
+    kept = marked.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = packed(docs, id=F.col(id_col), sha=F.sha2(ascii_lower(plain_text(text_col)).cast("binary"), 256))
     if not marked.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col, "_sha"])
-    return rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").drop("_sha")
+        rows = rows.groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi").select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORD, plain_text
+from tapewright.llm.common import WORD, packed, plain_text
 from tapewright.session import stage
 
 # Fixed values of the contract: weights in the order of the sources, and the most copies of a document.
@@ -108,7 +108,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
 
 def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its columns."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns, whatever their names.
+
+    Null texts have no words and rows that share an id are taken together, as in ``mix``. An empty table gives no rows.
+    """
     rows = stage(sized(docs, id_col=id_col, text_col=text_col, source_col=source_col), "mix-sizes")
-    out = with_copies(docs.withColumn("_hash", id_hash(id_col)), mix_plan(rows), source_col, "_hash")
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = with_copies(packed(docs, source=F.col(source_col), hash=id_hash(id_col)), mix_plan(rows))
+    return out.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

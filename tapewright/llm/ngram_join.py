@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWER, UPPER, longs, per_batch, plain_text, rows_per_batch
+from tapewright.llm.common import LOWER, UPPER, longs, packed, per_batch, plain_text, rows_per_batch
 from tapewright.llm.components import components
 from tapewright.session import stage
 
@@ -440,7 +440,7 @@ def link_counts(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: s
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the document with the smallest id of each component, with all their columns.
+    """The rows of the document with the smallest id of each component, with all their columns, whatever their names.
 
     Rows that share an id are told apart by their texts; rows that repeat both are one document. Rows with a null id stay only
     where a component has no other.
@@ -448,6 +448,6 @@ def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str
     found = ngram_components(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
     some = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
     kept = some.unionByName(found.filter("n_shingles = 0").select("doc_id", "text_key").distinct())
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key"))
-    key = F.xxhash64(plain_text(text_col))
-    return docs.withColumn("_key", key).join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi").drop("_key")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    rows = packed(docs, id=F.col(id_col), key=F.xxhash64(plain_text(text_col)))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").select("row.*")

@@ -6,8 +6,9 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tapewright.llm import exact_dedup, ngram_join
+from tapewright.llm import exact_dedup, mixing, ngram_join
 from tapewright.llm.common import LOWERED
 from tests.llm.data import rows
 
@@ -167,3 +168,25 @@ def test_all_links_in_a_family(spark, monkeypatch):
     got = sorted(tuple(sorted((i, j), reverse=True)) for r in links.collect() for i in ids[bytes(r.p)] for j in ids[bytes(r.q)])
     got += [(i, j) for same in ids.values() for i in same for j in same if j < i]
     assert sorted(got) == sorted(all_pairs(sets, 85)) and len(got) > 100
+
+
+@pytest.mark.parametrize("keep", [mixing.take_mix, exact_dedup.keep_one, ngram_join.keep_one])
+def test_any_column_names_stay(spark, keep):
+    """Columns that bear names of the operators' own come back with their values."""
+    names = ["row", "id", "key", "sha", "hash", "copies", "copy", "target", "source_size", "_source", "_hash", "_sha", "_kept_id", "kept_id", "kept_sha", "_kept_sha", "_key", "kept_key", "a.b"]
+    docs = [(k, f"one two three four five six {k // 2} seven", "s") for k in range(8)] + [(None, None, None), (3, "", "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    more = df.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("text"), F.lit("-"))).alias(n) for n in names])
+    got = keep(more)
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert rows and all(r[k + 3] == n + (r[1] if r[1] is not None else "-") for r in rows for k, n in enumerate(names))
+    assert sorted(map(repr, (r[:3] for r in rows))) == sorted(map(repr, (tuple(r) for r in keep(df).collect())))
+
+
+def test_repeated_rows_stay_by_their_columns(spark):
+    """Of rows that repeat id and text the same one stays, in whichever order and partitions they come."""
+    docs = [(1, "same", f"v{k}") for k in range(9)] + [(2, "other", "w")]
+    for parts in (1, 5):
+        df = spark.createDataFrame(docs[::-1] if parts == 5 else docs, "doc_id long, text string, more string").repartition(parts)
+        assert sorted(map(tuple, exact_dedup.keep_one(df).collect())) == [(1, "same", "v0"), (2, "other", "w")]
